@@ -9,6 +9,7 @@ HOLDS = {
     "op2_quality_rules": "quality_rules",
     "op3_language_id": "language",
     "op8_byte_bpe": "bpe",
+    "op10_html_extraction": "html_text",
 }
 
 
