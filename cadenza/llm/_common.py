@@ -42,6 +42,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df with the broadcast hint if it has at most so many rows (counted), else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def id_crc(col: str):
     """crc32 of an id written as text."""
     return F.crc32(F.col(col).cast("string"))

@@ -6,6 +6,7 @@ import importlib
 
 #: Query and the module that holds it; SQL_<query> in the module is its DuckDB SQL.
 HOLDS = {
+    "op1_mix_sources": "mixing",
     "op2_quality_rules": "quality_rules",
     "op3_language_id": "language",
     "op8_byte_bpe": "bpe",
