@@ -11,6 +11,7 @@ HOLDS = {
     "op3_language_id": "language",
     "op6_near_dup": "near_dup",
     "op8_byte_bpe": "bpe",
+    "op9_substring_dup": "substring_dup",
     "op10_html_extraction": "html_text",
 }
 
