@@ -9,6 +9,7 @@ HOLDS = {
     "op1_mix_sources": "mixing",
     "op2_quality_rules": "quality_rules",
     "op3_language_id": "language",
+    "op5_media_columns": "media",
     "op6_near_dup": "near_dup",
     "op8_byte_bpe": "bpe",
     "op9_substring_dup": "substring_dup",
