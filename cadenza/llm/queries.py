@@ -11,6 +11,7 @@ HOLDS = {
     "op3_language_id": "language",
     "op5_media_columns": "media",
     "op6_near_dup": "near_dup",
+    "op7_quality_classifier": "rule_ensemble",
     "op8_byte_bpe": "bpe",
     "op9_substring_dup": "substring_dup",
     "op10_html_extraction": "html_text",
