@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 #: Query and the module that holds it; SQL_<query> in the module is its DuckDB SQL.
 HOLDS = {
     "op1_mix_sources": "mixing",
     "op2_quality_rules": "quality_rules",
     "op3_language_id": "language",
+    "op4_quote_links": "quotes",
     "op5_media_columns": "media",
     "op6_near_dup": "near_dup",
     "op7_quality_classifier": "rule_ensemble",
@@ -21,7 +24,7 @@ HOLDS = {
 def queries() -> dict:
     """Name to query."""
     found = {name: getattr(importlib.import_module(f"cadenza.llm.{module}"), name) for name, module in HOLDS.items()}
-    return found
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
