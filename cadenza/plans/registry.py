@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.plans import layout, relational  # noqa: F401  the modules register their queries
+from cadenza.plans._register import ORACLES, QUERIES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependence of each series' activity on its energy, by group."""
-    return queries()["flagship"](spark, sf_dir)
+    return QUERIES["flagship"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {}
+    return dict(ORACLES)
