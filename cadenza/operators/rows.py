@@ -84,13 +84,15 @@ def align(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("series_id", "t", F.col("v").alias("x")).join(right.select("series_id", "t", F.col("v").alias("y")), ["series_id", "t"])
 
 
-def locate(frames: DataFrame, lengths: DataFrame, ident: str, frame: str = "g") -> DataFrame:
-    """Global frame number to (ident, local t): lengths holds `n` frames for each ident in order. The
-    running sum makes an interval for each; frames and interval starts are merged by one sort, so that no pair
-    outside an interval is made."""
+def locate(frames: DataFrame, lengths: DataFrame, ident: str, frame: str = "g", bucket: int = 1024) -> DataFrame:
+    """Global frame number to (ident, local t): lengths holds `n` frames for each ident in order. Every
+    interval of the running sum is listed under the buckets of frames that it touches, so that the range
+    join is an equi-join by bucket."""
     by = Window.partitionBy(F.lit(0)).orderBy(ident).rowsBetween(Window.unboundedPreceding, -1)
-    starts = lengths.select(ident, "n", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("_start"))
-    return frames.join(starts, (F.col(frame) >= F.col("_start")) & (F.col(frame) < F.col("_start") + F.col("n"))).select(frame, ident, (F.col(frame) - F.col("_start")).alias("t"))
+    starts = lengths.where("n > 0").select(ident, "n", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("_start"))
+    starts = starts.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_start") / bucket), F.floor((F.col("_start") + F.col("n") - 1) / bucket))))
+    met = frames.withColumn("_bucket", F.floor(F.col(frame) / bucket)).join(starts, "_bucket")
+    return met.where((F.col(frame) >= F.col("_start")) & (F.col(frame) < F.col("_start") + F.col("n"))).select(frame, ident, (F.col(frame) - F.col("_start")).alias("t"))
 
 
 def label_intervals(frames: DataFrame, marks: DataFrame) -> DataFrame:
