@@ -87,13 +87,21 @@ def flight(p: np.ndarray, size: np.ndarray, draw: np.random.Generator) -> np.nda
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Settle the few open units on the outcome whose tokens, then documents, are nearest to what they
-    should bring; the first such outcome in binary order."""
+    should bring, the first such in binary order. Where a single large document leaves the tokens off,
+    units of the block change sides, one after the other, as long as that brings them nearer."""
     open_at = np.flatnonzero((p > 0) & (p < 1))
     outcomes = (np.arange(1 << len(open_at))[:, None] >> np.arange(len(open_at))) & 1
     tokens = np.abs(outcomes @ size[open_at] - p[open_at] @ size[open_at])
     docs = np.abs(outcomes.sum(axis=1) - p[open_at].sum())
     out = p.copy()
     out[open_at] = outcomes[np.lexsort((docs, tokens))[0]]
+    off = float((out - p) @ size)
+    for _ in range(len(p)):
+        moved = off + np.where(out > 0, -size, size)
+        best = int(np.argmin(np.abs(moved)))
+        if abs(moved[best]) >= abs(off):
+            break
+        out[best], off = 1 - out[best], float(moved[best])
     return out
 
 
