@@ -39,7 +39,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     rows survive the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/cadenza/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete what stage() has written for these, once nothing that is still to run reads it."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:

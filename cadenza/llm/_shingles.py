@@ -51,7 +51,7 @@ def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[past] - sums[first]) * _power("down", _BASE_INV, len(raw))[first] + (past - first).astype(np.uint64)), first
 
 
-def documents(texts: list[str | None], lower: bool = False, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def documents(texts: list[str | None], lower: bool = False, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Word hashes for runs of documents of about `most` bytes: (first document, word hashes, bounds),
     where document first + i has the words bounds[i] to bounds[i + 1]. A null text has no words."""
     at = 0

@@ -116,16 +116,18 @@ class Model:
 
     def cross_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats a character for each text and language, and the number of letters."""
-        codes, bounds, letters = normal(texts)
-        total = np.zeros((len(texts), len(self.languages)))
+        nats, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         at = 0
-        while at < len(texts):  # runs of texts of about 100,000 characters, or one long text
-            to = int(max(at + 1, np.searchsorted(bounds, bounds[at] + 100_000, "right") - 1))
-            part, own = codes[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
-            for k, logs in enumerate(self.score(part, own)):
-                total[at:to, k] = np.add.reduceat(logs, own[:-1], dtype=np.float64)
+        while at < len(texts):  # runs of texts of about 200,000 characters, or one long text
+            to, n = at, 0
+            while to < len(texts) and (to == at or n + len(texts[to] or "") <= 200_000):
+                n += len(texts[to] or "")
+                to += 1
+            codes, bounds, letters[at:to] = normal(texts[at:to])
+            for k, logs in enumerate(self.score(codes, bounds)):
+                nats[at:to, k] = -np.add.reduceat(logs, bounds[:-1], dtype=np.float64) / np.diff(bounds)
             at = to
-        return -total / np.maximum(np.diff(bounds), 1)[:, None], letters
+        return nats, letters
 
     def score(self, codes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """For each language, the log probability of each character after those before it."""
