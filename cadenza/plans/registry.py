@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.plans import aggregates, dependence, distance, layout, pictures, recurrence, relational, scalar, stream, structure, windows  # noqa: F401  the modules register their queries
+from cadenza.plans import aggregates, dependence, distance, layout, matching, pictures, recurrence, relational, scalar, stream, structure, windows  # noqa: F401  the modules register their queries
 from cadenza.plans._register import ORACLES, QUERIES
 
 
