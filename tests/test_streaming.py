@@ -8,6 +8,7 @@ from cadenza.streaming import jobs as J
 def replay(spark, tmp_path, make, mode="append"):
     rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("v"))
     rows.orderBy("ts").coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     job = make(stream).writeStream.format("memory").queryName("out").outputMode(mode).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     job.awaitTermination()
@@ -24,3 +25,10 @@ def test_tumbling(spark, tmp_path):
 def test_running_moments(spark, tmp_path):
     rows, out = replay(spark, tmp_path, lambda s: J.running_moments(s.select("series_id", F.col("v").alias("x"), (F.col("v") * 2).alias("y"))), "complete")
     assert {r["series_id"]: r["n"] for r in out.collect()} == {r["series_id"]: r["count"] for r in rows.groupBy("series_id").count().collect()}
+
+
+def test_differences(spark, tmp_path):
+    rows, out = replay(spark, tmp_path, J.differences)
+    whole = {r["series_id"]: r["n"] - 1 for r in rows.groupBy("series_id").agg(F.count("*").alias("n")).collect()}
+    found = {r["series_id"]: r["count"] for r in out.groupBy("series_id").count().collect()}
+    assert found == {k: n for k, n in whole.items() if n}
