@@ -7,12 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WHOLE = Window.partitionBy("series_id")
+def whole():
+    """All frames of each series."""
+    return Window.partitionBy("series_id")
+
 EPS = 1e-8
 
 
-def minmax(value: str = "v", window=WHOLE, eps: float = EPS) -> Column:
+def minmax(value: str = "v", window=None, eps: float = EPS) -> Column:
     """Scaled to 0..1 over a partition, with a guard against constant series."""
+    window = window or whole()
     low = F.min(value).over(window)
     return (F.col(value) - low) / (F.max(value).over(window) - low + eps)
 
@@ -45,16 +49,16 @@ def clamp_to_peaks(series: DataFrame, share: float) -> DataFrame:
 def envelope(series: DataFrame, share: float) -> DataFrame:
     """clamp_to_peaks(), floored at 0 and divided by the maximum."""
     rows = clamp_to_peaks(series, share).withColumn("v", F.greatest("v", F.lit(0.0)))
-    return rows.withColumn("v", F.try_divide(F.col("v"), F.max("v").over(WHOLE)))
+    return rows.withColumn("v", F.try_divide(F.col("v"), F.max("v").over(whole())))
 
 
 def emphasize(series: DataFrame, strength: float, share: float) -> DataFrame:
     """x (1 + tanh(s (x - q))) on the 0..1 scale, q a quantile there, scaled back."""
-    low, high = F.min("v").over(WHOLE), F.max("v").over(WHOLE)
+    low, high = F.min("v").over(whole()), F.max("v").over(whole())
     rows = series.withColumn("_low", low).withColumn("_high", high).withColumn("_x", F.try_divide(F.col("v") - F.col("_low"), F.col("_high") - F.col("_low")))
     cut = rows.groupBy("series_id").agg(F.percentile("_x", F.lit(share)).alias("_q"))
     rows = rows.join(cut, "series_id").withColumn("_y", F.col("_x") * (1 + F.tanh(strength * (F.col("_x") - F.col("_q")))))
-    rows = rows.withColumn("_y", F.try_divide(F.col("_y") - F.min("_y").over(WHOLE), F.max("_y").over(WHOLE) - F.min("_y").over(WHOLE)))
+    rows = rows.withColumn("_y", F.try_divide(F.col("_y") - F.min("_y").over(whole()), F.max("_y").over(whole()) - F.min("_y").over(whole())))
     return rows.withColumn("v", F.col("_y") * (F.col("_high") - F.col("_low")) + F.col("_low")).drop("_low", "_high", "_x", "_q", "_y")
 
 

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("series_id").orderBy("t")
-WHOLE = Window.partitionBy("series_id")
+def in_order():
+    """The frames of each series in order."""
+    return Window.partitionBy("series_id").orderBy("t")
+
+def whole():
+    """All frames of each series."""
+    return Window.partitionBy("series_id")
+
 
 
 def crop(series: DataFrame, start: int, stop: int | None = None) -> DataFrame:
@@ -17,7 +23,7 @@ def crop(series: DataFrame, start: int, stop: int | None = None) -> DataFrame:
 
 def longer_than(series: DataFrame, least: int) -> DataFrame:
     """Series with more than `least` frames."""
-    return series.withColumn("_n", F.count("*").over(WHOLE)).where(F.col("_n") > least).drop("_n")
+    return series.withColumn("_n", F.count("*").over(whole())).where(F.col("_n") > least).drop("_n")
 
 
 def local_threshold(df: DataFrame, by: list[str], gap: float, value: str = "v") -> DataFrame:
@@ -32,15 +38,15 @@ def global_threshold(df: DataFrame, gap: float, value: str = "v") -> DataFrame:
     return df.crossJoin(F.broadcast(top)).withColumn(value, F.when(F.col(value) < F.col("_top") - gap, 0.0).otherwise(F.col(value))).drop("_top")
 
 
-def is_peak(value: str = "v", window=SERIES) -> Column:
+def is_peak(value: str = "v", window=None) -> Column:
     """Greater than both neighbours; ends are never peaks."""
-    v = F.col(value)
+    v, window = F.col(value), window or in_order()
     return F.coalesce((v > F.lag(value).over(window)) & (v > F.lead(value).over(window)), F.lit(False))
 
 
-def is_half_peak(value: str = "v", window=SERIES) -> Column:
+def is_half_peak(value: str = "v", window=None) -> Column:
     """Greater than the left neighbour and no less than the right one, with zeros beyond the ends."""
-    v = F.col(value)
+    v, window = F.col(value), window or in_order()
     return (v > F.lag(value, 1, 0.0).over(window)) & (v >= F.lead(value, 1, 0.0).over(window))
 
 
@@ -108,7 +114,7 @@ def beat_intervals(series: DataFrame, beats: DataFrame) -> DataFrame:
     """series with `beat`, the number of beats (series_id, t) at or before each frame: the half-open
     intervals between beats, 0 before the first."""
     marked = series.join(beats.select("series_id", "t", F.lit(1).alias("_b")), ["series_id", "t"], "left")
-    return marked.withColumn("beat", F.count("_b").over(SERIES.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
+    return marked.withColumn("beat", F.count("_b").over(in_order().rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
 
 
 def aggregate_slices(series: DataFrame, slices: DataFrame, how: Column) -> DataFrame:

@@ -7,19 +7,25 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("series_id").orderBy("t")
-WHOLE = Window.partitionBy("series_id")
+def in_order():
+    """The frames of each series in order."""
+    return Window.partitionBy("series_id").orderBy("t")
+
+def whole():
+    """All frames of each series."""
+    return Window.partitionBy("series_id")
+
 
 
 def difference(value: str = "v") -> Column:
     """Next value minus this one; the last frame repeats the difference before it."""
-    step = F.lead(value).over(SERIES) - F.col(value)
-    return F.coalesce(step, F.col(value) - F.lag(value).over(SERIES))
+    step = F.lead(value).over(in_order()) - F.col(value)
+    return F.coalesce(step, F.col(value) - F.lag(value).over(in_order()))
 
 
 def flux(value: str = "v") -> Column:
     """Next value minus this one, with a zero after the end."""
-    return F.lead(value, 1, 0.0).over(SERIES) - F.col(value)
+    return F.lead(value, 1, 0.0).over(in_order()) - F.col(value)
 
 
 def onset_strength(df: DataFrame, shift: int = 2, how: str = "avg") -> DataFrame:
@@ -29,7 +35,7 @@ def onset_strength(df: DataFrame, shift: int = 2, how: str = "avg") -> DataFrame
     rise = F.greatest(F.col("v") - F.lag("v").over(by), F.lit(0.0))
     mean = {"avg": F.avg, "median": F.median}[how]("_r").alias("v")
     rows = df.withColumn("_r", F.coalesce(rise, F.lit(0.0))).groupBy("series_id", "t").agg(mean)
-    return rows.withColumn("v", F.lag("v", shift, 0.0).over(SERIES))
+    return rows.withColumn("v", F.lag("v", shift, 0.0).over(in_order()))
 
 
 def reflected(t: Column, n: Column) -> Column:
@@ -106,18 +112,18 @@ def max_rank(value: str, window) -> Column:
 
 def runs(series: DataFrame, label: str) -> DataFrame:
     """series with `run`, the number of changes of the label so far."""
-    change = F.coalesce((F.col(label) != F.lag(label).over(SERIES)).cast("int"), F.lit(0))
-    return series.withColumn("_c", change).withColumn("run", F.sum("_c").over(SERIES.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+    change = F.coalesce((F.col(label) != F.lag(label).over(in_order())).cast("int"), F.lit(0))
+    return series.withColumn("_c", change).withColumn("run", F.sum("_c").over(in_order().rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
 
 
 def cumulative_share(value: str = "v") -> Column:
     """Running sum over the sum of the whole series."""
-    return F.try_divide(F.sum(value).over(SERIES.rowsBetween(Window.unboundedPreceding, 0)), F.sum(value).over(WHOLE))
+    return F.try_divide(F.sum(value).over(in_order().rowsBetween(Window.unboundedPreceding, 0)), F.sum(value).over(whole()))
 
 
 def circular_shift(series: DataFrame, by: int) -> DataFrame:
     """Frames moved to the right, those beyond the end to the start."""
-    return series.withColumn("t", F.pmod(F.col("t") + by, F.count("*").over(WHOLE)).cast("int"))
+    return series.withColumn("t", F.pmod(F.col("t") + by, F.count("*").over(whole())).cast("int"))
 
 
 def parabolic_peak(value: str, window) -> tuple[Column, Column]:
@@ -129,4 +135,4 @@ def parabolic_peak(value: str, window) -> tuple[Column, Column]:
 
 def delayed(series: DataFrame, first: float) -> DataFrame:
     """Values one frame later, with a given first one."""
-    return series.withColumn("v", F.lag("v", 1, first).over(SERIES))
+    return series.withColumn("v", F.lag("v", 1, first).over(in_order()))

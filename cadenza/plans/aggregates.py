@@ -9,7 +9,11 @@ from cadenza.operators import groups as G
 from cadenza.plans._register import SERIES, VECTORS, query, r6
 from cadenza.sources import tables as S
 
-T = F.col("t").cast("long").alias("t")
+
+def t_():
+    """The frame as a long."""
+    return F.col("t").cast("long").alias("t")
+
 
 
 def frames(spark, d):
@@ -66,7 +70,7 @@ def a10(spark, d):
 
 @query("a11_frame_variance", f"WITH {VECTORS} SELECT series_id, t, round(var_samp(v), 9) AS var FROM x GROUP BY 1, 2")
 def a11(spark, d):
-    return S.vectors_long(spark, d).groupBy("series_id", "t").agg(F.round(F.var_samp("v"), 9).alias("var")).select("series_id", T, "var")
+    return S.vectors_long(spark, d).groupBy("series_id", "t").agg(F.round(F.var_samp("v"), 9).alias("var")).select("series_id", t_(), "var")
 
 
 @query("a12_laplace", "WITH m AS (SELECT c_mktsegment, median(c_acctbal) AS location FROM customer GROUP BY 1) SELECT c_mktsegment, round(location, 6) AS location, round(avg(abs(c_acctbal - location)), 6) AS scale FROM customer JOIN m USING (c_mktsegment) GROUP BY 1, 2")
@@ -130,7 +134,7 @@ def a21(spark, d):
 
 @query("a22_folded_sums", f"WITH {VECTORS} SELECT series_id, t, ch % 12 AS pitch, round(sum(v), 6) AS v FROM x WHERE ch < 60 GROUP BY 1, 2, 3")
 def a22(spark, d):
-    return S.vectors_long(spark, d).where("ch < 60").groupBy("series_id", "t", (F.col("ch") % 12).cast("long").alias("pitch")).agg(r6(F.sum("v")).alias("v")).select("series_id", T, "pitch", "v")
+    return S.vectors_long(spark, d).where("ch < 60").groupBy("series_id", "t", (F.col("ch") % 12).cast("long").alias("pitch")).agg(r6(F.sum("v")).alias("v")).select("series_id", t_(), "pitch", "v")
 
 
 @query("a23_sparse_accumulate", f"WITH {SERIES} SELECT series_id, (abs(v) / 7)::BIGINT AS bin, round(sum(v), 6) AS total FROM (SELECT series_id, floor(abs(v) / 7) * 7 AS q, v FROM s) GROUP BY 1, 2".replace("(abs(v) / 7)::BIGINT", "(q / 7)::BIGINT"))
@@ -146,7 +150,7 @@ def a24(spark, d):
 @query("a25_weighted_average", f"WITH {VECTORS} SELECT series_id, t, round(sum(ch * (abs(v) + 1e-8)) / sum(abs(v) + 1e-8), 6) AS centre FROM x GROUP BY 1, 2")
 def a25(spark, d):
     w = F.abs("v") + 1e-8
-    return S.vectors_long(spark, d).groupBy("series_id", "t").agg(r6(F.sum(F.col("ch") * w) / F.sum(w)).alias("centre")).select("series_id", T, "centre")
+    return S.vectors_long(spark, d).groupBy("series_id", "t").agg(r6(F.sum(F.col("ch") * w) / F.sum(w)).alias("centre")).select("series_id", t_(), "centre")
 
 
 @query("a26_strongest_channel", f"WITH {VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, ch) AS k FROM x) SELECT vec_id, ch FROM r WHERE k = 1")

@@ -11,7 +11,11 @@ from cadenza.plans._register import SERIES, VECTORS, query, r6
 from cadenza.plans.windows import CIRCULAR, COUNTS, SMOOTH, kernel_sql
 from cadenza.sources import tables as S
 
-T = F.col("t").cast("long").alias("t")
+
+def t_():
+    """The frame as a long."""
+    return F.col("t").cast("long").alias("t")
+
 
 
 def pixels(spark, d):
@@ -24,39 +28,39 @@ PIX = f"{VECTORS}, px AS (SELECT series_id AS video_id, t, ch // 8 AS y, ch % 8
 
 @query("v1_histograms", f"WITH {PIX}, en AS (SELECT video_id, t, min(v) AS a, max(v) AS b FROM px GROUP BY 1, 2), h AS (SELECT video_id, t, least(floor((v - a) / (b - a) * 6), 5)::INT AS bin, count(*) AS n FROM px JOIN en USING (video_id, t) GROUP BY 1, 2, 3) SELECT *, round(n / max(n) OVER (PARTITION BY video_id, t), 6) AS scaled FROM h")
 def v1(spark, d):
-    return G.range_histogram(pixels(spark, d), ["video_id", "t"], "v", 6).select("video_id", T, "bin", "n", r6(F.col("scaled")).alias("scaled"))
+    return G.range_histogram(pixels(spark, d), ["video_id", "t"], "v", 6).select("video_id", t_(), "bin", "n", r6(F.col("scaled")).alias("scaled"))
 
 
 @query("v2_frame_difference", f"WITH {PIX}, s AS (SELECT *, abs(lead(v) OVER (PARTITION BY video_id, y, x ORDER BY t) - v) AS d FROM px), f AS (SELECT video_id, t, sum(d) AS d FROM s GROUP BY 1, 2) SELECT video_id, t, round(coalesce(d, lag(d) OVER (PARTITION BY video_id ORDER BY t)), 6) AS d FROM f")
 def v2(spark, d):
-    return V.frame_difference(pixels(spark, d)).select("video_id", T, r6(F.col("d")).alias("d"))
+    return V.frame_difference(pixels(spark, d)).select("video_id", t_(), r6(F.col("d")).alias("d"))
 
 
 @query("v3_frame_variance", f"WITH {PIX} SELECT video_id, t, round(var_samp(v), 9) AS var FROM px GROUP BY 1, 2")
 def v3(spark, d):
-    return pixels(spark, d).groupBy("video_id", "t").agg(F.round(F.var_samp("v"), 9).alias("var")).select("video_id", T, "var")
+    return pixels(spark, d).groupBy("video_id", "t").agg(F.round(F.var_samp("v"), 9).alias("var")).select("video_id", t_(), "var")
 
 
 @query("v5_bands", f"WITH {PIX} SELECT video_id, t, CASE WHEN y < 3 THEN 'low' WHEN y < 6 THEN 'mid' ELSE 'high' END AS band, round(avg(v * v), 9) AS energy FROM px GROUP BY 1, 2, 3")
 def v5(spark, d):
     band = F.when(F.col("y") < 3, "low").when(F.col("y") < 6, "mid").otherwise("high").alias("band")
-    return pixels(spark, d).groupBy("video_id", "t", band).agg(F.round(F.avg(F.col("v") * F.col("v")), 9).alias("energy")).select("video_id", T, "band", "energy")
+    return pixels(spark, d).groupBy("video_id", "t", band).agg(F.round(F.avg(F.col("v") * F.col("v")), 9).alias("energy")).select("video_id", t_(), "band", "energy")
 
 
 @query("v8_centre_crop", f"WITH {PIX} SELECT video_id, t, y, x - 1 AS x, round(v, 6) AS v FROM px WHERE y < 6 AND x BETWEEN 1 AND 6")
 def v8(spark, d):
-    return V.centre_crop(pixels(spark, d).where("y < 6"), 6, 8).select("video_id", T, "y", "x", r6(F.col("v")).alias("v"))
+    return V.centre_crop(pixels(spark, d).where("y < 6"), 6, 8).select("video_id", t_(), "y", "x", r6(F.col("v")).alias("v"))
 
 
 @query("v9_circle_mix", f"WITH {PIX}, q AS (SELECT *, least(greatest((2 + 1.5 - sqrt(pow(y - 3.5, 2) + pow(x - 3.5, 2))) / 1.5, 0), 1) AS p FROM px) SELECT video_id, t, y, x, round(v * p - v * (1 - p), 6) AS v FROM q")
 def v9(spark, d):
     rows = pixels(spark, d)
-    return V.circle_mix(rows, rows.withColumn("v", -F.col("v")), 3.5, 3.5, 2.0, 1.5).select("video_id", T, "y", "x", r6(F.col("v")).alias("v"))
+    return V.circle_mix(rows, rows.withColumn("v", -F.col("v")), 3.5, 3.5, 2.0, 1.5).select("video_id", t_(), "y", "x", r6(F.col("v")).alias("v"))
 
 
 @query("v10_pooled", f"WITH {PIX} SELECT video_id, t, y // 4 AS y, x // 4 AS x, round(avg(v), 9) AS v FROM px GROUP BY 1, 2, 3, 4")
 def v10(spark, d):
-    return V.pooled(pixels(spark, d), 4).select("video_id", T, "y", "x", F.round("v", 9).alias("v"))
+    return V.pooled(pixels(spark, d), 4).select("video_id", t_(), "y", "x", F.round("v", 9).alias("v"))
 
 
 @query("g2_blend", f"WITH {SERIES}, {VECTORS}, a AS (SELECT ch AS d, max(v) FILTER (vec_id = 0) AS p, max(v) FILTER (vec_id = 1) AS q FROM x WHERE ch < 4 GROUP BY 1) SELECT s.series_id, s.t, d, round(p * (s.v / 100) + q * (1 - s.v / 100), 6) AS v FROM s CROSS JOIN a WHERE s.t < 8")
@@ -64,13 +68,13 @@ def g2(spark, d):
     pick = lambda k: F.max(F.when(F.col("vec_id") == k, F.col("v")))
     palette = S.vectors_long(spark, d).where("ch < 4 AND vec_id < 2").groupBy(F.col("ch").cast("long").alias("d")).agg(pick(0).alias("p"), pick(1).alias("q"))
     rows = S.events_series(spark, d).where("t < 8").crossJoin(F.broadcast(palette))
-    return rows.select("series_id", T, "d", r6(V.blend(F.col("p"), F.col("q"), F.col("v") / 100)).alias("v"))
+    return rows.select("series_id", t_(), "d", r6(V.blend(F.col("p"), F.col("q"), F.col("v") / 100)).alias("v"))
 
 
 @query("g4_smoothed_lookup", f"WITH {SERIES.replace('value AS v', '(event_id % 8)::DOUBLE AS v')}, {COUNTS}, {kernel_sql(1.25)} SELECT series_id, t, round(v, 6) AS v FROM ({SMOOTH.format(place=CIRCULAR)})")
 def g4(spark, d):
     rows = S.scan_series(S.table(spark, d, "events").withColumn("k", (F.col("event_id") % 8).cast("double")), "user_id", "ts", "k")
-    return W.gaussian(rows, 1.25).select("series_id", T, r6(F.col("v")).alias("v"))
+    return W.gaussian(rows, 1.25).select("series_id", t_(), r6(F.col("v")).alias("v"))
 
 
 LAYERS = "b AS (SELECT series_id, t, ch // 8 AS layer, ch % 8 AS d, v FROM x)"
@@ -88,7 +92,7 @@ def g5(spark, d):
 
 @query("g8_residual", f"WITH {SERIES} SELECT series_id, t, round(avg(v) OVER w, 6) AS \"offset\", round(v - avg(v) OVER w, 6) AS residual FROM s WINDOW w AS (PARTITION BY series_id)")
 def g8(spark, d):
-    return V.residual(S.events_series(spark, d), ["series_id"]).select("series_id", T, r6(F.col("offset")).alias("offset"), r6(F.col("residual")).alias("residual"))
+    return V.residual(S.events_series(spark, d), ["series_id"]).select("series_id", t_(), r6(F.col("offset")).alias("offset"), r6(F.col("residual")).alias("residual"))
 
 
 @query("g9_gates", f"WITH {VECTORS}, e AS (SELECT vec_id, ch, exp((v - max(v) OVER (PARTITION BY vec_id, ch // 8)) / 0.1) AS e FROM x) SELECT vec_id, ch, round(e / sum(e) OVER (PARTITION BY vec_id, ch // 8), 6) AS gate FROM e".replace("e AS (SELECT vec_id, ch, exp", "ex AS (SELECT vec_id, ch, exp").replace("AS gate FROM e", "AS gate FROM ex"))
@@ -100,12 +104,12 @@ def g9(spark, d):
 @query("g13_value_lookup", f"WITH {SERIES} SELECT series_id, t, floor(((v + 2.5) % 8 + 8) % 8)::BIGINT AS p FROM s")
 def g13(spark, d):
     rows = S.events_series(spark, d)
-    return rows.select("series_id", T, V.value_lookup(rows, 2.5, 8).alias("p"))
+    return rows.select("series_id", t_(), V.value_lookup(rows, 2.5, 8).alias("p"))
 
 
 @query("g14_tiled", f"WITH {SERIES}, n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), g AS (SELECT series_id, n, unnest(range(100)) AS i FROM n) SELECT g.series_id, i AS t, v FROM g JOIN s ON s.series_id = g.series_id AND s.t = i % n")
 def g14(spark, d):
-    return V.tiled(S.events_series(spark, d), 100).select("series_id", T, "v")
+    return V.tiled(S.events_series(spark, d), 100).select("series_id", t_(), "v")
 
 
 @query("g1_spline")

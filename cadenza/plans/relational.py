@@ -9,7 +9,11 @@ from cadenza.operators import rows as R
 from cadenza.plans._register import SERIES, VECTORS, query, r6
 from cadenza.sources import tables as S
 
-T = F.col("t").cast("long").alias("t")
+
+def t_():
+    """The frame as a long."""
+    return F.col("t").cast("long").alias("t")
+
 
 
 def long_series(spark, d):
@@ -18,7 +22,7 @@ def long_series(spark, d):
 
 @query("p1_crop", f"WITH {SERIES} SELECT series_id, t, v FROM s WHERE t >= 10 AND t < 40")
 def p1(spark, d):
-    return R.crop(long_series(spark, d), 10, 40).select("series_id", T, "v")
+    return R.crop(long_series(spark, d), 10, 40).select("series_id", t_(), "v")
 
 
 @query("p2_min_length", f"WITH {SERIES} SELECT series_id, count(*) AS n FROM s GROUP BY 1 HAVING count(*) > 60")
@@ -44,12 +48,12 @@ def p5(spark, d):
 
 @query("p6_thresholds", f"WITH {SERIES}, a AS (SELECT series_id, t, CASE WHEN v < max(v) OVER (PARTITION BY series_id) - 40 THEN 0 ELSE v END AS v FROM s) SELECT series_id, t, CASE WHEN v < (SELECT max(v) FROM a) - 60 THEN 0 ELSE v END AS v FROM a")
 def p6(spark, d):
-    return R.global_threshold(R.local_threshold(long_series(spark, d), ["series_id"], 40.0), 60.0).select("series_id", T, "v")
+    return R.global_threshold(R.local_threshold(long_series(spark, d), ["series_id"], 40.0), 60.0).select("series_id", t_(), "v")
 
 
 @query("p7_peaks", f"WITH {SERIES}, w AS (SELECT *, lag(v) OVER o AS a, lead(v) OVER o AS b FROM s WINDOW o AS (PARTITION BY series_id ORDER BY t)) SELECT series_id, t, v FROM w WHERE v > a AND v > b")
 def p7(spark, d):
-    return long_series(spark, d).withColumn("peak", R.is_peak()).where("peak").select("series_id", T, "v")
+    return long_series(spark, d).withColumn("peak", R.is_peak()).where("peak").select("series_id", t_(), "v")
 
 
 @query("p8_half_peaks", f"WITH {SERIES}, w AS (SELECT *, lag(v, 1, 0.0) OVER o AS a, lead(v, 1, 0.0) OVER o AS b FROM s WINDOW o AS (PARTITION BY series_id ORDER BY t)) SELECT series_id, count(*) AS n FROM w WHERE v > a AND v >= b GROUP BY 1")
@@ -83,7 +87,7 @@ def p12(spark, d):
 
 @query("p13_scale_ranges", f"WITH {SERIES} SELECT series_id, t, CASE WHEN t >= 20 AND t < 25 THEN v * 2 WHEN t >= 5 AND t < 10 THEN v * 0.5 ELSE v END AS v FROM s")
 def p13(spark, d):
-    return R.scale_ranges(long_series(spark, d), [(5, 10, 0.5), (20, 25, 2.0)]).select("series_id", T, "v")
+    return R.scale_ranges(long_series(spark, d), [(5, 10, 0.5), (20, 25, 2.0)]).select("series_id", t_(), "v")
 
 
 @query("j1_align", f"WITH {SERIES}, y AS (SELECT series_id - 1 AS series_id, t, v FROM s) SELECT s.series_id, count(*) AS n, round(sum(s.v * y.v), 6) AS dot FROM s JOIN y ON y.series_id = s.series_id AND y.t = s.t GROUP BY 1")
@@ -116,7 +120,7 @@ MARKS = "m AS (SELECT series_id, t AS start, grp AS label FROM s WHERE t % 13 =
 def j4(spark, d):
     rows = long_series(spark, d)
     marks = rows.where("t % 13 = 3").select("series_id", F.col("t").alias("start"), F.col("grp").alias("label"))
-    return R.label_intervals(rows, marks).select("series_id", T, "label")
+    return R.label_intervals(rows, marks).select("series_id", t_(), "label")
 
 
 @query("j5_beat_sync", f"WITH {SERIES}, b AS (SELECT *, count(*) FILTER (v > 70) OVER (PARTITION BY series_id ORDER BY t) AS beat FROM s) SELECT series_id, beat, count(*) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS mid FROM b GROUP BY 1, 2")
@@ -146,7 +150,7 @@ def j8(spark, d):
     palette = S.vectors_long(spark, d).where("vec_id < 8 AND ch < 3").select(F.col("vec_id").alias("p"), F.col("ch").cast("long").alias("d"), "v")
     weights = long_series(spark, d).where("t < 10").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
     mixed = R.mix(weights.select("series_id", "t", "p", ((F.col("v") + F.col("p")) / 100).alias("w")), palette)
-    return mixed.select("series_id", T, "d", r6(F.col("v")).alias("v"))
+    return mixed.select("series_id", t_(), "d", r6(F.col("v")).alias("v"))
 
 
 @query("j9_pairs_within", f"WITH {SERIES}, k AS MATERIALIZED (SELECT * FROM s WHERE t <= 15) SELECT a.series_id, count(*) AS n, round(sum(abs(a.v - b.v)), 6) AS gap FROM k a JOIN k b ON a.series_id = b.series_id AND a.t < b.t GROUP BY 1")
@@ -157,7 +161,7 @@ def j9(spark, d):
 
 @query("j12_nearest_resample", f"WITH {SERIES}, n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), g AS (SELECT series_id, n, unnest(range(32)) AS i FROM n) SELECT g.series_id, i AS t, v FROM g JOIN s ON s.series_id = g.series_id AND s.t = i * n // 32")
 def j12(spark, d):
-    return R.nearest_resample(long_series(spark, d), 32).select("series_id", T, "v")
+    return R.nearest_resample(long_series(spark, d), 32).select("series_id", t_(), "v")
 
 
 LINEAR = "n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), g AS (SELECT series_id, n, i, greatest({place}, 0.0) AS x FROM (SELECT series_id, n, unnest(range(40)) AS i FROM n)), h AS (SELECT *, least(floor(x), n - 1)::BIGINT AS lo, least(floor(x) + 1, n - 1)::BIGINT AS hi FROM g) SELECT h.series_id, i AS t, round(a.v * (1 - least(x - lo, 1.0)) + b.v * least(x - lo, 1.0), 6) AS v FROM h JOIN s a ON a.series_id = h.series_id AND a.t = lo JOIN s b ON b.series_id = h.series_id AND b.t = hi"
@@ -165,7 +169,7 @@ LINEAR = "n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), g AS (SELECT
 
 @query("j13_linear_resample", f"WITH {SERIES}, " + LINEAR.format(place="(i + 0.5::DOUBLE) * n / 40 - 0.5"))
 def j13(spark, d):
-    return R.linear_resample(long_series(spark, d), 40).select("series_id", T, r6(F.col("v")).alias("v"))
+    return R.linear_resample(long_series(spark, d), 40).select("series_id", t_(), r6(F.col("v")).alias("v"))
 
 
 @query("j14_attach_cached", "WITH f AS (SELECT l_orderkey AS k, sum(l_quantity) AS q FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1) SELECT o_orderkey, coalesce(q, -o_totalprice) AS score, q IS NULL AS computed FROM orders LEFT JOIN f ON k = o_orderkey")
@@ -187,17 +191,17 @@ def j16(spark, d):
 
 @query("j17_wrap_slice", f"WITH {SERIES}, n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), g AS (SELECT series_id, n, unnest(range(30)) AS i FROM n) SELECT g.series_id, i AS t, v FROM g JOIN s ON s.series_id = g.series_id AND s.t = (i + 37) % n")
 def j17(spark, d):
-    return R.wrap_slice(long_series(spark, d), 37, 30).select("series_id", T, "v")
+    return R.wrap_slice(long_series(spark, d), 37, 30).select("series_id", t_(), "v")
 
 
 @query("j18_linear_resample_ends", f"WITH {SERIES}, " + LINEAR.format(place="i::DOUBLE * (n - 1) / 39"))
 def j18(spark, d):
-    return R.linear_resample(long_series(spark, d), 40, ends=True).select("series_id", T, r6(F.col("v")).alias("v"))
+    return R.linear_resample(long_series(spark, d), 40, ends=True).select("series_id", t_(), r6(F.col("v")).alias("v"))
 
 
 @query("k1_largest", f"WITH {SERIES} SELECT series_id, t, v FROM s ORDER BY v DESC, series_id, t LIMIT 25")
 def k1(spark, d):
-    return long_series(spark, d).orderBy(F.desc("v"), "series_id", "t").limit(25).select("series_id", T, "v")
+    return long_series(spark, d).orderBy(F.desc("v"), "series_id", "t").limit(25).select("series_id", t_(), "v")
 
 
 @query("k2_top_spread", f"WITH {VECTORS}, c AS (SELECT ch FROM x GROUP BY ch ORDER BY round(stddev_samp(v), 9) DESC, ch LIMIT 6) SELECT series_id, round(avg(v * v), 6) AS energy FROM x WHERE ch IN (SELECT ch FROM c) GROUP BY 1")
@@ -211,7 +215,7 @@ def k2(spark, d):
 def k3(spark, d):
     curve = long_series(spark, d).groupBy("t").agg(F.avg("v").alias("m"))
     peaks = curve.withColumn("peak", R.is_peak("m", Window.partitionBy(F.lit(0)).orderBy("t"))).where("peak")
-    return peaks.orderBy(F.desc("m"), "t").limit(5).select(T, r6(F.col("m")).alias("mean"))
+    return peaks.orderBy(F.desc("m"), "t").limit(5).select(t_(), r6(F.col("m")).alias("mean"))
 
 
 @query("k4_rank_bands", "WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) - 1 AS rank, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey, rank FROM r WHERE (rank >= 0 AND rank < 5) OR (rank >= n // 4 AND rank < n // 4 + 5) OR (rank >= n // 2 AND rank < n // 2 + 5)")
@@ -222,7 +226,7 @@ def k4(spark, d):
 
 @query("k5_even_picks", f"WITH {SERIES}, r AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM s), p AS (SELECT DISTINCT series_id, floor(i * ((n - 1) / 8.0) + 0.5)::BIGINT AS t FROM r, range(9) AS k(i)) SELECT series_id, t, v FROM s JOIN p USING (series_id, t)")
 def k5(spark, d):
-    return R.even_picks(long_series(spark, d), ["series_id"], ["t"], 9).select("series_id", T, "v")
+    return R.even_picks(long_series(spark, d), ["series_id"], ["t"], 9).select("series_id", t_(), "v")
 
 
 @query("k6_number_in_name", "SELECT c_custkey, regexp_extract(c_name, '([0-9]+)', 1)::INT AS number FROM customer WHERE c_custkey % 7 = 0")
@@ -235,7 +239,7 @@ def k9(spark, d):
     rows = S.vectors_long(spark, d).withColumn("v", F.abs("v"))
     top = rows.groupBy("ch").agg(F.round(F.sum("v"), 9).alias("_s")).orderBy(F.desc("_s"), "ch").limit(8)
     share = F.col("v") / F.sum("v").over(Window.partitionBy("series_id", "t"))
-    return rows.join(top, "ch", "left_semi").select("series_id", T, F.col("ch").cast("long").alias("ch"), r6(share).alias("share"))
+    return rows.join(top, "ch", "left_semi").select("series_id", t_(), F.col("ch").cast("long").alias("ch"), r6(share).alias("share"))
 
 
 @query("u1_concatenate", "SELECT 'c' AS side, c_nationkey AS nation, round(c_acctbal, 6) AS bal FROM customer UNION ALL SELECT 's', s_nationkey, round(s_acctbal, 6) FROM supplier")
@@ -262,5 +266,5 @@ def u4(spark, d):
 
 @query("u5_interleave", f"WITH {SERIES} SELECT series_id, 2 * t AS t, v FROM s UNION ALL SELECT series_id, 2 * t + 1, -v FROM s")
 def u5(spark, d):
-    rows = long_series(spark, d).select("series_id", T, "v")
+    rows = long_series(spark, d).select("series_id", t_(), "v")
     return R.interleave(rows, rows.withColumn("v", -F.col("v")))

@@ -10,8 +10,16 @@ from cadenza.operators import rows as R
 from cadenza.plans._register import SERIES, VECTORS, query, r6
 from cadenza.sources import tables as S
 
-T = F.col("t").cast("long").alias("t")
-V = r6(F.col("v")).alias("v")
+
+def t_():
+    """The frame as a long."""
+    return F.col("t").cast("long").alias("t")
+
+
+def v_():
+    """The value, rounded."""
+    return r6(F.col("v")).alias("v")
+
 
 
 def frames(spark, d):
@@ -23,7 +31,7 @@ MINMAX = "({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w + 1e-8)"
 
 @query("n1_minmax", f"WITH {SERIES} SELECT series_id, t, round({MINMAX.format(x='v')}, 6) AS v FROM s WINDOW w AS (PARTITION BY series_id)")
 def n1(spark, d):
-    return frames(spark, d).select("series_id", T, r6(N.minmax()).alias("v"))
+    return frames(spark, d).select("series_id", t_(), r6(N.minmax()).alias("v"))
 
 
 QS = "q AS (SELECT series_id, quantile_cont(v, {a}) AS a, quantile_cont(v, {b}) AS b FROM s GROUP BY 1), c AS (SELECT series_id, t, least(greatest(v, a), b) AS v FROM s JOIN q USING (series_id))"
@@ -31,12 +39,12 @@ QS = "q AS (SELECT series_id, quantile_cont(v, {a}) AS a, quantile_cont(v, {b})
 
 @query("n2_standardize", f"WITH {SERIES}, {QS.format(a=0.25, b=0.75)} SELECT series_id, t, round({MINMAX.format(x='v')}, 6) AS v FROM c WINDOW w AS (PARTITION BY series_id)")
 def n2(spark, d):
-    return N.standardize(frames(spark, d), ["series_id"]).select("series_id", T, V)
+    return N.standardize(frames(spark, d), ["series_id"]).select("series_id", t_(), v_())
 
 
 @query("n3_clamp", f"WITH {SERIES}, {QS.format(a=0.1, b=0.9)} SELECT series_id, t, round(v, 6) AS v FROM c")
 def n3(spark, d):
-    return N.clamp(frames(spark, d), ["series_id"], 0.1, 0.9).select("series_id", T, V)
+    return N.clamp(frames(spark, d), ["series_id"], 0.1, 0.9).select("series_id", t_(), v_())
 
 
 PEAKS = "w AS (SELECT *, lag(v) OVER o AS a, lead(v) OVER o AS b FROM s WINDOW o AS (PARTITION BY series_id ORDER BY t)), k AS (SELECT series_id, quantile_cont(v, {q}) AS bound FROM w WHERE v > a AND v > b GROUP BY 1), p AS (SELECT series_id, t, least(v, coalesce(bound, v)) AS v FROM s LEFT JOIN k USING (series_id))"
@@ -44,17 +52,17 @@ PEAKS = "w AS (SELECT *, lag(v) OVER o AS a, lead(v) OVER o AS b FROM s WINDOW o
 
 @query("n4_clamp_to_peaks", f"WITH {SERIES}, {PEAKS.format(q=0.5)} SELECT series_id, t, round(v, 6) AS v FROM p")
 def n4(spark, d):
-    return N.clamp_to_peaks(frames(spark, d), 0.5).select("series_id", T, V)
+    return N.clamp_to_peaks(frames(spark, d), 0.5).select("series_id", t_(), v_())
 
 
 @query("n5_envelope", f"WITH {SERIES}, {PEAKS.format(q=0.6)} SELECT series_id, t, round(greatest(v, 0) / max(greatest(v, 0)) OVER (PARTITION BY series_id), 6) AS v FROM p")
 def n5(spark, d):
-    return N.envelope(frames(spark, d), 0.6).select("series_id", T, V)
+    return N.envelope(frames(spark, d), 0.6).select("series_id", t_(), v_())
 
 
 @query("n6_emphasize", f"WITH {SERIES}, l AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM s WINDOW w AS (PARTITION BY series_id)), x AS (SELECT *, (v - lo) / (hi - lo) AS x FROM l), q AS (SELECT series_id, quantile_cont(x, 0.7) AS q FROM x GROUP BY 1), y AS (SELECT x.*, x * (1 + tanh(4 * (x - q))) AS y FROM x JOIN q USING (series_id)) SELECT series_id, t, round((y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w) * (hi - lo) + lo, 6) AS v FROM y WINDOW w AS (PARTITION BY series_id)")
 def n6(spark, d):
-    return N.emphasize(frames(spark, d), 4.0, 0.7).select("series_id", T, V)
+    return N.emphasize(frames(spark, d), 4.0, 0.7).select("series_id", t_(), v_())
 
 
 @query("n7_row_norms", f"WITH {VECTORS} SELECT vec_id, ch, round(v / sum(abs(v)) OVER w, 6) AS l1, round(v / sqrt(sum(v * v) OVER w), 6) AS l2, round(v / max(abs(v)) OVER w, 6) AS top FROM x WINDOW w AS (PARTITION BY vec_id)")
@@ -65,19 +73,19 @@ def n7(spark, d):
 
 @query("n8_decibel", f"WITH {SERIES}, b AS (SELECT series_id, t, 10 * log10(greatest(pow(v / 1000, 4), 1e-10)) AS v FROM s) SELECT series_id, t, round(greatest(v, (SELECT max(v) FROM b) - 40), 6) AS v FROM b")
 def n8(spark, d):
-    return N.decibel(frames(spark, d).withColumn("v", F.pow(F.col("v") / 1000, F.lit(4.0))), span=40.0).select("series_id", T, V)
+    return N.decibel(frames(spark, d).withColumn("v", F.pow(F.col("v") / 1000, F.lit(4.0))), span=40.0).select("series_id", t_(), v_())
 
 
 @query("n9_mel", f"WITH {SERIES}, f AS (SELECT series_id, t, 20 + abs(v) * 30 AS f FROM s), m AS (SELECT *, CASE WHEN f >= 1000 THEN 15 + ln(f / 1000) * (27 / ln(6.4)) ELSE f * 3 / 200 END AS m FROM f) SELECT series_id, t, round(m, 6) AS slaney, round(2595 * log10(1 + f / 700), 6) AS htk, round(CASE WHEN m >= 15 THEN 1000 * exp((m - 15) * (ln(6.4) / 27)) ELSE m * 200 / 3 END, 6) AS back FROM m")
 def n9(spark, d):
     f = 20 + F.abs("v") * 30
-    return frames(spark, d).select("series_id", T, r6(N.hz_to_mel(f)).alias("slaney"), r6(N.hz_to_mel(f, htk=True)).alias("htk"), r6(N.mel_to_hz(N.hz_to_mel(f))).alias("back"))
+    return frames(spark, d).select("series_id", t_(), r6(N.hz_to_mel(f)).alias("slaney"), r6(N.hz_to_mel(f, htk=True)).alias("htk"), r6(N.mel_to_hz(N.hz_to_mel(f))).alias("back"))
 
 
 @query("n10_octave_midi", f"WITH {SERIES}, f AS (SELECT series_id, t, 20 + abs(v) * 30 AS f FROM s) SELECT series_id, t, round(log2(f / 27.5), 6) AS octave, round(12 * log2(f / 440) + 69, 6) AS midi FROM f")
 def n10(spark, d):
     f = 20 + F.abs("v") * 30
-    return frames(spark, d).select("series_id", T, r6(N.hz_to_octave(f)).alias("octave"), r6(N.hz_to_midi(f)).alias("midi"))
+    return frames(spark, d).select("series_id", t_(), r6(N.hz_to_octave(f)).alias("octave"), r6(N.hz_to_midi(f)).alias("midi"))
 
 
 @query("n11_polar", "SELECT vec_id, round(sqrt(embedding[1]::DOUBLE ** 2 + embedding[2]::DOUBLE ** 2), 6) AS mag, round(atan2(embedding[2]::DOUBLE, embedding[1]::DOUBLE), 6) AS ang FROM embeddings")
@@ -99,7 +107,7 @@ def n12(spark, d):
 @query("n15_soft_mask", f"WITH {SERIES}, a AS (SELECT series_id, t, greatest(v, 0) AS x, greatest(60 - v, 0) AS y FROM s) SELECT series_id, t, round(CASE WHEN greatest(x, y) <= 0 THEN 0.5 ELSE pow(x / greatest(x, y), 2) / (pow(x / greatest(x, y), 2) + pow(y / greatest(x, y), 2)) END, 6) AS m FROM a")
 def n15(spark, d):
     x, y = F.greatest("v", F.lit(0.0)), F.greatest(60 - F.col("v"), F.lit(0.0))
-    return frames(spark, d).select("series_id", T, r6(N.soft_mask(x, y)).alias("m"))
+    return frames(spark, d).select("series_id", t_(), r6(N.soft_mask(x, y)).alias("m"))
 
 
 LCG1 = "(({id}) * 1103515245 + {seed} * 12345) % 2147483648"
@@ -119,7 +127,7 @@ def n18(spark, d):
 @query("n19_permute_share", f"WITH {SERIES}, c AS (SELECT *, (series_id * 31 + t) % 3 = 0 AS c FROM s), o AS (SELECT series_id, t, v, row_number() OVER (PARTITION BY series_id ORDER BY t) AS i, row_number() OVER (PARTITION BY series_id ORDER BY {LCG1.format(id='series_id * 1000 + t', seed=5)}, t) AS j FROM c WHERE c) SELECT a.series_id, a.t, b.v FROM o a JOIN o b ON a.series_id = b.series_id AND a.i = b.j UNION ALL SELECT series_id, t, v FROM c WHERE NOT c")
 def n19(spark, d):
     chosen, key = (F.col("series_id") * 31 + F.col("t")) % 3 == 0, S.lcg(F.col("series_id") * 1000 + F.col("t"), 5)
-    return N.permute_share(frames(spark, d), chosen, key).select("series_id", T, "v")
+    return N.permute_share(frames(spark, d), chosen, key).select("series_id", t_(), "v")
 
 
 @query("n20_perturbation_grid", f"WITH {SERIES} SELECT k.s AS strength, round(avg(v * k.s + k.s), 6) AS mean, round(avg(pow(abs(v) / 100, k.s)), 6) AS power FROM s, (VALUES (0.5::DOUBLE), (1), (2)) AS k(s) GROUP BY 1")
@@ -160,7 +168,7 @@ def n24(spark, d):
 
 @query("n25_contrast", f"WITH {SERIES} SELECT series_id, t, round(sin(v / 100 * (pi() / 2) + 0.1 * sin(4 * (v / 100 * (pi() / 2)))), 6) AS v FROM s")
 def n25(spark, d):
-    return frames(spark, d).select("series_id", T, r6(N.contrast(F.col("v") / 100)).alias("v"))
+    return frames(spark, d).select("series_id", t_(), r6(N.contrast(F.col("v") / 100)).alias("v"))
 
 
 @query("n26_magnitude_phase", "SELECT vec_id, round(pow(sqrt(embedding[3]::DOUBLE ** 2 + embedding[4]::DOUBLE ** 2), 1.5), 6) AS power, round(cos(atan2(embedding[4]::DOUBLE, embedding[3]::DOUBLE)), 6) AS re FROM embeddings")
