@@ -231,6 +231,42 @@ def test_repeated_passages(spark):
     assert len(left[3].split()) >= 125
 
 
+def five_words(words):
+    (_, hashes, _), *_ = substring_dup._shingles.documents([" ".join(words)], lower=True)
+    return substring_dup._shingles.shingle(hashes, 5)
+
+
+def test_passages_with_changed_words():
+    """One changed word at every place, and two at many, against the similarity of the planted passages."""
+    tried = 0
+    for n in (50, 55, 60, 75, 85, 100):
+        core = prose(n, n).split()
+        before, after = prose(1000 + n, 37).split(), prose(2000 + n, 41).split()
+        for changed in [(i,) for i in range(n)] + [(i, j) for i in range(0, n, 4) for j in range(i + 1, n, 5)]:
+            other = [f"new{i}" if i in changed else w for i, w in enumerate(core)]
+            sets = sets_of([(0, " ".join(core)), (1, " ".join(other))], 5)
+            if len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1]):
+                continue
+            same = [i for i in range(n - 4) if not any(i <= c < i + 5 for c in changed)]
+            anchor = random.Random(n).choice(same)
+            spans = substring_dup.passages(five_words(before + core + after), five_words(after + other + before), [(37 + anchor, 41 + anchor)])
+            assert any(p <= 37 + same[0] and q >= 37 + same[-1] + 5 and r <= 41 + same[0] and s >= 41 + same[-1] + 5 and min(q - p, s - r) >= 50 for p, q, r, s in spans), (n, changed)
+            tried += 1
+    assert tried > 800
+
+
+def test_changed_word_in_repeated_passages(spark):
+    """A word changed in the middle of passages of 60 and 85 words, through the query."""
+    rows = []
+    for k, n in enumerate((60, 85, 60, 85, 100)):
+        core = prose(700 + k, n).split()
+        other = [*core[: n // 2], "changed", *core[n // 2 + 1 :]]
+        rows += [(2 * k, f"{prose(800 + k, 30)} {' '.join(core)} {prose(810 + k, 30)}", "en", "a"), (2 * k + 1, f"{prose(820 + k, 30)} {' '.join(other)} {prose(830 + k, 30)}", "en", "a")]
+    found = {(r["doc_id"], r["first_doc_id"]): (r["start_word"], r["end_word"]) for r in substring_dup.repeats(documents(spark, rows)).collect()}
+    assert set(found) == {(2 * k + 1, 2 * k) for k in range(5)}
+    assert all(start <= 30 and end >= 30 + n for (start, end), n in zip([found[2 * k + 1, 2 * k] for k in range(5)], (60, 85, 60, 85, 100)))
+
+
 def test_html():
     page = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header><a href=/>Site</a></header><nav><ul><li>Home</ul></nav>
     <div class="cookie-notice">We use cookies, friend.</div><article><h1>Head&eacute;r  one</h1><p>First paragraph, with <b>bold</b> text<br>and a break.<p>Second&nbsp;one &lt;x&gt;.</p>
