@@ -267,6 +267,18 @@ def test_changed_word_in_repeated_passages(spark):
     assert all(start <= 30 and end >= 30 + n for (start, end), n in zip([found[2 * k + 1, 2 * k] for k in range(5)], (60, 85, 60, 85, 100)))
 
 
+def test_equal_passages_of_one_template(spark):
+    """Two copies of each filled-in passage of a template: every second one repeats its own first one."""
+    form, rows = prose(40, 60).split(), []
+    for i in range(300):
+        own = [f"{w}{i}" if k % 20 == 7 else w for k, w in enumerate(form)]
+        for j in (i, 1000 + (i * 7) % 300):
+            rows.append((j, f"{prose(5000 + j, 20)} {' '.join(own)} {prose(7000 + j, 20)}", "en", "a"))
+    found = substring_dup.repeats(documents(spark, rows)).collect()
+    whole = {(r["doc_id"], r["first_doc_id"]) for r in found if r["start_word"] <= 20 and r["end_word"] >= 80}
+    assert {(1000 + (i * 7) % 300, i) for i in range(300)} <= whole
+
+
 def test_html():
     page = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header><a href=/>Site</a></header><nav><ul><li>Home</ul></nav>
     <div class="cookie-notice">We use cookies, friend.</div><article><h1>Head&eacute;r  one</h1><p>First paragraph, with <b>bold</b> text<br>and a break.<p>Second&nbsp;one &lt;x&gt;.</p>
