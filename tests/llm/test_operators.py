@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from cadenza.llm import bpe, html_text, language, media, mixing, near_dup, quality_rules, queries, quotes, rule_ensemble, substring_dup
+from cadenza.llm import _graph, bpe, html_text, language, media, mixing, near_dup, quality_rules, queries, quotes, rule_ensemble, substring_dup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("n", "r", "st", "")]
@@ -192,6 +192,15 @@ def test_near_dup_crowds(spark):
     assert found == {i: top(i) for i in sets}
 
 
+def test_components_of_long_paths(spark):
+    """Paths of several hundred nodes: in random order, and with the smallest at the far end."""
+    draw = random.Random(1)
+    paths = [draw.sample(range(1000, 1400), 400), [*range(2001, 2200), 2000], draw.sample(range(5000, 5200), 200)]
+    links = spark.createDataFrame([(a, b) for p in paths for a, b in zip(p, p[1:])], "a long, b long")
+    found = {r["node"]: r["component"] for r in _graph.components(links).collect()}
+    assert found == {i: min(p) for p in paths for i in p}
+
+
 def test_quality_classifier(spark):
     good = [(i, prose(i, 120), "en", "a") for i in range(150)]
     bad = [(1000 + i, " ".join(f"{w}###" for w in prose(i, 60).split()), "en", "a") for i in range(80)]
