@@ -4,9 +4,10 @@ A document is the set of its word shingles. Its signature has PERMUTATIONS value
 trees orders the documents by the signature turned to another starting value. Documents that share
 the first values in a tree are its neighbours by longest common prefix. Where a prefix is shared by
 few documents, all of them are candidate pairs; where it is shared by more than CROWD, each is paired
-with the first of them, and the depth grows there until the prefix tells them apart. Pairs of a region of
-at most DENSE documents that this leaves in different components are compared in a second round. Candidates are compared by
-signature, then confirmed on the full shingle sets of the whole texts; links make components.
+with the first of them, and the depth grows there until the prefix tells them apart. Documents of such
+regions that this leaves in different components are joined in a second round by the rarest shingles of their whole
+sets: two sets that are similar enough share one among the first of both, whatever the size of the region. Candidates are
+compared by signature, then confirmed on the full shingle sets of the whole texts; links make components.
 
 Equal sets are one node before anything is paired, so that exact copies cost one row each. Nothing is
 dropped for being frequent.
@@ -19,6 +20,7 @@ row with a null id is a component of its own (component_id null, kept); an empty
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,8 @@ PERMUTATIONS = 128
 #: Values shared by candidates, and how the depth grows in crowded regions.
 DEPTHS = (3, 5, 8, 12, 20, 36, 68, 128)
 CROWD = 32
-#: In regions of up to so many, pairs that the first links left in different components are compared too.
-DENSE = 128
+#: Leading bits of a shingle by which its frequency is counted.
+COUNTED = 20
 #: Pairs whose signatures agree in fewer of the values than threshold - SLACK are not compared in full:
 #: five standard deviations below the threshold.
 SLACK = 0.16
@@ -92,11 +94,11 @@ def alike(threshold: float) -> Column:
     return F.least("na", "nb") >= threshold * F.greatest("na", "nb")
 
 
-def candidates(nodes: DataFrame, threshold: float) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
-    """Pairs (a, b) with a < b that share a prefix in some tree, and the members (key, node, n) of the
-    regions of more than CROWD and at most DENSE documents, whose pairs are not all among them;
-    last, what these read. nodes: node, n, values."""
-    crowds: list[DataFrame] = []
+def candidates(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """Pairs (a, b) with a < b that share a prefix in some tree, and the members (key, node) of the
+    regions of more than CROWD documents, whose pairs are not all among them; last, what these read.
+    nodes: node, n, values."""
+    crowds: DataFrame | None = None
     written: list[DataFrame] = []
     rows = nodes.select("node", "n", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "values")
     rows = rows.select("node", "n", "tree", F.xxhash64("tree", turned(F.col("tree"), DEPTHS[0])).alias("key"))
@@ -113,7 +115,7 @@ def candidates(nodes: DataFrame, threshold: float) -> tuple[DataFrame, list[Data
         many = members.where(F.col("size") > CROWD)
         if many.isEmpty():
             break
-        crowds.append(many.where(F.col("size") <= DENSE).select("key", "node", "n"))
+        crowds = many.select("key", "node") if crowds is None else crowds
         found.append(many.where("node > low.node").select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb")))
         if level + 1 == len(DEPTHS):
             break
@@ -125,15 +127,72 @@ def candidates(nodes: DataFrame, threshold: float) -> tuple[DataFrame, list[Data
     return out.distinct(), crowds, written
 
 
-def apart(crowds: list[DataFrame], labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a region's documents that are not in one component yet."""
-    out = None
-    for members in crowds:
-        named = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-        left, right = named.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), named.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike(threshold)).select("a", "b")
-        out = pairs if out is None else out.union(pairs)
-    return out.distinct()
+def _sets(batch: pd.DataFrame, words: int, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
+    for first, hashes, bounds in _shingles.documents(list(batch["text"]), lower):
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            yield first + i, _shingles.shingle_set(hashes[a:b], words)
+
+
+def shingle_counts(texts: DataFrame, words: int, lower: bool) -> np.ndarray:
+    """How many sets hold shingles of the same COUNTED leading bits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << COUNTED, np.int64)
+        for batch in batches:
+            for _, own in _sets(batch, words, lower):
+                np.add.at(counts, (own >> np.uint64(64 - COUNTED)).astype(np.int64), 1)
+        slots = np.flatnonzero(counts)
+        yield pd.DataFrame({"slot": slots, "n": counts[slots]})
+
+    out = np.zeros(1 << COUNTED, np.int64)
+    found = texts.select("text").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
+def rarest(texts: DataFrame, counts: np.ndarray, words: int, lower: bool, percent: int) -> DataFrame:
+    """The first shingles of each set of texts (node, c, text), rarest first: shingle, node, c, n and place. A set with a similarity of
+    `percent` to one of at most its size has a shingle in common with it among these."""
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for i, own in _sets(batch, words, lower):
+                n = len(own)
+                rank = np.lexsort((own, sent.value[(own >> np.uint64(64 - COUNTED)).astype(np.int64)]))[: n + percent * -n // 100 + 1 if n else 0]
+                parts.append((i, n, own[rank]))
+            many = [len(p[2]) for p in parts]
+            rows = np.repeat([p[0] for p in parts], many).astype(np.int64)
+            place = np.concatenate([np.arange(k) for k in many]) if many else np.zeros(0, np.int64)
+            shingle = np.concatenate([p[2] for p in parts]) if many else np.zeros(0, np.uint64)
+            yield pd.DataFrame({"shingle": shingle.view(np.int64), "node": batch["node"].to_numpy()[rows], "c": batch["c"].to_numpy()[rows], "n": np.repeat([p[1] for p in parts], many), "place": place})
+
+    kind = texts.schema["node"].dataType.simpleString()
+    return texts.select("node", "c", "text").mapInPandas(run, f"shingle long, node {kind}, c {kind}, n long, place long")
+
+
+def apart(crowds: DataFrame, labels: DataFrame, texts: DataFrame, words: int, lower: bool, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of the crowded regions (key, node) that are not in one component yet and can be
+    similar: a prefix join. The first common shingle of such a pair, rarest first, has after it enough of
+    either set for the rest of what they must share."""
+    named = crowds.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    members = named.join(mixed, "key", "left_semi").select("node", "c").distinct()
+    held = stage(texts.join(members.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "c", "text"), "crowds")
+    rows = stage(rarest(held, shingle_counts(held, words, lower), words, lower, percent), "rarest")
+    discard(held)
+    mixed = rows.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
+    shared = stage(rows.join(mixed.hint("merge"), "shingle"), "rarest-shared")
+    discard(rows)
+    names = ("node", "c", "n", "place")
+    x, y = (shared.select("shingle", *(F.col(k).alias(f"{k}_{side}") for k in names)) for side in "xy")
+    least = f"ceil({percent} * (n_x + n_y) / {100 + percent}.0)"  # what a similar pair shares
+    x = x.where(f"(n_x - place_x) * {100 + percent} >= {2 * percent} * n_x")
+    pairs = x.join(y, "shingle").where(f"(n_x < n_y or n_x = n_y and node_x < node_y) and c_x <> c_y and 100 * n_x >= {percent} * n_y and n_x - place_x >= {least} and n_y - place_y >= {least}")
+    out = stage(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), "apart")
+    discard(shared)
+    return out
 
 
 def agree(left: Column, right: Column) -> Column:
@@ -195,11 +254,12 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True,
     pairs = stage(pairs, "pairs")
     links = confirmed(pairs, "1")
     labels = components(links, "near")
-    if crowds:
-        rest = stage(apart(crowds, labels, percent / 100).join(pairs, ["a", "b"], "left_anti"), "apart")
+    if crowds is not None:
+        left = apart(crowds, labels, texts, words, lower, percent)
+        rest = stage(left.join(pairs, ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
             labels = components(links.union(confirmed(rest, "2")), "near-2")
-        discard(rest)
+        discard(left, rest)
     discard(*written, pairs, links)
     classes = nodes.join(labels, "node", "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "node").alias("_class"))
     out = signed.join(classes, F.col("digest") == F.col("_digest"), "left")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -201,6 +202,45 @@ def test_components_of_long_paths(spark):
     assert found == {i: min(p) for p in paths for i in p}
 
 
+def test_near_dup_in_a_large_region(spark):
+    """Pairs at the threshold among 1200 documents of one template that are nearly similar to each other."""
+    form, draw, rows = prose(77, 260).split(), random.Random(6), []
+    for i in range(1100):
+        own = list(form)
+        for k in draw.sample(range(260), 6):
+            own[k] = f"fill{i}x{k}"
+        rows.append((i, " ".join(own), "en", "a"))
+    for i in range(100):
+        own = rows[i][1].split()
+        for k in draw.sample(range(260), 5):
+            own[k] = f"other{i}x{k}"
+        rows.append((5000 + i, " ".join(own), "en", "a"))
+    sets, root = sets_of(rows, 5), {r[0]: r[0] for r in rows}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    held = {}
+    for i, own in sets.items():
+        for g in own:
+            held.setdefault(g, []).append(i)
+    place = {i: k for k, i in enumerate(sets)}
+    sizes, both = np.array([len(x) for x in sets.values()]), np.zeros((len(sets), len(sets)), int)
+    for docs in held.values():
+        at = [place[i] for i in docs]
+        both[np.ix_(at, at)] += 1
+    links = [(a, b) for a, b in zip(*np.nonzero(100 * both >= 82 * (sizes[:, None] + sizes - both))) if a < b]
+    assert len(links) >= 100
+    ids = list(sets)
+    for a, b in links:
+        x, y = sorted((top(ids[a]), top(ids[b])))
+        root[y] = x
+    found = {r["doc_id"]: r["component_id"] for r in near_dup.link(documents(spark, rows), words=5, percent=82).collect()}
+    assert found == {i: top(i) for i in sets}
+
+
 def test_quality_classifier(spark):
     good = [(i, prose(i, 120), "en", "a") for i in range(150)]
     bad = [(1000 + i, " ".join(f"{w}###" for w in prose(i, 60).split()), "en", "a") for i in range(80)]
