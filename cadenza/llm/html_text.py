@@ -6,6 +6,8 @@ A path's ratio is its length per leaf; its punctuation ratio is its punctuation
 smoothed over the paths in page order, multiplied (fused), and paths above a threshold derived from
 their own spread are content. Content paths vote for the element that holds most of their text; all
 text below it, other than in parts that are never content (navigation, scripts, forms, ...), is the result.
+Parts whose names say that they stand around the article are left out too, unless one holds most of what
+the page has outside of such parts and in it.
 
 Defined results: null, empty and text-free html give an empty text; unclosed, repeated and unknown tags
 are taken as browsers do in simple cases; deep nesting and long pages are parsed whole, without
@@ -61,13 +63,14 @@ class Leaf:
     block: int
     text: str
     never: bool
+    around: tuple[int, ...]
 
 
 def leaves(page: str) -> tuple[list[Leaf], dict[int, str]]:
-    """Leaves in page order, and the tag of each element."""
+    """Leaves in page order, and the tag of each element. around: the elements above a leaf that are named so."""
     found: list[Leaf] = []
     tags: dict[int, str] = {}
-    stack: list[tuple[str, int, bool, str]] = []  # tag, element, never content, name in paths
+    stack: list[tuple[str, int, bool, str, tuple[int, ...]]] = []  # tag, element, never content, name in paths, elements named so
     block, made, at = 0, 0, 0
     within: tuple[tuple[str, ...], tuple[int, ...]] | None = None
 
@@ -77,7 +80,7 @@ def leaves(page: str) -> tuple[list[Leaf], dict[int, str]]:
             return
         if within is None:
             within = tuple(x[3] for x in stack), tuple(x[1] for x in stack)
-        found.append(Leaf(*within, block, html.unescape(text) if decode and "&" in text else text, bool(stack and stack[-1][2])))
+        found.append(Leaf(*within, block, html.unescape(text) if decode and "&" in text else text, bool(stack and stack[-1][2]), stack[-1][4] if stack else ()))
 
     def close(n: int) -> None:
         nonlocal block, within
@@ -136,7 +139,7 @@ def leaves(page: str) -> tuple[list[Leaf], dict[int, str]]:
         names = " ".join(v for _, v in kinds)
         around = bool(names and name not in ("body", "html", "main", "article") and AROUND.search(names))
         inside = any(x[0] in ("article", "main") for x in stack)
-        never = bool(stack and stack[-1][2]) or name in NEVER or around or (name == "header" and not inside) or bool(rest and HIDDEN.search(rest))
+        never = bool(stack and stack[-1][2]) or name in NEVER or (name == "header" and not inside) or bool(rest and HIDDEN.search(rest))
         style = next((v.split() for k, v in kinds if k == "class" and v.split()), [])
         if name in RAW and name != "noscript":
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
@@ -145,7 +148,8 @@ def leaves(page: str) -> tuple[list[Leaf], dict[int, str]]:
             continue
         if rest.rstrip().endswith("/") and name in ("svg", "path", "g", "use"):
             continue
-        stack.append((name, made, never, f"{name}.{style[0]}" if style else name))
+        named = stack[-1][4] if stack else ()
+        stack.append((name, made, never, f"{name}.{style[0]}" if style else name, (*named, made) if around else named))
         within = None
     return found, tags
 
@@ -179,12 +183,27 @@ def content_paths(found: list[Leaf]) -> dict[tuple[str, ...], float]:
     return {p: float(v * nodes[p]) for p, v in zip(paths, fused, strict=True) if v >= bound}
 
 
+def outer(found: list[Leaf]) -> set[int]:
+    """The elements named as parts around the article that hold at least half of the text that can be content:
+    their names tell nothing, so that they are wrappers."""
+    held: dict[int, int] = defaultdict(int)
+    total = 0
+    for leaf in found:
+        if not leaf.never:
+            n = len(leaf.text.strip())
+            total += n
+            for element in leaf.around:
+                held[element] += n
+    return {e for e, n in held.items() if 2 * n >= total}
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the article, one a line."""
     if not page:
         return ""
     found, tags = leaves(page)
-    own = [x for x in found if not x.never]
+    wrappers = outer(found)
+    own = [x for x in found if not x.never and wrappers.issuperset(x.around)]
     good = content_paths(own)
     if not good:
         return ""
@@ -199,6 +218,14 @@ def main_text(page: str | None) -> str:
     articles = [e for e in mass if tags[e] in ("article", "main")]
     # the innermost element with nearly all content text; an article or main element with half of it is taken as such
     chosen = max((e for e in articles if mass[e] >= 0.5 * total), key=lambda e: (tags[e] == "article", mass[e]), default=None)
+    if chosen is not None and tags[chosen] == "article":
+        parts: dict[int, float] = defaultdict(float)  # of the text in articles
+        for leaf in own:
+            if leaf.path in good and any(tags[e] == "article" for e in leaf.above):
+                for element in leaf.above:
+                    parts[element] += len(leaf.text.strip())
+        if parts[chosen] < 0.8 * max(parts.values()):  # one article of several: the innermost element that holds nearly all of them
+            chosen = max(e for e in parts if parts[e] >= 0.8 * max(parts.values()))
     if chosen is None:
         holds = [e for e in mass if mass[e] >= 0.8 * total and tags[e] not in ("p", "b", "i", "em", "strong", "span", "a", "font", "u", "h1", "h2", "h3")]
         chosen = max(holds, default=None)

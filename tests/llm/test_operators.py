@@ -340,6 +340,15 @@ def test_html():
     assert html_text.main_text(f"<div class=menu><a>x</a></div><div id=content>{body}</div><div class=footer>(c)</div>").count("\n") == 5
 
 
+def test_html_wrappers_and_several_articles():
+    one, two = "<p>A first paragraph, with a comma, and a second one.</p>" * 6, "<p>Another part of the page, with its own text, here.</p>" * 4
+    for name in ("site no-sidebar", "content has-sidebar", "elementor-widget widget"):
+        text = html_text.main_text(f"<body><div class='{name}'><nav>x</nav><div class=post>{one}</div><div class=sidebar>Links here.</div></div></body>")
+        assert text.count("first paragraph") == 6 and "Links" not in text
+    text = html_text.main_text(f"<body><main><article>{one}</article><article>{two}</article></main><div class=sidebar>Links here.</div></body>")
+    assert text.count("first paragraph") == 6 and text.count("Another part") == 4 and "Links" not in text
+
+
 def test_mix(spark):
     draw = random.Random(6)
     rows = [(i, prose(i, draw.randint(1, 300)), "en", "abcde"[i % 5] if i % 11 else None) for i in range(900)] + [(5000, "w " * 9000, "en", "c"), (5001, None, "en", "z")]
