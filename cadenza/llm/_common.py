@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in one Arrow batch. Texts are a few KB on average and some are MBs, so batches stay small.
+#: Rows and bytes of one Arrow batch. Texts are a few KB on average and some are MBs, so batches stay small.
 BATCH_ROWS = 256
+BATCH_BYTES = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that a Python worker holds a few MB of text at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is made only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one is made for a session in local mode (tests),
+    whose tasks all see it; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-cadenza-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -56,6 +61,14 @@ def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free(name: str, *tables: DataFrame) -> str:
+    """name, with as many underscores before it as no column of the tables has."""
+    held = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def id_crc(col: str):
     """crc32 of an id written as text."""
     return F.crc32(F.col(col).cast("string"))

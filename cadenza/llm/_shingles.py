@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+#: Bytes that are hashed at a time; longer words are hashed whole.
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,15 +23,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    got = _powers.get(kind)
-    if got is None or len(got) < n:
-        row = np.full(max(n, 1 << 20), base, np.uint64)
-        row[0] = 1
-        got = np.multiply.accumulate(row)
-        if n <= 1 << 23:
-            _powers[kind] = got
-    return got[:n]
+@functools.cache
+def _powers(inverse: bool) -> np.ndarray:
+    row = np.full(BLOCK, _BASE_INV if inverse else _BASE, np.uint64)
+    row[0] = 1
+    return np.multiply.accumulate(row)
+
+
+def _power(inverse: bool, n: int) -> np.ndarray:
+    if n <= BLOCK:
+        return _powers(inverse)[:n]
+    row = np.full(n, _BASE_INV if inverse else _BASE, np.uint64)
+    row[0] = 1
+    return np.multiply.accumulate(row)
 
 
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,14 +47,22 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _hash_block(raw: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _power(False, len(raw)), out=sums[1:])
+    return mix((sums[past] - sums[first]) * _power(True, len(raw))[first] + (past - first).astype(np.uint64))
+
+
 def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word of data, and the place of its first byte. Equal words have equal hashes."""
     raw, first, past = word_spans(data)
-    if not len(first):
-        return np.zeros(0, np.uint64), first
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _power("up", _BASE, len(raw)), out=sums[1:])
-    return mix((sums[past] - sums[first]) * _power("down", _BASE_INV, len(raw))[first] + (past - first).astype(np.uint64)), first
+    out, at = np.zeros(len(first), np.uint64), 0
+    while at < len(first):  # the words that end within BLOCK bytes from here, or one longer word
+        start = first[at]
+        to = max(at + 1, int(np.searchsorted(past, start + BLOCK, "right")))
+        out[at:to] = _hash_block(raw[start : past[to - 1]], first[at:to] - start, past[at:to] - start)
+        at = to
+    return out, first
 
 
 def documents(texts: list[str | None], lower: bool = False, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

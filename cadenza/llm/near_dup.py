@@ -2,25 +2,29 @@
 
 A document is the set of its word shingles. Its signature has PERMUTATIONS values; each of the TREES
 trees orders the documents by the signature turned to another starting value. Documents that share
-the first values in a tree are its neighbours by longest common prefix. Where a prefix is shared by
-few documents, all of them are candidate pairs; where it is shared by more than CROWD, each is paired
-with the first of them, and the depth grows there until the prefix tells them apart. Documents of such
-regions that this leaves in different components are joined in a second round by the rarest shingles of their whole
-sets: two sets that are similar enough share one among the first of both, whatever the size of the region. Candidates are
-compared by signature, then confirmed on the full shingle sets of the whole texts; links make components.
+the first DEPTH values in a tree are a region of it. In regions of up to NEXT + 1 documents all are candidate pairs. Larger
+ones are put in the order of the turned signatures, so that neighbours share the longest prefixes that the region
+has, however deep; each document is a candidate with the NEXT ones after it and with the region's first, which is
+a number of pairs linear in the documents. The order is cut into ranges of rows, so that a region of any size is spread.
+
+Candidates are compared by signature, then confirmed on the full shingle sets of the whole texts; links make
+components. Documents of large regions that this leaves in different components are joined in a second round by the rarest
+shingles of their whole sets: two sets that are similar enough share one among the first of both, whatever the size of
+the region, so that no candidate of a large region is lost.
 
 Equal sets are one node before anything is paired, so that exact copies cost one row each. Nothing is
 dropped for being frequent.
 
 Defined results: a null or word-free text has an empty set and is linked with nothing; with fewer words than
-a shingle, the whole sequence is the one shingle; rows that share an id are one node with all their texts; a
-row with a null id is a component of its own (component_id null, kept); an empty table gives no rows.
+a shingle, the whole sequence is the one shingle; rows that share an id are one document with all their texts, which
+are linked with each other; a row with a null id is a component of its own (component_id null, kept); an empty
+table gives no rows. Only the id and text columns are read, so that others may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,9 +37,13 @@ from cadenza.llm._graph import components
 
 TREES = 16
 PERMUTATIONS = 128
-#: Values shared by candidates, and how the depth grows in crowded regions.
-DEPTHS = (3, 5, 8, 12, 20, 36, 68, 128)
-CROWD = 32
+#: Values shared by the documents of a region. A pair at a similarity of 0.85 shares so many in some tree with all but
+#: 2 in 10 million chance, one at 0.8 with all but 1 in 100,000.
+DEPTH = 3
+#: Later neighbours in a tree's order that each document meets in regions of more than NEXT + 1 documents.
+NEXT = 3
+#: Values of the turned signature by which a region is put in order.
+SORTED = 32
 #: Leading bits of a shingle by which its frequency is counted.
 COUNTED = 20
 #: Pairs whose signatures agree in fewer of the values than threshold - SLACK are not compared in full:
@@ -94,37 +102,49 @@ def alike(threshold: float) -> Column:
     return F.least("na", "nb") >= threshold * F.greatest("na", "nb")
 
 
-def candidates(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+def beside(rows: DataFrame) -> DataFrame:
+    """Pairs (a, na, b, nb) of each row (key, node, n), in the order the rows are in, with the NEXT ones after it that have the same key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            new = 0 if held is None else len(held)
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            key, node, n = (rows[c].to_numpy() for c in ("key", "node", "n"))
+            for step in range(1, NEXT + 1):
+                late = np.arange(max(new, step), len(rows))
+                late = late[key[late] == key[late - step]]
+                if len(late):
+                    yield pd.DataFrame({"a": node[late - step], "na": n[late - step], "b": node[late], "nb": n[late]})
+            held = rows.iloc[-NEXT:]
+
+    kind = rows.schema["node"].dataType.simpleString()
+    return rows.select("key", "node", "n").mapInPandas(run, f"a {kind}, na long, b {kind}, nb long")
+
+
+def candidates(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Pairs (a, b) with a < b that share a prefix in some tree, and the members (key, node) of the
-    regions of more than CROWD documents, whose pairs are not all among them; last, what these read.
-    nodes: node, n, values."""
-    crowds: DataFrame | None = None
-    written: list[DataFrame] = []
-    rows = nodes.select("node", "n", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "values")
-    rows = rows.select("node", "n", "tree", F.xxhash64("tree", turned(F.col("tree"), DEPTHS[0])).alias("key"))
-    found: list[DataFrame] = []
-    for level, depth in enumerate(DEPTHS):
-        groups = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).where("size > 1")
-        groups = stage(groups, f"forest-{level}")
-        found.append(groups.where("size = 2").select(F.col("low.node").alias("a"), F.col("high.node").alias("b"), F.col("low.n").alias("na"), F.col("high.n").alias("nb")))
-        members = stage(rows.join(groups.where("size > 2").select("key", "size", "low").hint("merge"), "key"), f"members-{level}")
-        few = members.where(F.col("size") <= CROWD).select("key", "node", "n")
-        left, right = few.select("key", F.col("node").alias("a"), F.col("n").alias("na")), few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
-        found.append(left.join(right, "key").where("a < b").drop("key"))
-        written += [groups, members]
-        many = members.where(F.col("size") > CROWD)
-        if many.isEmpty():
-            break
-        crowds = many.select("key", "node") if crowds is None else crowds
-        found.append(many.where("node > low.node").select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb")))
-        if level + 1 == len(DEPTHS):
-            break
-        deeper = turned(F.col("tree"), DEPTHS[level + 1])
-        rows = many.select("node", "tree", "key").join(nodes.hint("merge"), "node").select("node", "n", "tree", F.xxhash64("key", deeper).alias("key"))
-    out = found[0].where(alike(threshold)).select("a", "b")
-    for more in found[1:]:
-        out = out.union(more.where(alike(threshold)).select("a", "b"))
-    return out.distinct(), crowds, written
+    regions whose pairs are not all among them; last, what these read. nodes: node, n, values."""
+    trees = nodes.select("node", "n", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "values")
+    rows = trees.select("node", "n", "tree", F.xxhash64("tree", turned(F.col("tree"), DEPTH)).alias("key"))
+    groups = stage(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "regions")
+    members = stage(rows.join(groups.hint("merge"), "key"), "members")
+    few, many = members.where(F.col("size") <= NEXT + 1), members.where(F.col("size") > NEXT + 1)
+    sides = [few.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"]
+    pairs = sides[0].join(sides[1], "key").where("a < b").where(alike(threshold)).select("a", "b")
+    crowds = many.select("key", "node")
+    written = [groups, members]
+    if not many.isEmpty():
+        firsts = stage(many.groupBy("key").agg(F.min("node").alias("a")), "firsts")
+        named = firsts.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")).hint("merge"), "a")
+        star = many.select("key", F.col("node").alias("b"), F.col("n").alias("nb")).join(named.hint("merge"), "key").where("a < b")
+        deep = many.select("key", "tree", "node").join(nodes.hint("merge"), "node").select("key", "node", "n", turned(F.col("tree"), SORTED).alias("order"))
+        lined = beside(deep.repartitionByRange("key", "order", "node").sortWithinPartitions("key", "order", "node"))
+        lined = lined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb")
+        for more in (star, lined):
+            pairs = pairs.union(more.where(alike(threshold)).select("a", "b"))
+        written.append(firsts)
+    return pairs.distinct(), crowds, written
 
 
 def _sets(batch: pd.DataFrame, words: int, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
@@ -172,19 +192,18 @@ def rarest(texts: DataFrame, counts: np.ndarray, words: int, lower: bool, percen
     return texts.select("node", "c", "text").mapInPandas(run, f"shingle long, node {kind}, c {kind}, n long, place long")
 
 
-def apart(crowds: DataFrame, labels: DataFrame, texts: DataFrame, words: int, lower: bool, percent: int) -> DataFrame:
+def apart(crowds: DataFrame, labels: DataFrame, bodies: Callable[[DataFrame], DataFrame], words: int, lower: bool, percent: int) -> DataFrame:
     """Pairs (a, b) of documents of the crowded regions (key, node) that are not in one component yet and can be
     similar: a prefix join. The first common shingle of such a pair, rarest first, has after it enough of
-    either set for the rest of what they must share."""
-    named = crowds.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    members = named.join(mixed, "key", "left_semi").select("node", "c").distinct()
-    held = stage(texts.join(members.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "c", "text"), "crowds")
+    either set for the rest of what they must share. bodies: gives node and text of the nodes in a table."""
+    named = stage(crowds.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "crowds")
+    mixed = stage(named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
+    members = stage(named.join(mixed.hint("merge"), "key", "left_semi").select("node", "c").distinct(), "apart-members")
+    held = stage(bodies(members.select("node")).join(members.hint("merge"), "node").select("node", "c", "text"), "apart-texts")
     rows = stage(rarest(held, shingle_counts(held, words, lower), words, lower, percent), "rarest")
-    discard(held)
-    mixed = rows.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
-    shared = stage(rows.join(mixed.hint("merge"), "shingle"), "rarest-shared")
-    discard(rows)
+    split = stage(rows.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle"), "split")
+    shared = stage(rows.join(split.hint("merge"), "shingle"), "rarest-shared")
+    discard(named, mixed, members, held, rows, split)
     names = ("node", "c", "n", "place")
     x, y = (shared.select("shingle", *(F.col(k).alias(f"{k}_{side}") for k in names)) for side in "xy")
     least = f"ceil({percent} * (n_x + n_y) / {100 + percent}.0)"  # what a similar pair shares
@@ -229,41 +248,57 @@ def confirm(left: Column, right: Column, words: int, lower: bool, percent: int)
     return run(left, right)
 
 
+def _same_id(own: DataFrame) -> DataFrame | None:
+    """Links between the sets of the rows (doc_id, digest) that share an id; None if no id has several."""
+    kinds = own.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("last")).where("a < last")
+    kinds = stage(kinds.select("doc_id", "a"), "several")
+    return None if kinds.isEmpty() else own.join(kinds.hint("merge"), "doc_id").where("digest <> a").select("a", F.col("digest").alias("b")).distinct()
+
+
 def link(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each document."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = stage(texts.select("doc_id", signature(F.col("text"), words, lower).alias("s")).select("doc_id", "s.*"), "signatures")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("body", F.unhex(F.md5("text")))
+    signed = stage(texts.select("doc_id", "body", signature(F.col("text"), words, lower).alias("s")).select("doc_id", "body", "s.*"), "signatures")
     own = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("values").alias("values"))
-    nodes = stage(nodes, "nodes")
-    slim = nodes.select("node", "n", "values")
+    nodes = own.groupBy(F.col("digest").alias("node")).agg(F.min(F.struct("doc_id", "body")).alias("at"), F.first("n_shingles").alias("n"), F.first("values").alias("values"))
+    nodes = stage(nodes.select("node", "n", "values", "at.doc_id", "at.body"), "nodes")
+
+    def bodies(wanted: DataFrame) -> DataFrame:
+        """node and the text of its first document, once."""
+        places = nodes.join(wanted.distinct().hint("merge"), "node", "left_semi").select("node", "doc_id", "body")
+        return texts.join(places.hint("merge"), ["doc_id", "body"]).groupBy("node").agg(F.first("text").alias("text"))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         sides = [nodes.select(F.col("node").alias(x), F.col("values").alias(f"v{x}")).hint("merge") for x in "ab"]
         close = pairs.join(sides[0], "a").join(sides[1], "b").where(agree(F.col("va"), F.col("vb")) >= percent / 100 - SLACK).select("a", "b")
         close = stage(close, f"close-{name}")
-        wanted = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-        full = stage(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), f"texts-{name}")
-        sides = [full.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")).hint("merge") for x in "ab"]
+        full = stage(bodies(close.select(F.col("a").alias("node")).union(close.select("b"))), f"texts-{name}")
+        sides = [full.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")).hint("merge") for x in "ab"]
         links = stage(close.join(sides[0], "a").join(sides[1], "b").where(confirm(F.col("ta"), F.col("tb"), words, lower, percent)).select("a", "b"), f"links-{name}")
         discard(close, full)
         return links
 
-    pairs, crowds, written = candidates(slim, percent / 100)
+    pairs, crowds, written = candidates(nodes.select("node", "n", "values"), percent / 100)
     pairs = stage(pairs, "pairs")
     links = confirmed(pairs, "1")
-    labels = components(links, "near")
-    if crowds is not None:
-        left = apart(crowds, labels, texts, words, lower, percent)
+    together = _same_id(own.select("doc_id", "digest"))
+    labels = components(links if together is None else links.union(together), "near")
+    if not crowds.isEmpty():
+        left = apart(crowds, labels, bodies, words, lower, percent)
         rest = stage(left.join(pairs, ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
-            labels = components(links.union(confirmed(rest, "2")), "near-2")
+            links = confirmed(rest, "2").union(labels.select("node", "component"))
+            labels = components(links, "near-2")
         discard(left, rest)
-    discard(*written, pairs, links)
-    classes = nodes.join(labels, "node", "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "node").alias("_class"))
-    out = signed.join(classes, F.col("digest") == F.col("_digest"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("_class", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    discard(*written, pairs)
+    ids = nodes.select("node", "doc_id")
+    firsts = labels.join(ids, "node").groupBy("component").agg(F.min("doc_id").alias("first"))
+    named = stage(labels.join(firsts, "component").select("node", "first"), "classes")
+    classes = ids.join(named, "node", "left").select("node", F.coalesce("first", "doc_id").alias("class"))
+    out = signed.join(classes, F.col("digest") == F.col("node"), "left")
+    own_class = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
+    return out.select("doc_id", "n_shingles", own_class.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
