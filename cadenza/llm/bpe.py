@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from cadenza.llm._common import small_batches, table
 
 #: Encoded pieces kept by a worker; when the memory is full it starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 150_000
 #: Remembered answers about neighbouring tokens.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 200_000
 #: Longer pieces are encoded each time.
-KEPT_LENGTH = 64
+KEPT_LENGTH = 32
 
 
 def split_pattern(pattern: str):
