@@ -3,16 +3,19 @@
 Each page is parsed into leaves: runs of text with their root-to-leaf tag path and the block that
 they stand in. For each path of a page, text length, punctuation and the number of leaves are summed.
 A path's ratio is its length per leaf; its punctuation ratio is its punctuation marks per leaf; both are
-smoothed over the paths in page order, multiplied (fused), and paths above a threshold derived from
-their own spread are content. Content paths vote for the element that holds most of their text; all
-text below it, other than in parts that are never content (navigation, scripts, forms, ...), is the result.
-Parts whose names say that they stand around the article are left out too, unless one holds most of what
-the page has outside of such parts and in it.
+smoothed over the paths in page order and multiplied (fused), a path below an element whose name says that it stands
+around the article gets a tenth of it, and paths above a threshold derived from their own spread are content.
+
+Content paths decide what is taken: they vote for the element that holds most of their text (an article, if one holds
+half). In an article all but the named parts around it is the result; elsewhere, the leaves of content paths with what is
+inside of them, the headings before, and what stands between them, lists of links excepted. A part named as standing around the
+article stays only if its own path is content. Elements that are never content (navigation, scripts, forms, ...) are
+left out from the start. A name tells nothing about an element that holds most of what the page has.
 
 Defined results: null, empty and text-free html give an empty text; unclosed, repeated and unknown tags
 are taken as browsers do in simple cases; deep nesting and long pages are parsed whole, without
 recursion; character references are decoded. Pages are independent, so repeated rows, null ids and
-null urls don't matter.
+null urls don't matter; extract() keeps all columns of pages, and replaces one of the output's name.
 """
 
 from __future__ import annotations
@@ -36,17 +39,21 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
+INLINE = frozenset("p b i em strong span a font u h1 h2 h3 h4 h5 h6".split())
 NEVER = frozenset("head script style noscript template iframe textarea title nav footer aside form button select option menu dialog object embed svg canvas audio video input label search noembed noframes datalist".split())
 #: Opening one of these ends an open paragraph; a list item, cell or row ends an earlier one of its kind.
 ENDS_P = BLOCK - {"body", "html", "head", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend", "title"}
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 #: Words in a class, id or role that mark parts around the article.
 AROUND = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|cookies?|consent|disqus|footer|gdpr|login|masthead|menu|modal|nav\w*|newsletter|notices?|"
+    r"(?:^|\s)(?!(?:has|no|with|without)[_-])(?:[\w-]*[_-])?(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|cookies?|consent|disqus|footer|gdpr|login|masthead|menu|modal|nav\w*|newsletter|notices?|"
     r"pagination|pager|popup|promo\w*|recommend\w*|related|replies|reply|responses|search|share|sharing|sidebar|signup|site-header|page-header|social|sponsor\w*|subscribe|"
-    r"toolbar|widget|alert|complementary|contentinfo|navigation)(?:$|[\s_-])",
+    r"toolbar|widget|alert|complementary|contentinfo|navigation)(?:[_-][\w-]*)?(?=\s|$)",
     re.IGNORECASE,
 )
+#: What the fused ratio of paths below elements with such names is multiplied with.
+NAMED_WEIGHT = 0.1
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KIND = re.compile(r"""\s(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""\shidden(?=[\s=/>]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.DOTALL)
@@ -162,39 +169,66 @@ def smooth(values: np.ndarray, weights: tuple[float, ...] = (0.25, 0.5, 0.25)) -
     return weights[0] * padded[:-2] + weights[1] * padded[1:-1] + weights[2] * padded[2:]
 
 
-def content_paths(found: list[Leaf]) -> dict[tuple[str, ...], float]:
-    """Fused ratio of the paths that pass the threshold."""
+def outer(found: list[Leaf], tags: dict[int, str]) -> set[int]:
+    """The elements named as parts around the article that hold at least half of the text that can be content (of that in
+    article and main elements, where there are such), in two blocks or more: their names tell nothing, so that they are wrappers."""
+    full = [(x, len(x.text.strip())) for x in found]
+    inside = [(x, n) for x, n in full if n and any(tags[e] in ("article", "main") for e in x.above)]
+    held: dict[int, int] = defaultdict(int)
+    blocks: dict[int, set[int]] = defaultdict(set)
+    total = 0
+    for leaf, n in inside or full:
+        total += n
+        for element in leaf.around:
+            held[element] += n
+            if n:
+                blocks[element].add(leaf.block)
+    return {e for e, n in held.items() if 2 * n >= total and len(blocks[e]) > 1}
+
+
+def content_paths(found: list[Leaf], wrappers: set[int]) -> dict[tuple[tuple[str, ...], bool], float]:
+    """Fused ratio of the paths that pass the threshold. A path below an element named as standing around the article,
+    wrappers excepted, is one of its own, marked True."""
     length: dict[tuple, float] = defaultdict(float)
     marks: dict[tuple, float] = defaultdict(float)
     nodes: dict[tuple, int] = defaultdict(int)
     for leaf in found:
         n = len(leaf.text.strip())
         if n:
-            length[leaf.path] += n
-            marks[leaf.path] += len(PUNCTUATION.findall(leaf.text)) + 1
-            nodes[leaf.path] += 1
+            key = leaf.path, not wrappers.issuperset(leaf.around)
+            length[key] += n
+            marks[key] += len(PUNCTUATION.findall(leaf.text)) + 1
+            nodes[key] += 1
     if not length:
         return {}
     paths = list(length)  # in page order
     ratio = smooth(np.array([length[p] / nodes[p] for p in paths]))
     pointed = smooth(np.array([marks[p] / nodes[p] for p in paths]))
-    fused = ratio * pointed
+    fused = ratio * pointed * np.array([NAMED_WEIGHT if named else 1.0 for _, named in paths])
     bound = min(fused.std(), fused.max() / 2)
-    return {p: float(v * nodes[p]) for p, v in zip(paths, fused, strict=True) if v >= bound}
+    return {p: float(v) for p, v in zip(paths, fused, strict=True) if v >= bound}
 
 
-def outer(found: list[Leaf]) -> set[int]:
-    """The elements named as parts around the article that hold at least half of the text that can be content:
-    their names tell nothing, so that they are wrappers."""
-    held: dict[int, int] = defaultdict(int)
-    total = 0
-    for leaf in found:
-        if not leaf.never:
+def region(own: list[tuple[Leaf, bool]], tags: dict[int, str]) -> int | None:
+    """The element that the content leaves (leaf, whether it is content) vote for; None for the whole page."""
+    mass: dict[int, float] = defaultdict(float)
+    parts: dict[int, float] = defaultdict(float)  # of the text in articles
+    total = 0.0
+    for leaf, good in own:
+        if good:
             n = len(leaf.text.strip())
             total += n
-            for element in leaf.around:
-                held[element] += n
-    return {e for e, n in held.items() if 2 * n >= total}
+            inside = any(tags[e] == "article" for e in leaf.above)
+            for element in leaf.above:
+                mass[element] += n
+                parts[element] += n * inside
+    # an article or main element with half of the content is taken as such
+    chosen = max((e for e in mass if tags[e] in ("article", "main") and mass[e] >= 0.5 * total), key=lambda e: (tags[e] == "article", mass[e]), default=None)
+    if chosen is not None and tags[chosen] == "article" and parts[chosen] < 0.8 * max(parts.values()):
+        return max(e for e in parts if parts[e] >= 0.8 * max(parts.values()))  # one article of several: the innermost element that holds nearly all
+    if chosen is None:
+        return max((e for e in mass if mass[e] >= 0.8 * total and tags[e] not in INLINE), default=None)
+    return chosen
 
 
 def main_text(page: str | None) -> str:
@@ -202,38 +236,29 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found, tags = leaves(page)
-    wrappers = outer(found)
-    own = [x for x in found if not x.never and wrappers.issuperset(x.around)]
-    good = content_paths(own)
+    found = [x for x in found if not x.never]
+    wrappers = outer(found, tags)
+    good = content_paths(found, wrappers)
     if not good:
         return ""
-    mass: dict[int, float] = defaultdict(float)
-    total, marked = 0.0, set()
-    for leaf in own:
-        if leaf.path in good:
-            n = len(leaf.text.strip())
-            total += n
-            for element in leaf.above:
-                mass[element] += n
-    articles = [e for e in mass if tags[e] in ("article", "main")]
-    # the innermost element with nearly all content text; an article or main element with half of it is taken as such
-    chosen = max((e for e in articles if mass[e] >= 0.5 * total), key=lambda e: (tags[e] == "article", mass[e]), default=None)
-    if chosen is not None and tags[chosen] == "article":
-        parts: dict[int, float] = defaultdict(float)  # of the text in articles
-        for leaf in own:
-            if leaf.path in good and any(tags[e] == "article" for e in leaf.above):
-                for element in leaf.above:
-                    parts[element] += len(leaf.text.strip())
-        if parts[chosen] < 0.8 * max(parts.values()):  # one article of several: the innermost element that holds nearly all of them
-            chosen = max(e for e in parts if parts[e] >= 0.8 * max(parts.values()))
-    if chosen is None:
-        holds = [e for e in mass if mass[e] >= 0.8 * total and tags[e] not in ("p", "b", "i", "em", "strong", "span", "a", "font", "u", "h1", "h2", "h3")]
-        chosen = max(holds, default=None)
-    marked = {chosen}
+    named = [not wrappers.issuperset(x.around) for x in found]
+    own = [(x, (x.path, is_named) in good) for x, is_named in zip(found, named, strict=True)]
+    chosen = region(own, tags)
+    whole = chosen is not None and any(tags[e] == "article" for e in (chosen, *next(x.above for x in found if chosen in x.above)) if e <= chosen)
+    taken = [i for i, (x, is_good) in enumerate(own) if is_good and x.text.strip() and (chosen is None or chosen in x.above)]
+    first, last = (taken[0], taken[-1]) if taken else (0, len(own))
     blocks: dict[int, list[str]] = defaultdict(list)
-    for leaf in own:
-        if chosen is None or not marked.isdisjoint(leaf.above):
-            blocks[leaf.block].append(leaf.text)
+    for i, (leaf, is_good) in enumerate(own):
+        if chosen is not None and chosen not in leaf.above:
+            continue
+        if not is_good:
+            if named[i]:
+                continue
+            steps = [x.partition(".")[0] for x in leaf.path]
+            within = any((leaf.path[:n], False) in good for n in range(len(leaf.path)))
+            if not (whole or within or (first <= i <= last and "a" not in steps) or (i < first and not HEADINGS.isdisjoint(steps))):
+                continue
+        blocks[leaf.block].append(leaf.text)
     lines = (SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 
