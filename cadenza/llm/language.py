@@ -7,13 +7,16 @@ sorted array of n-gram hashes for each order, with a row of log probabilities (o
 language) beside each hash; an n-gram that is in no array backs off to the next shorter one.
 
 Prediction: the language of the lowest length-normalised cross-entropy, summed over the whole text.
-A text is rejected if that cross-entropy is above what the language's own texts reach (a quantile of
-the training sample plus slack that falls with the length), or if it holds no letter.
+A text is rejected if that cross-entropy is above what the language's own texts reach, or if it holds no letter. The bound
+is calibrated on a fifth of the sample that the model doesn't learn from: a quantile of its texts, and a slack that falls with the length.
 
 Defined results: a null text, an empty one and one without letters have the language `und`, score 0
 and are rejected; without any labelled text every language is `und`. Rows are scored one by one, so
 repeated rows get equal results; null ids, sources and other columns don't matter, and rows with a
-null language are left out of the training.
+null language are left out of the training. predict() carries all columns, and replaces one of the output's name.
+
+The sample is bounded for each language, and so is the model, whose size is checked before it is built: one that would not
+fit raises an error, and no language is left out.
 """
 
 from __future__ import annotations
@@ -27,16 +30,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm._common import id_crc, small_batches, table
+from cadenza.llm._common import broadcast_if_small, id_crc, small_batches, table
 from cadenza.llm._shingles import mix
 
 ORDER = 4
 DISCOUNT = 0.75
 #: Bound of the training sample: about this many labelled documents of each language.
 TRAIN_DOCS = 800
-#: Languages of the model at most, the most frequent ones; more would not be one model's task.
-MOST_LANGUAGES = 200
-#: Of the training texts of a language, this share has a lower cross-entropy than the bound before the slack.
+#: Texts of the sample for calibration: one in so many.
+CALIBRATION = 5
+#: Languages with fewer texts are learned and calibrated on all of them.
+FEW = 50
+#: Megabytes that the model may have in a worker; the driver needs a multiple of it.
+MODEL_MB = 256
+#: Of the calibration texts of a language, this share has a lower cross-entropy than the bound before the slack.
 QUANTILE = 0.99
 SLACK, SLACK_SHORT = 1.0, 6.0
 #: Nats of cross-entropy by which the score's odds grow, for a text of one character and at most so many.
@@ -246,22 +253,27 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def training_sample(labelled: DataFrame, docs: int = TRAIN_DOCS) -> DataFrame:
-    """About `docs` whole texts of each language, by a hash of the text; all of a rarer language."""
+    """About `docs` whole texts of each language, by a hash of the text; all of a rarer language. n is how many it has."""
     full = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = full.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    share = F.lit(0.0)
-    for row in sizes:
-        share = F.when(F.col("lang") == row["lang"], F.lit(docs / row["count"])).otherwise(share)
-    return full.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30))
+    sizes = broadcast_if_small(full.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n")))
+    draw = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30))
+    return full.join(sizes, F.col("lang") == F.col("_lang")).where(draw * F.col("_n") < docs * (1 << 30)).select("text", "lang", F.col("_n").alias("n"))
 
 
 def train(labelled: DataFrame, docs: int = TRAIN_DOCS) -> Model:
     """Model of the languages in labelled (text, lang), fitted on training_sample()."""
     small_batches(labelled.sparkSession)
     sample = training_sample(labelled.select("text", "lang"), docs).repartition(12).persist()
+    checked = F.pmod(F.xxhash64("text", F.lit(4)), F.lit(CALIBRATION)) == 0
+    learned = ~checked | (F.col("n") < FEW)  # the texts of a rare language serve for both
     try:
-        counted = sample.mapInPandas(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        counted = sample.where(learned).mapInPandas(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
+        size = counted.agg(F.count_distinct("gram").alias("grams"), F.count_distinct("lang").alias("languages")).collect()[0]
+        megabytes = 2 * size["grams"] * (8 + 4 * size["languages"]) / 1e6  # shorter n-grams and contexts take less than the longest
+        if megabytes > MODEL_MB:
+            raise ValueError(f"a model of {size['languages']} languages and {size['grams']} n-grams takes up to {megabytes:.0f} MB; MODEL_MB is {MODEL_MB}: take fewer documents of each, or train in blocks of languages")
         counts = counted.toPandas()
+        counted.unpersist()
         languages = sorted(counts["lang"].unique())
         if not languages:
             return Model([], [], [], [], np.zeros(0), np.zeros(0))
@@ -274,8 +286,10 @@ def train(labelled: DataFrame, docs: int = TRAIN_DOCS) -> Model:
                 place = [sent.value.languages.index(x) for x in b["lang"]]
                 yield pd.DataFrame({"lang": b["lang"], "nats": nats[np.arange(len(b)), place], "letters": letters})
 
-        reach = sample.mapInPandas(own, "lang string, nats double, letters long").where("letters >= 200")
+        known = sample.where(checked & F.col("lang").isin(languages))
+        reach = known.mapInPandas(own, "lang string, nats double, letters long").where("letters >= 200")
         bounds = {r["lang"]: r["q"] for r in reach.groupBy("lang").agg(F.percentile("nats", F.lit(QUANTILE)).alias("q")).collect()}
+        sent.destroy()
     finally:
         sample.unpersist()
     most = max(bounds.values(), default=3.0)
