@@ -3,8 +3,8 @@ r"""Quotation linking: who answers whom, from quoted passages.
 A line that begins with one or more '>' is quoted, as deep as there are marks. Neighbouring lines of
 one depth are a passage; passages are normalised (lower case, letters and digits only) and hashed, as
 a whole and line by line, and so is the unquoted text of each message. A join by (conversation,
-hash) finds the first earlier message with a passage. A message's parent is the latest message
-that its outermost quotes come from; messages without one begin threads. Roots and depths are found by
+hash) finds the first earlier message with a passage; where a whole passage is found, its single lines don't count. A message's
+parent is the latest message that its outermost quotes come from; messages without one begin threads. Roots and depths are found by
 doubling the parent links. Quoted lines, and a line that only introduces them ('... wrote:'), are cut.
 
 Only DataFrame functions are used. Everything stays one row a message: no conversation is gathered
@@ -12,7 +12,8 @@ into one row or task, however long it is.
 
 Defined results: a null text stays null and quotes nothing; an empty one stays empty; passages
 without letters and digits are never linked; rows with a null conversation or turn are not linked;
-repeated rows of one (conv_id, turn) share the links of them all; an empty table gives no rows.
+repeated rows of one (conv_id, turn) share the links of them all; an empty table gives no rows. Only conv_id,
+turn, role and text are read and returned; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -53,9 +54,9 @@ def passages(lines: Column) -> Column:
 
 
 def hashes(lines: Column) -> Column:
-    """Distinct hashes of a passage: of the whole and of each line."""
-    units = F.concat(F.array(normal(F.array_join(lines, " "))), F.transform(lines, normal))
-    return F.array_distinct(F.transform(F.filter(units, lambda x: x.isNotNull()), F.md5))
+    """Distinct hashes of a passage: of the whole and of each line, and whether it is the whole's."""
+    units = F.concat(F.array(F.struct(normal(F.array_join(lines, " ")).alias("unit"), F.lit(True).alias("whole"))), F.transform(lines, lambda x: F.struct(normal(x).alias("unit"), F.lit(False).alias("whole"))))
+    return F.array_distinct(F.transform(F.filter(units, lambda x: x["unit"].isNotNull()), lambda x: F.struct(F.md5(x["unit"]).alias("hash"), x["whole"].alias("whole"))))
 
 
 def parse(messages: DataFrame) -> DataFrame:
@@ -76,13 +77,13 @@ def parse(messages: DataFrame) -> DataFrame:
 def links(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, parent_turn and n_linked (passages whose message is found)."""
     asked = parsed.where(F.size("quoted") > 0).select("conv_id", "turn", F.posexplode("quoted").alias("passage", "q"))
-    asked = asked.select("conv_id", "turn", "passage", F.col("q.depth").alias("depth"), F.explode(hashes(F.col("q.lines"))).alias("hash"))
+    asked = asked.select("conv_id", "turn", "passage", F.col("q.depth").alias("depth"), F.explode(hashes(F.col("q.lines"))).alias("h")).select("conv_id", "turn", "passage", "depth", "h.*")
     talks = asked.select("conv_id").distinct()
-    held = parsed.join(talks, "conv_id", "left_semi").select("conv_id", "turn", F.explode(hashes(F.col("own"))).alias("hash"))
-    first = held.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    found = asked.join(first, ["conv_id", "hash"]).where("origin < turn")
-    outer = F.min("depth").alias("outer")
-    depth = asked.groupBy("conv_id", "turn").agg(outer)
+    held = parsed.join(talks, "conv_id", "left_semi").select("conv_id", "turn", F.explode(hashes(F.col("own"))).alias("h"))
+    first = held.groupBy("conv_id", F.col("h.hash").alias("hash")).agg(F.min("turn").alias("origin"))
+    found = asked.join(first, ["conv_id", "hash"]).where("origin < turn").groupBy("conv_id", "turn", "passage", "depth")
+    found = found.agg(F.coalesce(F.max(F.when(F.col("whole"), F.col("origin"))), F.max("origin")).alias("origin"))
+    depth = asked.groupBy("conv_id", "turn").agg(F.min("depth").alias("outer"))
     parents = found.join(depth, ["conv_id", "turn"]).groupBy("conv_id", "turn")
     return parents.agg(F.max(F.when(F.col("depth") == F.col("outer"), F.col("origin"))).alias("parent_turn"), F.count_distinct("passage").alias("n_linked"))
 
@@ -145,18 +146,18 @@ WITH RECURSIVE m AS (
 ), own AS (
   SELECT * FROM e WHERE depth = 0 AND NOT (q AND run < runs AND i = last_i AND regexp_matches(body, '(?i)^.*\b(wrote|writes|said|schrieb|a écrit|escribió)\b[^\n]{0,40}:\s*$'))
 ), units AS (
-  SELECT r, conv_id, turn, depth, run, string_agg(body, ' ' ORDER BY i) AS u FROM e WHERE depth > 0 GROUP BY ALL
-  UNION SELECT r, conv_id, turn, depth, run, body FROM e WHERE depth > 0
+  SELECT r, conv_id, turn, depth, run, true AS whole, string_agg(body, ' ' ORDER BY i) AS u FROM e WHERE depth > 0 GROUP BY ALL
+  UNION SELECT r, conv_id, turn, depth, run, false, body FROM e WHERE depth > 0
 ), asked AS (
-  SELECT r, conv_id, turn, depth, run, nullif(trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g')), '') AS u FROM units
+  SELECT r, conv_id, turn, depth, run, whole, nullif(trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g')), '') AS u FROM units
 ), held AS (
   SELECT conv_id, turn, string_agg(body, ' ' ORDER BY i) AS u FROM own GROUP BY r, conv_id, turn
   UNION SELECT conv_id, turn, body FROM own
 ), first AS (
   SELECT conv_id, nullif(trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g')), '') AS u, min(turn) AS origin FROM held GROUP BY 1, 2
 ), found AS (
-  SELECT a.conv_id, a.turn, a.depth, a.run, min(a.depth) OVER (PARTITION BY a.conv_id, a.turn) AS least, f.origin
-  FROM asked a JOIN first f ON f.conv_id = a.conv_id AND f.u = a.u AND f.origin < a.turn
+  SELECT a.conv_id, a.turn, a.depth, a.run, coalesce(max(CASE WHEN a.whole THEN f.origin END), max(f.origin)) AS origin
+  FROM asked a JOIN first f ON f.conv_id = a.conv_id AND f.u = a.u AND f.origin < a.turn GROUP BY 1, 2, 3, 4
 ), outermost AS (
   SELECT conv_id, turn, min(depth) AS outermost FROM asked GROUP BY 1, 2
 ), linked AS (
