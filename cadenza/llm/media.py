@@ -7,7 +7,8 @@ images (8-bit grey samples, WIDTH to a row), a lossless form that is read back f
 
 Defined results: null and empty html have no items; a reference whose digest is unknown stays, with null
 payload columns; a null payload counts as empty; repeated rows give repeated items; payloads of any
-length are stored whole. Sequences are cut at no length: each item is a row.
+length are stored whole. Sequences are cut at no length: each item is a row. Columns of pages named position, kind,
+text, digest or caption are replaced by the items'; all others are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm._common import small_batches, table
+from cadenza.llm._common import free, small_batches, stage, table
 
 WIDTH = 64
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
@@ -92,13 +93,14 @@ def interleave(pages: DataFrame, column: str = "html") -> DataFrame:
     """One row for each item: the columns of pages without the html, and position, kind, text, digest,
     caption."""
     small_batches(pages.sparkSession)
+    item = free("_item", pages)
 
     @F.pandas_udf(ITEMS)
     def run(rows: pd.Series) -> pd.Series:
         return pd.Series([items(x) for x in rows], dtype=object)
 
     kept = [c for c in pages.columns if c != column and c not in ("position", "kind", "text", "digest", "caption")]
-    return pages.select(*kept, F.explode(run(F.col(column))).alias("_item")).select(*kept, "_item.*")
+    return pages.select(*kept, F.explode(run(F.col(column))).alias(item)).select(*kept, f"{item}.*")
 
 
 def payload_of(text: Column) -> Column:
@@ -154,24 +156,27 @@ def features(stored: Column) -> Column:
 
 
 def media_table(stored: DataFrame, column: str = "stored") -> DataFrame:
-    """One row for each digest: digest and what is read back from its bytes."""
+    """One row for each digest: digest and what is read back from its bytes. It is written, so that Spark can split a digest
+    that very many references share when it is joined."""
     small_batches(stored.sparkSession)
     rows = stored.select(F.sha2(column, 256).alias("digest"), features(F.col(column)).alias("f")).select("digest", "f.*")
-    return rows.dropDuplicates(["digest"])
+    return stage(rows.dropDuplicates(["digest"]), "media")
 
 
 def resolve(sequence: DataFrame, media: DataFrame) -> DataFrame:
     """sequence with the media's columns beside each reference, null for texts and unknown digests."""
-    texts = sequence.where(F.col("digest").isNull())
-    own = media.withColumnRenamed("digest", "_digest")
-    found = sequence.where(F.col("digest").isNotNull()).join(own, F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    texts, key = sequence.where(F.col("digest").isNull()), free("_digest", sequence)
+    own = media.withColumnRenamed("digest", key)
+    found = sequence.where(F.col("digest").isNotNull()).join(own, F.col("digest") == F.col(key), "left").drop(key)
     return found.unionByName(texts, allowMissingColumns=True)
 
 
 def figure_of(doc_id: Column, digest: Column) -> Column:
-    """A page with one figure that refers to a payload."""
+    """A page with a paragraph, a figure that refers to a payload, and another paragraph."""
     name = F.coalesce(doc_id.cast("string"), F.lit("none"))
-    return F.concat(F.lit("<article><h1>Document "), name, F.lit('</h1><figure><img src="sha256:'), digest, F.lit('"><figcaption>Payload of document '), name, F.lit("</figcaption></figure></article>"))
+    return F.concat(
+        F.lit("<article><p>Document "), name, F.lit('</p><figure><img src="sha256:'), digest, F.lit('"><figcaption>Payload of document '), name, F.lit("</figcaption></figure><p>End of document "), name, F.lit("</p></article>")
+    )
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
