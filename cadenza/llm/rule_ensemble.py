@@ -8,7 +8,8 @@ expression, a sum of weights of the rules that hold, and scoring needs no Python
 Defined results: a null or empty text has the statistics of an empty text and gets a score like any
 other; repeated rows get equal scores; without labels, or with one class only, the score is the share of
 label 1 (0.5 without labels) for every text; repeated label rows count as often as they stand; labels
-of unknown documents, null ids and null labels are left out of the training; an empty table gives no rows.
+of unknown documents, null ids and null labels are left out of the training; an empty table gives no rows. Other
+columns pass through score(), whatever their names; one of the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm._common import broadcast_if_small, id_crc, table
+from cadenza.llm._common import broadcast_if_small, free, id_crc, table
 from cadenza.llm.quality_rules import ECHO, count_chars, lines_of, words_of
 
 #: Bound of the training sample: about this many labelled documents, taken by a hash of the id.
@@ -41,26 +42,28 @@ def _share(part: Column, whole: Column) -> Column:
     return part / F.greatest(whole, F.lit(1))
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column `_x`, the array of STATISTICS of the whole text."""
+def statistics(docs: DataFrame, text: str = "text", to: str = "_x") -> DataFrame:
+    """docs with a column `to`, the array of STATISTICS of the whole text."""
     body = F.col(text)
-    counted = docs.withColumns({"_words": words_of(body), "_lines": lines_of(body)}).withColumns(
+    name = {k: free(f"_{k}", docs) for k in ("words", "lines", "n", "chars", "distinct", "line", "line_kinds", "letters")}
+    words, rows = name["words"], name["lines"]
+    counted = docs.withColumns({words: words_of(body), rows: lines_of(body)}).withColumns(
         {
-            "_n": F.size("_words").cast("double"),
-            "_chars": F.length(F.array_join("_words", "")).cast("double"),
-            "_distinct": F.size(F.array_distinct("_words")),
-            "_line": F.size("_lines").cast("double"),
-            "_line_kinds": F.size(F.array_distinct("_lines")),
-            "_letters": count_chars(body, r"\p{L}").cast("double"),
+            name["n"]: F.size(words).cast("double"),
+            name["chars"]: F.length(F.array_join(words, "")).cast("double"),
+            name["distinct"]: F.size(F.array_distinct(words)),
+            name["line"]: F.size(rows).cast("double"),
+            name["line_kinds"]: F.size(F.array_distinct(rows)),
+            name["letters"]: count_chars(body, r"\p{L}").cast("double"),
         }
     )
-    n, chars, lines, letters = (F.col(c) for c in ("_n", "_chars", "_line", "_letters"))
+    n, chars, lines, letters = (F.col(name[c]) for c in ("n", "chars", "line", "letters"))
     values = [
         n,
         _share(chars, n),
         _share(count_chars(body, "[#*$%&|<>]"), n),
-        _share(lines - F.col("_line_kinds"), lines),
-        _share(F.col("_distinct"), F.sqrt(n)),
+        _share(lines - F.col(name["line_kinds"]), lines),
+        _share(F.col(name["distinct"]), F.sqrt(n)),
         _share(count_chars(body, ECHO), n),
         _share(letters, chars),
         _share(count_chars(body, r"\p{Lu}"), letters),
@@ -71,7 +74,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         _share(count_chars(body, "[.?…。]"), n),
         _share(n, lines),
     ]
-    return counted.select(*docs.columns, F.array(*[F.coalesce(v.cast("double"), F.lit(0.0)) for v in values]).alias("_x"))
+    kept = [c for c in docs.columns if c.lower() != to.lower()]
+    return counted.select(*kept, F.array(*[F.coalesce(v.cast("double"), F.lit(0.0)) for v in values]).alias(to))
 
 
 @dataclass(frozen=True)
@@ -130,13 +134,14 @@ def sample_of(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ensemble:
-    """Ensemble for docs (doc_id, text) and labels (doc_id, label 0 or 1)."""
+    """Ensemble for docs (doc_id, text) and labels (doc_id, label 0 or 1). The texts of the labelled sample are read by
+    as many tasks as the table has; only their statistics are gathered."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("label").cast("double").alias("label"))
     taken = broadcast_if_small(sample_of(known.withColumnRenamed("_id", "doc_id"), rows).withColumnRenamed("doc_id", "_id"), 2 * rows)
     joined = docs.select("doc_id", "text").join(taken, F.col("doc_id") == F.col("_id")).select("text", "label")
     assemble = VectorAssembler(inputCols=list(STATISTICS), outputCol="features")
     spread = statistics(joined).select("label", *[F.get("_x", F.lit(i)).alias(name) for i, name in enumerate(STATISTICS)], "_x")
-    data = assemble.transform(spread).select("label", "features", "_x").coalesce(8).persist()
+    data = assemble.transform(spread).select("label", "features", "_x").repartition(8).persist()
     try:
         shares = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
         n, good = sum(shares.values()), shares.get(1.0, 0)
@@ -160,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ensemble:
 
 def score(docs: DataFrame, model: Ensemble, text: str = "text", to: str = "score") -> DataFrame:
     """docs with the score of each text."""
-    return statistics(docs, text).withColumn(to, model.score()).drop("_x")
+    x = free("_x", docs)
+    return statistics(docs, text, x).withColumn(to, model.score(x)).drop(x)
 
 
 def held_out() -> Column:
