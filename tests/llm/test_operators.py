@@ -368,12 +368,12 @@ def test_mix(spark):
             break
         full |= over
     taken = {}
-    for doc_id, source, size, source_size, target, copies, words in first:
+    for doc_id, source, size, number, source_size, target, copies, words in first:
         assert source_size == sizes[source] and abs(target - goal[source]) < 1e-6 * max(1, target) and words == copies * size <= 2 * size
         taken[source] = taken.get(source, 0) + words
     for s in sizes:
         assert abs(taken[s] - goal[s]) <= max(3, 0.002 * goal[s])
-    assert mixing.take(docs).count() == sum(r[5] for r in first)
+    assert mixing.take(docs).count() == sum(r[6] for r in first)
 
 
 def test_quotes_of_a_long_thread(spark):
