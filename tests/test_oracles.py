@@ -1,6 +1,7 @@
 """Every registered query of the library against DuckDB on the smallest tables."""
 
 import math
+from datetime import datetime
 
 import duckdb
 import pytest
@@ -24,6 +25,8 @@ def plain(v):
         return v
     if isinstance(v, (list, tuple)):
         return tuple(map(plain, v))
+    if isinstance(v, datetime):
+        return v.replace(tzinfo=None).isoformat()
     v = float(v)
     return None if math.isnan(v) else float(f"{v:.9g}") + 0.0
 
