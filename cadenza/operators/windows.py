@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def in_order():
@@ -45,15 +45,26 @@ def reflected(t: Column, n: Column) -> Column:
     return F.least(m, period - m)
 
 
+def extended(series: DataFrame, before: int, after: int, place) -> DataFrame:
+    """series with frames before its start and after its end: frame t there holds the value of frame place(t, n), n being the
+    series' length (null: zero). Only the new frames are joined."""
+    ends = series.groupBy("series_id").agg(F.count("*").alias("_n"))
+    parts = [F.sequence(F.lit(-before), F.lit(-1))] * (before > 0) + [F.transform(F.sequence(F.lit(0), F.lit(after - 1)), lambda k: (k + F.col("_n")).cast("int"))] * (after > 0)
+    own = series.select("series_id", F.col("t").cast("int").alias("t"), "v")
+    if not parts:
+        return own
+    new = ends.select("series_id", "_n", F.explode(F.concat(*parts)).alias("t")).withColumn("_s", place(F.col("t"), F.col("_n")).cast("int"))
+    source = series.select("series_id", F.col("t").cast("int").alias("_s"), "v")
+    return own.unionByName(new.join(source, ["series_id", "_s"], "left").select("series_id", "t", F.coalesce("v", F.lit(0.0)).alias("v")))
+
+
 def moving_median(series: DataFrame, k: int) -> DataFrame:
-    """Lower median of k (odd) frames around each, reflected at the ends. Each frame is sent to the k
-    places that see it."""
+    """Lower median of k (odd) frames around each, reflected at the ends: one window over the series."""
     half = k // 2
-    n = series.groupBy("series_id").agg(F.count("*").alias("_n"))
-    grid = series.select("series_id", "t").join(n, "series_id").withColumn("_o", F.explode(F.sequence(F.lit(-half), F.lit(half))))
-    grid = grid.select("series_id", "t", reflected(F.col("t") + F.col("_o"), F.col("_n")).cast("int").alias("_s"))
-    met = grid.join(series.select("series_id", F.col("t").alias("_s"), "v"), ["series_id", "_s"])
-    return met.groupBy("series_id", "t").agg(F.expr("percentile_disc(0.5) within group (order by v)").alias("v"))
+    rows = extended(series, half, half, reflected).join(series.select("series_id", F.col("t").cast("int").alias("t"), F.lit(True).alias("_own")), ["series_id", "t"], "left")
+    around = in_order().rowsBetween(-half, half)
+    rows = rows.withColumn("v", F.get(F.array_sort(F.collect_list("v").over(around)), F.lit((k - 1) // 2)))
+    return rows.where("_own").select("series_id", "t", "v")
 
 
 def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
@@ -63,28 +74,45 @@ def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
     return [(o - radius, w / sum(raw)) for o, w in enumerate(raw)]
 
 
-def convolve(series: DataFrame, kernel: list[tuple[int, float]], mode: str = "circular") -> DataFrame:
-    """Weighted sum of the frames at the kernel's offsets; beyond the ends frames go round (circular), are
-    reflected, repeat the edge (replicate), or count as zero (zero). The kernel is a short list."""
-    spark: SparkSession = series.sparkSession
-    weights = F.broadcast(spark.createDataFrame(kernel, "_o int, _w double"))
+def convolve(series: DataFrame, kernel: list[tuple[int, float]], mode: str = "circular", reach: int | None = None) -> DataFrame:
+    """Weighted sum of the frames at the kernel's offsets (ascending); beyond the ends frames go round (circular), are
+    reflected, repeat the edge (replicate), or count as zero (zero). One window over each series gathers the kernel's frames.
+
+    reach: weights are cut at so many times a series' length, and the rest divided by their sum; of a circular series that is
+    shorter than the kernel, the edge is repeated beyond one turn."""
+    low, high = min(o for o, _ in kernel), max(o for o, _ in kernel)
+    held = dict(kernel)
+    weights = F.array(*[F.lit(float(held.get(o, 0.0))) for o in range(low, high + 1)])
+
+    def circular(t: Column, n: Column) -> Column:
+        turn = F.pmod(t, n)
+        if reach is None:
+            return turn
+        return F.when((F.least(F.lit(high), reach * n) > n) & (t < -n), 0).when((F.least(F.lit(high), reach * n) > n) & (t >= 2 * n), n - 1).otherwise(turn)
+
+    place = {"circular": circular, "reflect": reflected, "replicate": lambda t, n: F.least(F.greatest(t, F.lit(0)), n - 1), "zero": lambda t, n: F.lit(None).cast("int")}[mode]
+    rows = extended(series, max(0, -low), max(0, high), place).withColumn("_x", F.collect_list("v").over(in_order().rowsBetween(low, high)))
     n = series.groupBy("series_id").agg(F.count("*").alias("_n"))
-    grid = series.select("series_id", "t").join(n, "series_id").crossJoin(weights)
-    at = F.col("t") + F.col("_o")
-    place = {"circular": F.pmod(at, F.col("_n")), "reflect": reflected(at, F.col("_n")), "replicate": F.least(F.greatest(at, F.lit(0)), F.col("_n") - 1), "zero": at}[mode]
-    met = grid.select("series_id", "t", "_w", place.cast("int").alias("_s")).join(series.select("series_id", F.col("t").alias("_s"), "v"), ["series_id", "_s"])
-    return met.groupBy("series_id", "t").agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
+    rows = rows.join(n, "series_id").where((F.col("t") >= 0) & (F.col("t") < F.col("_n")))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda p, q: p + q)
+    if reach is None:
+        value = total(F.zip_with("_x", weights, lambda x, w: x * w))
+    else:
+        wide = F.least(F.lit(high), reach * F.col("_n")).cast("int")
+        cut = lambda x: F.slice(x, high - wide + 1, 2 * wide + 1)
+        value = total(F.zip_with(cut(F.col("_x")), cut(weights), lambda x, w: x * w)) / total(cut(weights))
+    return rows.select("series_id", "t", value.alias("v"))
 
 
 def gaussian(series: DataFrame, sigma: float, mode: str = "circular") -> DataFrame:
-    """Gaussian smoothing."""
-    return convolve(series, gaussian_kernel(sigma), mode)
+    """Gaussian smoothing out to four sigmas, and three times a series' length at most."""
+    return convolve(series, gaussian_kernel(sigma), mode, 3)
 
 
 def causal_hann(series: DataFrame, width: int) -> DataFrame:
     """Smoothing by the falling half of a Hann window over this frame and those before it."""
     raw = [0.5 + 0.5 * math.cos(math.pi * k / width) for k in range(width)]
-    return convolve(series, [(-k, w / sum(raw)) for k, w in enumerate(raw)], "replicate")
+    return convolve(series, [(-k, raw[k] / sum(raw)) for k in range(width - 1, -1, -1)], "replicate")
 
 
 def whiten(df: DataFrame, by: list[str], order: str, half: int) -> DataFrame:
@@ -136,3 +164,23 @@ def parabolic_peak(value: str, window) -> tuple[Column, Column]:
 def delayed(series: DataFrame, first: float) -> DataFrame:
     """Values one frame later, with a given first one."""
     return series.withColumn("v", F.lag("v", 1, first).over(in_order()))
+
+
+def sheared(cells: DataFrame) -> DataFrame:
+    """Cells (series_id, i, j, …) of a matrix by diagonal: lag = j - i in place of j."""
+    return cells.withColumn("lag", (F.col("j") - F.col("i")).cast("int")).drop("j")
+
+
+def unsheared(cells: DataFrame) -> DataFrame:
+    """The inverse of sheared()."""
+    return cells.withColumn("j", (F.col("i") + F.col("lag")).cast("int")).drop("lag")
+
+
+def diagonal_median(cells: DataFrame, k: int = 7) -> DataFrame:
+    """Lower median of k cells along each diagonal of a whole matrix (series_id, i, j, v), reflected at the ends of the diagonal."""
+    by = Window.partitionBy("series_id", "lag")
+    lagged = sheared(cells).withColumn("_first", F.min("i").over(by)).withColumn("t", F.col("i") - F.col("_first"))
+    key = lagged.select(F.struct("series_id", "lag").alias("series_id"), F.col("t").cast("int").alias("t"), "v")
+    smooth = moving_median(key, k).select("series_id.series_id", "series_id.lag", "t", F.col("v").alias("_v"))
+    met = lagged.withColumn("t", F.col("t").cast("int")).join(smooth, ["series_id", "lag", "t"])
+    return unsheared(met.select("series_id", "lag", "i", F.col("_v").alias("v"))).select("series_id", "i", "j", "v")

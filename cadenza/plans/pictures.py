@@ -63,11 +63,11 @@ def v10(spark, d):
     return V.pooled(pixels(spark, d), 4).select("video_id", t_(), "y", "x", F.round("v", 9).alias("v"))
 
 
-@query("g2_blend", f"WITH {SERIES}, {VECTORS}, a AS (SELECT ch AS d, max(v) FILTER (vec_id = 0) AS p, max(v) FILTER (vec_id = 1) AS q FROM x WHERE ch < 4 GROUP BY 1) SELECT s.series_id, s.t, d, round(p * (s.v / 100) + q * (1 - s.v / 100), 6) AS v FROM s CROSS JOIN a WHERE s.t < 8")
+@query("g2_blend", f"WITH {SERIES}, {VECTORS}, a AS (SELECT ch AS d, max(v) FILTER (vec_id = 0) AS p, max(v) FILTER (vec_id = 1) AS q FROM x GROUP BY 1) SELECT s.series_id, s.t, d, round(p * (s.v / 100) + q * (1 - s.v / 100), 6) AS v FROM s CROSS JOIN a")
 def g2(spark, d):
     pick = lambda k: F.max(F.when(F.col("vec_id") == k, F.col("v")))
-    palette = S.vectors_long(spark, d).where("ch < 4 AND vec_id < 2").groupBy(F.col("ch").cast("long").alias("d")).agg(pick(0).alias("p"), pick(1).alias("q"))
-    rows = S.events_series(spark, d).where("t < 8").crossJoin(F.broadcast(palette))
+    palette = S.vectors_long(spark, d).where("vec_id < 2").groupBy(F.col("ch").cast("long").alias("d")).agg(pick(0).alias("p"), pick(1).alias("q"))
+    rows = S.events_series(spark, d).crossJoin(F.broadcast(palette))
     return rows.select("series_id", t_(), "d", r6(V.blend(F.col("p"), F.col("q"), F.col("v") / 100)).alias("v"))
 
 
@@ -114,5 +114,5 @@ def g14(spark, d):
 
 @query("g1_spline")
 def g1(spark, d):
-    palette = S.vectors_long(spark, d).where("vec_id < 6 AND ch < 8").select(F.col("vec_id").cast("int").alias("p"), F.col("ch").alias("d"), "v")
+    palette = S.vectors_long(spark, d).where("vec_id < 6").select(F.col("vec_id").cast("int").alias("p"), F.col("ch").alias("d"), "v")
     return V.spline(palette, 6, 48)

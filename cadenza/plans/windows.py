@@ -42,10 +42,10 @@ def kernel_sql(sigma: float) -> str:
 
 
 COUNTS = "n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1)"
-CIRCULAR = "((s.t + o) % n + n) % n"
+CIRCULAR = "CASE WHEN least((SELECT max(o) FROM k), 3 * n) > n AND s.t + o < -n THEN 0 WHEN least((SELECT max(o) FROM k), 3 * n) > n AND s.t + o >= 2 * n THEN n - 1 ELSE ((s.t + o) % n + n) % n END"
 REFLECT = "least(((s.t + o) % (2 * n - 2) + 2 * n - 2) % (2 * n - 2), 2 * n - 2 - ((s.t + o) % (2 * n - 2) + 2 * n - 2) % (2 * n - 2))"
 EDGE = "least(greatest(s.t + o, 0), n - 1)"
-SMOOTH = "SELECT s.series_id, s.t, sum(w * b.v) AS v FROM s JOIN n USING (series_id) CROSS JOIN k JOIN s b ON b.series_id = s.series_id AND b.t = {place} GROUP BY 1, 2"
+SMOOTH = "SELECT s.series_id, s.t, sum(w * b.v) / sum(w) AS v FROM s JOIN n USING (series_id) CROSS JOIN k JOIN s b ON b.series_id = s.series_id AND b.t = {place} WHERE abs(o) <= 3 * n GROUP BY 1, 2"
 
 
 @query("w3_velocity", f"WITH {SERIES}, {COUNTS}, {kernel_sql(1.5)}, g AS ({SMOOTH.format(place=CIRCULAR)}) SELECT series_id, t, round(coalesce(v - lag(v) OVER o, lead(v) OVER o - v), 6) AS v FROM g {OVER}")
@@ -80,6 +80,12 @@ def w8(spark, d):
     return out
 
 
+@query("w8_gaussian_wide", f"WITH {SERIES}, {COUNTS}, {kernel_sql(80.0)} SELECT series_id, t, round(v, 5) AS v FROM ({SMOOTH.format(place=CIRCULAR)})")
+def w8_wide(spark, d):
+    """A kernel wider than most series."""
+    return W.gaussian(frames(spark, d), 80.0).select("series_id", t_(), F.round("v", 5).alias("v"))
+
+
 @query("w9_causal_hann", f"WITH {SERIES}, {COUNTS}, h AS (SELECT -i AS o, 0.5 + 0.5 * cos(pi() * i / 6) AS h FROM range(6) AS k(i)), k AS (SELECT o, h / sum(h) OVER () AS w FROM h) SELECT series_id, t, round(v, 6) AS v FROM ({SMOOTH.format(place=EDGE)})")
 def w9(spark, d):
     return W.causal_hann(frames(spark, d), 6).select("series_id", t_(), v_())
@@ -127,12 +133,18 @@ def w17(spark, d):
     return W.circular_shift(frames(spark, d), 11).select("series_id", t_(), "v")
 
 
-@query("w18_lag_median", f"WITH {SERIES}, k AS MATERIALIZED (SELECT * FROM s WHERE t <= 11), p AS (SELECT a.series_id, a.t AS i, b.t AS j, abs(a.v - b.v) AS d FROM k a JOIN k b ON a.series_id = b.series_id) SELECT series_id, j - i AS lag, count(*) AS n, round(quantile_disc(d, 0.5), 6) AS mid FROM p WHERE i < j GROUP BY 1, 2")
+DIAGONALS = f"""{SERIES}, p AS (SELECT a.series_id, a.t AS i, b.t AS j, b.t - a.t AS lag, abs(a.v - b.v) AS v FROM s a JOIN s b ON a.series_id = b.series_id),
+g AS (SELECT *, i - min(i) OVER w AS q, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY series_id, lag)), o AS (SELECT unnest(range(-3, 4)) AS o),
+m AS (SELECT g.series_id, g.lag, g.i, g.j, CASE WHEN n = 1 THEN 0 ELSE least(((q + o) % (2 * n - 2) + 2 * n - 2) % (2 * n - 2), 2 * n - 2 - ((q + o) % (2 * n - 2) + 2 * n - 2) % (2 * n - 2)) END AS src FROM g, o),
+f AS (SELECT m.series_id, m.i, m.j, quantile_disc(g.v, 0.5) AS v FROM m JOIN g ON g.series_id = m.series_id AND g.lag = m.lag AND g.q = m.src GROUP BY 1, 2, 3)"""
+
+
+@query("w18_diagonal_median", f"WITH {DIAGONALS} SELECT series_id, i, round(sum(v), 5) AS total, round(max(v), 5) AS high FROM f GROUP BY 1, 2")
 def w18(spark, d):
-    rows = frames(spark, d).where("t <= 11")
-    pairs = rows.select("series_id", F.col("t").alias("i"), F.col("v").alias("x")).join(rows.select("series_id", F.col("t").alias("j"), F.col("v").alias("y")), "series_id").where("i < j")
-    mid = F.expr("percentile_disc(0.5) within group (order by abs(x - y))")
-    return pairs.groupBy("series_id", (F.col("j") - F.col("i")).cast("long").alias("lag")).agg(F.count("*").alias("n"), r6(mid).alias("mid"))
+    rows = frames(spark, d).select("series_id", "t", "v")
+    cells = rows.select("series_id", F.col("t").alias("i"), F.col("v").alias("x")).join(rows.select("series_id", F.col("t").alias("j"), F.col("v").alias("y")), "series_id")
+    filtered = W.diagonal_median(cells.select("series_id", "i", "j", F.abs(F.col("x") - F.col("y")).alias("v")), 7)
+    return filtered.groupBy("series_id", F.col("i").cast("long").alias("i")).agg(F.round(F.sum("v"), 5).alias("total"), F.round(F.max("v"), 5).alias("high"))
 
 
 @query("w19_parabolic", f"WITH {SERIES}, w AS (SELECT series_id, t, lag(v) OVER o AS a, v AS b, lead(v) OVER o AS c FROM s {OVER}) SELECT series_id, t, round(0.5 * (a - c) / (a - 2 * b + c), 5) AS shift, round(b - 0.25 * (a - c) * (0.5 * (a - c) / (a - 2 * b + c)), 5) AS height FROM w WHERE b > a AND b > c")
