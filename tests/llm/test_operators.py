@@ -298,7 +298,7 @@ def test_passages_with_changed_words():
                 continue
             same = [i for i in range(n - 4) if not any(i <= c < i + 5 for c in changed)]
             anchor = random.Random(n).choice(same)
-            spans = substring_dup.passages(five_words(before + core + after), five_words(after + other + before), [(37 + anchor, 41 + anchor)])
+            spans = substring_dup.passages(five_words(before + core + after), five_words(after + other + before), np.array([37 + anchor]), np.array([41 + anchor]))
             assert any(p <= 37 + same[0] and q >= 37 + same[-1] + 5 and r <= 41 + same[0] and s >= 41 + same[-1] + 5 and min(q - p, s - r) >= 50 for p, q, r, s in spans), (n, changed)
             tried += 1
     assert tried > 800
