@@ -190,3 +190,15 @@ def quantiles(df: DataFrame, by: list[str], shares: list[float], how: str = "lin
     picked = ranked.where((F.col("_r") == low) | (F.col("_r") == high)).withColumn("_part", part.cast("double"))
     a, b = F.min(value), F.max(value)
     return picked.groupBy(*by, "q").agg((a * (1 - F.first("_part")) + b * F.first("_part")).alias("value"))
+
+
+def normal(first: Column, second: Column) -> Column:
+    """A normal variate from two uniform ones in [0, 1)."""
+    return F.sqrt(-2 * F.ln(1 - first)) * F.cos(2 * math.pi * second)
+
+
+def skew_normal(u: Column, v: Column, shape: float, location: float, scale: float) -> Column:
+    """A skew-normal variate from two normal ones: their mix by the shape, turned over where the first is negative."""
+    d = shape / math.sqrt(1 + shape * shape)
+    mixed = d * u + math.sqrt(1 - d * d) * v
+    return location + scale * F.when(u >= 0, mixed).otherwise(-mixed)

@@ -7,27 +7,41 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.sources.tables import lcg
+from cadenza.operators.groups import t_statistic
+from cadenza.operators.measures import mutual_information
+from cadenza.sources.tables import lcg, settled, uniform
 
 
 def gaussian_moments(df: DataFrame, by: list[str]) -> DataFrame:
-    """n, mean vector sums and product sums of channels (…, t, ch, v) as rows (…, i, j, n, m): i = -1
-    rows hold the plain sums."""
-    left = df.select(*by, "t", F.col("ch").alias("i"), F.col("v").alias("a"))
-    right = df.select(*by, "t", F.col("ch").alias("j"), F.col("v").alias("b"))
-    products = left.join(right, [*by, "t"]).groupBy(*by, "i", "j").agg(F.count("*").alias("n"), F.sum(F.col("a") * F.col("b")).alias("m"))
-    plain = df.groupBy(*by, F.lit(-1).alias("i"), F.col("ch").alias("j")).agg(F.count("*").alias("n"), F.sum("v").alias("m"))
+    """Means and covariances of channels (…, t, ch, v): rows (…, i, j, n, m) hold sums of products of centred channels, and those with i = -1
+    the means."""
+    group = Window.partitionBy(*by, "ch")
+    rows = df.select(*by, "t", "ch", (F.col("v") - F.avg("v").over(group)).alias("v"))
+    left = rows.select(*by, "t", F.col("ch").alias("i"), F.col("v").alias("a"))
+    right = rows.select(*by, "t", F.col("ch").alias("j"), F.col("v").alias("b"))
+    products = left.join(right, [*by, "t"]).where("i <= j").groupBy(*by, "i", "j").agg(F.count("*").alias("n"), F.sum(F.col("a") * F.col("b")).alias("m"))
+    plain = df.groupBy(*by, F.lit(-1).alias("i"), F.col("ch").alias("j")).agg(F.count("*").alias("n"), F.avg("v").alias("m"))
     return products.unionByName(plain)
 
 
 def _gaussian(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     plain = rows[rows["i"] < 0].sort_values("j")
-    n, d = int(plain["n"].iloc[0]), len(plain)
-    mean = plain["m"].to_numpy() / n
-    full = np.zeros((d, d))
+    n, place = int(plain["n"].iloc[0]), {c: k for k, c in enumerate(plain["j"])}
+    full = np.zeros((len(plain), len(plain)))
     own = rows[rows["i"] >= 0]
-    full[own["i"], own["j"]] = own["m"]
-    return mean, (full - n * np.outer(mean, mean)) / (n - 1)
+    i, j = own["i"].map(place), own["j"].map(place)
+    full[i, j] = full[j, i] = own["m"] / (n - 1)
+    return plain["m"].to_numpy(), full
+
+
+def symmetric(m: np.ndarray) -> bool:
+    """Whether a matrix equals its transpose, but for rounding."""
+    return bool(np.allclose(m, m.T, rtol=1e-5, atol=1e-8))
+
+
+def positive_definite(m: np.ndarray) -> bool:
+    """Whether all eigenvalues of a symmetric matrix are positive."""
+    return bool((np.linalg.eigvalsh((m + m.T) / 2) > 0).all())
 
 
 def root(m: np.ndarray) -> np.ndarray:
@@ -36,9 +50,24 @@ def root(m: np.ndarray) -> np.ndarray:
     return (v * np.sqrt(np.maximum(w, 0))) @ v.T
 
 
+def square_roots(df: DataFrame) -> DataFrame:
+    """series_id, i, j, r: the square root of the covariance of each series' channels (series_id, t, ch, v)."""
+    moments = gaussian_moments(df, ["series_id"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = root(_gaussian(pdf)[1])
+        i, j = np.indices(r.shape)
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "i": i.ravel(), "j": j.ravel(), "r": r.ravel()})
+
+    kind = df.schema["series_id"].dataType.simpleString()
+    return moments.groupBy("series_id").applyInPandas(run, f"series_id {kind}, i int, j int, r double")
+
+
 def gaussian_distances(df: DataFrame, side: str) -> DataFrame:
-    """For each series and its two sides (column `side`: 0 and 1): Fréchet, Bures-Wasserstein, correlation and
-    symmetric Kullback-Leibler distances of their Gaussians. Only d by d moments reach a task."""
+    """For each series and its two sides (column `side`: 0 and 1): Fréchet, Bures-Wasserstein and correlation distances of their Gaussians, the
+    Kullback-Leibler divergence of the covariances (half of trace(B⁻¹A) - d + ln |B| / |A|) and its symmetric form with the means, the affine-invariant
+    Riemann distance (root of the summed squares of the logarithms of the eigenvalues of A⁻¹B) and the condition distance (the logarithm of the largest less that of the smallest);
+    and whether both are positive definite; those that need an inverse are null otherwise. Only d by d moments reach a task."""
     moments = gaussian_moments(df, ["series_id", side])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -47,15 +76,19 @@ def gaussian_distances(df: DataFrame, side: str) -> DataFrame:
         (ma, a), (mb, b) = (_gaussian(pdf[pdf[side] == k]) for k in (0, 1))
         ra = root(a)
         bures = max(float(np.trace(a) + np.trace(b) - 2 * np.trace(root(ra @ b @ ra))), 0.0)
-        gap = float(((ma - mb) ** 2).sum())
-        both = float((a * b).sum() / (np.linalg.norm(a) * np.linalg.norm(b)))
-        ridge = 1e-9 * np.eye(len(a))
-        ia, ib = np.linalg.inv(a + ridge), np.linalg.inv(b + ridge)
-        kl = 0.5 * float(np.trace(ib @ a) + np.trace(ia @ b) + (ma - mb) @ (ia + ib) @ (ma - mb)) - len(a)
-        return pd.DataFrame([{"series_id": pdf["series_id"].iloc[0], "frechet": gap + bures, "bures": bures**0.5, "correlation": 1 - both, "kl": kl}])
+        out = {"series_id": pdf["series_id"].iloc[0], "frechet": float(((ma - mb) ** 2).sum()) + bures, "bures": bures**0.5, "correlation": 1 - float((a * b).sum() / (np.linalg.norm(a) * np.linalg.norm(b)))}
+        out["definite"] = symmetric(a) and symmetric(b) and positive_definite(a) and positive_definite(b)
+        if out["definite"]:
+            ia, ib = np.linalg.inv(a), np.linalg.inv(b)
+            out["divergence"] = 0.5 * float(np.trace(ib @ a) - len(a) + np.linalg.slogdet(b)[1] - np.linalg.slogdet(a)[1])
+            out["kl"] = 0.5 * float(np.trace(ib @ a) + np.trace(ia @ b) + (ma - mb) @ (ia + ib) @ (ma - mb)) - len(a)
+            inverse = np.linalg.inv(ra)
+            w = np.log(np.linalg.eigvalsh(inverse @ b @ inverse))
+            out["riemann"], out["condition"] = float(np.sqrt((w * w).sum())), float(w[-1] - w[0])
+        return pd.DataFrame([out]).reindex(columns=["series_id", "frechet", "bures", "correlation", "definite", "divergence", "kl", "riemann", "condition"])
 
     kind = df.schema["series_id"].dataType.simpleString()
-    return moments.groupBy("series_id").applyInPandas(run, f"series_id {kind}, frechet double, bures double, correlation double, kl double")
+    return moments.groupBy("series_id").applyInPandas(run, f"series_id {kind}, frechet double, bures double, correlation double, definite boolean, divergence double, kl double, riemann double, condition double")
 
 
 def sliced_gromov_wasserstein(df: DataFrame, side: str, projections: int, seed: int = 1) -> DataFrame:
@@ -98,21 +131,27 @@ def kernel_distance(df: DataFrame, side: str, channels: int) -> DataFrame:
     return pairs.groupBy("series_id").agg((mean(0, 0) + mean(1, 1) - 2 * mean(0, 1)).alias("kid"))
 
 
+def warped(x: np.ndarray, y: np.ndarray, band: int) -> float:
+    """Cost of the best warping path, one anti-diagonal of the table after the other: its cells depend on the two before only."""
+    n, m = len(x), len(y)
+    table = [np.full(n + 1, np.inf), np.full(n + 1, np.inf)]  # by the place in x, for the diagonals i + j = d - 2 and d - 1
+    table[0][0] = 0.0
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        i = i[np.abs(2 * i - d) <= band]
+        new = np.full(n + 1, np.inf)
+        new[i] = (x[i - 1] - y[d - i - 1]) ** 2 + np.minimum(np.minimum(table[1][i - 1], table[1][i]), table[0][i - 1])
+        table = [table[1], new]
+    return float(table[1][n]) ** 0.5
+
+
 def dtw(pairs: DataFrame, band: int) -> DataFrame:
     """Dynamic time warping distance (root of summed squares) of two series in a band, for each pair
     (pair_id, t, x, y). Series are bounded by their length; scale comes from the number of pairs."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        cost = np.full(len(y) + 1, np.inf)
-        cost[0] = 0.0
-        for i, v in enumerate(x):
-            new = np.full(len(y) + 1, np.inf)
-            for j in range(max(0, i - band), min(len(y), i + band + 1)):
-                new[j + 1] = (v - y[j]) ** 2 + min(cost[j], cost[j + 1], new[j])
-            cost = new
-        return pd.DataFrame([{"pair_id": pdf["pair_id"].iloc[0], "dtw": float(cost[-1]) ** 0.5}])
+        return pd.DataFrame([{"pair_id": pdf["pair_id"].iloc[0], "dtw": warped(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), band)}])
 
     kind = pairs.schema["pair_id"].dataType.simpleString()
     return pairs.groupBy("pair_id").applyInPandas(run, f"pair_id {kind}, dtw double")
@@ -143,3 +182,109 @@ def info_nce(df: DataFrame, temperature: float = 0.07) -> DataFrame:
     top = rows.groupBy("series_id", "t").agg(F.max("s").alias("top"), F.max(F.when(F.col("t") == F.col("u"), F.col("s"))).alias("own"))
     logs = rows.join(top, ["series_id", "t"]).groupBy("series_id", "t", "top", "own").agg(F.sum(F.exp(F.col("s") - F.col("top"))).alias("z"))
     return logs.groupBy("series_id").agg(F.avg(F.col("top") + F.ln("z") - F.col("own")).alias("loss"))
+
+
+def sample_quality(df: DataFrame, side: str, k: int) -> DataFrame:
+    """Precision, recall, density and coverage of generated (side 1) against real (side 0) vectors (series_id, side, t, x), from the distances to the k-th
+    nearest of the own side: the share of generated vectors within a real one's radius, the share of real ones within a generated one's, the mean number of real radii
+    that hold a generated vector over k, and the share of real radii that hold one. All pairs within a series: for bounded series."""
+    a = df.select("series_id", F.col(side).alias("sa"), F.col("t").alias("ta"), F.col("x").alias("xa"))
+    b = df.select("series_id", F.col(side).alias("sb"), F.col("t").alias("tb"), F.col("x").alias("xb"))
+    gap = F.sqrt(F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.pow(p.cast("double") - q.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v))
+    pairs = a.join(b, "series_id").where("sa <> sb OR ta <> tb").select("series_id", "sa", "ta", "sb", "tb", F.round(gap, 9).alias("d"))
+    rank = F.row_number().over(Window.partitionBy("series_id", "sa", "ta").orderBy("d", "tb"))
+    radii = pairs.where("sa = sb").withColumn("_r", rank).where(F.col("_r") == k).select("series_id", "sa", "ta", F.col("d").alias("radius"))
+    held = pairs.where("sa <> sb").join(radii, ["series_id", "sa", "ta"]).withColumn("in", (F.col("d") <= F.col("radius")).cast("int"))
+    # rows: the ball of (sa, ta), and whether it holds (sb, tb)
+    generated = held.where("sa = 0").groupBy("series_id", "tb").agg(F.max("in").alias("any"), F.sum("in").alias("n"))
+    one = generated.groupBy("series_id").agg(F.avg("any").alias("precision"), (F.avg("n") / k).alias("density"))
+    two = held.where("sa = 1").groupBy("series_id", "tb").agg(F.max("in").alias("any")).groupBy("series_id").agg(F.avg("any").alias("recall"))
+    three = held.where("sa = 0").groupBy("series_id", "ta").agg(F.max("in").alias("any")).groupBy("series_id").agg(F.avg("any").alias("coverage"))
+    return one.join(two, "series_id").join(three, "series_id").select("series_id", "precision", "recall", "density", "coverage")
+
+
+def feature_distances(left: DataFrame, right: DataFrame, projections: int, seed: int = 1) -> DataFrame:
+    """series_id, a, b, sgw for every pair of features of two sides (series_id, name, t, ch, v): the sliced Gromov-Wasserstein distance, for
+    each series."""
+    pairs = left.select("series_id", F.col("name").alias("a")).distinct().join(right.select("series_id", F.col("name").alias("b")).distinct(), "series_id")
+    x = left.withColumnRenamed("name", "a").join(pairs, ["series_id", "a"]).withColumn("side", F.lit(0))
+    y = right.withColumnRenamed("name", "b").join(pairs, ["series_id", "b"]).withColumn("side", F.lit(1))
+    both = x.unionByName(y).select(F.struct("series_id", "a", "b").alias("series_id"), "side", "t", "ch", "v")
+    return sliced_gromov_wasserstein(both, "side", projections, seed).select("series_id.*", "sgw")
+
+
+def comparison(groups: DataFrame, projections: int, band: int, bins: int, sigma: float) -> DataFrame:
+    """corpus, n, sgw, dtw_low, dtw_mid, dtw_mean, dtw_high and information of paired series (corpus, series_id, t, x, y): a table that shows how
+    much closer aligned series are than misaligned ones, when both are given as corpora."""
+    key = groups.select(F.struct("corpus", "series_id").alias("series_id"), "t", "x", "y")
+    sides = key.select("series_id", F.lit(0).alias("side"), "t", F.lit(0).alias("ch"), F.col("x").alias("v")).unionByName(key.select("series_id", F.lit(1).alias("side"), "t", F.lit(0).alias("ch"), F.col("y").alias("v")))
+    gromov = sliced_gromov_wasserstein(sides, "side", projections)
+    warp = dtw(key.withColumnRenamed("series_id", "pair_id"), band).withColumnRenamed("pair_id", "series_id")
+    shared = mutual_information(key, bins, sigma)
+    met = gromov.join(warp, "series_id").join(shared, "series_id")
+    return met.groupBy(F.col("series_id.corpus").alias("corpus")).agg(
+        F.count("*").alias("n"), F.avg("sgw").alias("sgw"), F.min("dtw").alias("dtw_low"), F.median("dtw").alias("dtw_mid"), F.avg("dtw").alias("dtw_mean"), F.max("dtw").alias("dtw_high"), F.sum("mi").alias("information")
+    )
+
+
+def sensitivity(df: DataFrame, target: DataFrame, blocks: dict[str, tuple[int, int]], kinds: tuple[str, ...], trials: int, projections: int) -> DataFrame:
+    """block, kind, mean, std, t and dof: how far the distance between two sets of channels (series_id, t, ch, v) moves when a block of channels of the first is perturbed.
+    Each trial draws other projections; Student's t compares the trials with those of the unchanged channels."""
+    tries = [("", "reference", 0, 0)] + [(block, kind, low, high) for block, (low, high) in blocks.items() for kind in kinds]
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.lit(k).alias("kind"), F.lit(lo).alias("low"), F.lit(hi).alias("high")) for b, k, lo, hi in tries]))
+    wanted, out = target.withColumn("_c", each).select("series_id", "_c.block", "_c.kind", F.lit(1).alias("side"), "t", "ch", "v"), None
+    for trial in range(trials):
+        noise = lcg(lcg(F.col("t") * 1009 + F.col("ch"), trial + 1) + 7919, 3) / F.lit(2147483648.0)
+        inside = (F.col("ch") >= F.col("_c.low")) & (F.col("ch") < F.col("_c.high"))
+        kind = F.col("_c.kind")
+        value = F.when(kind == "zero", 0.0).when(kind == "negate", -F.col("v")).when(kind == "double", 2 * F.col("v")).when(kind == "random", noise).otherwise(F.col("v"))
+        rows = df.withColumn("_c", each).select("series_id", "_c.block", "_c.kind", F.lit(0).alias("side"), "t", "ch", F.when(inside, value).otherwise(F.col("v")).alias("v"))
+        keyed = rows.unionByName(wanted).select(F.struct("series_id", "block", "kind").alias("series_id"), "side", "t", "ch", "v")
+        one = sliced_gromov_wasserstein(keyed, "side", projections, seed=trial + 1).groupBy(F.col("series_id.block").alias("block"), F.col("series_id.kind").alias("kind")).agg(F.avg("sgw").alias("v")).withColumn("trial", F.lit(trial))
+        out = one if out is None else out.unionByName(one)
+    out = settled(out)
+    reference = out.where("kind = 'reference'").select("v")
+    own = out.where("kind <> 'reference'")
+    both = own.select("block", "kind", F.lit(1).alias("side"), "v").unionByName(own.select("block", "kind").distinct().crossJoin(F.broadcast(reference)).select("block", "kind", F.lit(0).alias("side"), "v"))
+    stats = own.groupBy("block", "kind").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    return stats.join(t_statistic(both, ["block", "kind"], "side", "v"), ["block", "kind"])
+
+
+def subseries(series: DataFrame, longest: int, negatives: int, seed: int = 3) -> DataFrame:
+    """Stretches for a triplet loss, drawn by ids: series_id, role ('anchor', 'positive' or 'negative'), k, source (the series that it comes from), start and length. The positive lies
+    within its anchor; negatives have its length and come from series drawn from all, by a random order in which each is followed by the next ones."""
+    ends = series.groupBy("series_id").agg(F.count("*").alias("n"))
+    draw = lambda k, span: F.floor(uniform(F.col("series_id") * 31 + k, seed) * span).cast("int")
+    least = F.least(F.lit(longest), F.col("n")).cast("int")
+    rows = ends.withColumn("_most", least).withColumn("_short", draw(1, F.col("_most")) + 1)
+    rows = rows.withColumn("_long", F.col("_short") + draw(2, F.col("_most") - F.col("_short") + 1)).withColumn("_from", draw(3, F.col("_most") - F.col("_long") + 1))
+    rows = rows.withColumn("_place", F.col("_from") + draw(4, F.col("_long") - F.col("_short") + 1))
+    anchors = rows.select("series_id", F.lit("anchor").alias("role"), F.lit(0).alias("k"), F.col("series_id").alias("source"), F.col("_from").alias("start"), F.col("_long").alias("length"))
+    positives = rows.select("series_id", F.lit("positive").alias("role"), F.lit(0).alias("k"), F.col("series_id").alias("source"), F.col("_place").alias("start"), F.col("_short").alias("length"))
+    order = rows.select("series_id", "n", uniform(F.col("series_id"), seed + 1).alias("_u")).withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_u", "series_id")) - 1)
+    size = rows.count()
+    asked = rows.join(order.select("series_id", "_r"), "series_id").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(negatives)))).withColumn("_r", F.pmod(F.col("_r") + F.col("k") * (1 + size // (negatives + 1)), F.lit(size)))
+    met = asked.join(order.select("_r", F.col("series_id").alias("source"), F.col("n").alias("_n")), "_r")
+    length = F.least("_short", "_n").cast("int")
+    start = F.floor(uniform(F.col("series_id") * 31 + 7 * F.col("k"), seed + 2) * (F.col("_n") - length + 1)).cast("int")
+    return anchors.unionByName(positives).unionByName(met.select("series_id", F.lit("negative").alias("role"), "k", "source", start.alias("start"), length.alias("length")))
+
+
+def triplet_loss(vectors: DataFrame, penalty: float = 1.0) -> DataFrame:
+    """series_id, loss: logistic loss of given vectors (series_id, role, k, x): -ln σ(anchor · positive) and the mean of -ln σ(-anchor · negative) times a penalty."""
+    own = vectors.where("role = 'anchor'").select("series_id", F.col("x").alias("_a"))
+    met = vectors.where("role <> 'anchor'").join(own, "series_id")
+    dot = F.aggregate(F.zip_with("x", "_a", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    loss = F.log1p(F.exp(F.when(F.col("role") == "positive", -dot).otherwise(dot)))
+    parts = met.withColumn("_l", loss).groupBy("series_id").agg(F.avg(F.when(F.col("role") == "positive", F.col("_l"))).alias("p"), F.avg(F.when(F.col("role") == "negative", F.col("_l"))).alias("n"))
+    return parts.select("series_id", (F.col("p") + penalty * F.coalesce("n", F.lit(0.0))).alias("loss"))
+
+
+def aligned_windows(series: DataFrame, patches: int, length: int, seed: int = 4) -> DataFrame:
+    """Frames of random windows of each series (series_id, name, t, v), the same for all features of a series: series_id, patch, name, t_rel, v. A frame goes
+    to the windows that hold it."""
+    ends = series.groupBy("series_id").agg((F.max("t") + 1).alias("_n")).where(F.col("_n") > length)
+    starts = ends.withColumn("patch", F.explode(F.sequence(F.lit(0), F.lit(patches - 1))))
+    starts = starts.select("series_id", "patch", F.floor(uniform(F.col("series_id") * 1009 + F.col("patch"), seed) * (F.col("_n") - length)).cast("int").alias("_s"))
+    met = starts.withColumn("t_rel", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("t", F.col("_s") + F.col("t_rel"))
+    return met.join(series, ["series_id", "t"]).select("series_id", "patch", "name", "t_rel", "v")

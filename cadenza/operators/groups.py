@@ -68,9 +68,9 @@ def t_statistic(df: DataFrame, by: list[str], side: str, value: str) -> DataFram
 
 def bootstrap_median(df: DataFrame, by: list[str], ident: str, value: str, replicates: int, level: float = 0.99) -> DataFrame:
     """Median and bootstrap interval: a replicate weighs each row by a Poisson(1) draw from its id, so
-    that no resampling moves rows. Weights are cut at 5, where less than 0.06 percent lies beyond."""
+    that no resampling moves rows. Weights go up to 14, beyond which a draw of 31 bits never falls."""
     u = lcg(lcg(F.col(ident), F.col("_b")) + 7919, F.col("_b")) / F.lit(2147483648.0)
-    steps = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(5)]
+    steps = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(14)]
     weight = F.lit(0)
     for s in steps:
         weight = weight + (u >= s).cast("int")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as N
 from cadenza.operators import windows as W
-from cadenza.sources.tables import lcg
+from cadenza.sources.tables import lcg, settled
 
 #: Components that the similarity of matrices index compares.
 COMPONENTS = 10
@@ -315,6 +315,7 @@ def conditional_dependence(df: DataFrame, features: int) -> DataFrame:
         den = F.sum(F.col("l") * (F.col("n") - F.col("l")) / F.col("n"))
         scored = near.groupBy("series_id", "feature").agg(F.round(F.try_divide(num, den), 9).alias("score"))
         best = scored.groupBy("series_id").agg(F.max(F.struct("score", (-F.col("feature")).alias("f"))).alias("m")).select("series_id", (-F.col("m.f")).alias("feature"), "m.score")
+        best = settled(best)
         picked = picked.join(best.drop("score"), "series_id").select("series_id", F.array_append("have", F.col("feature")).alias("have"))
         best = best.withColumn("step", F.lit(step))
         out = best if out is None else out.unionByName(best)

@@ -1,4 +1,4 @@
-"""Spectral jobs: frames of a signal by a join, transforms as products with small bases."""
+"""Spectral jobs: frames of a signal by a join, transforms of Arrow batches of whole frames, bands as products with small banks."""
 
 from __future__ import annotations
 
@@ -7,10 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.operators.windows import reflected
+from cadenza.functions import scalars as N
+from cadenza.operators.groups import edge_contrast, flatness
+from cadenza.operators.matching import median_2d
+from cadenza.operators.recurrences import band_pass, biquad
+from cadenza.operators.rows import is_peak, linear_resample
+from cadenza.operators.segments import laplacian_segmentations, recurrence
+from cadenza.sources.tables import settled
+from cadenza.operators.windows import convolve, gaussian, moving_median, onset_strength, parabolic_peak, reflected
 
 
 def frames(series: DataFrame, width: int, hop: int) -> DataFrame:
@@ -28,29 +35,64 @@ def hann(width: int) -> list[float]:
     return [0.5 - 0.5 * math.cos(2 * math.pi * k / width) for k in range(width)]
 
 
-def stft(framed: DataFrame, width: int) -> DataFrame:
-    """Magnitudes of the Fourier transform of Hann-weighted frames, by a product with the broadcast
-    basis (width · (width/2 + 1) rows): series_id, frame, bin, mag. For short frames; see stft_batches()."""
-    window, spark = hann(width), framed.sparkSession
-    rows = [(k, b, window[k] * math.cos(2 * math.pi * k * b / width), -window[k] * math.sin(2 * math.pi * k * b / width)) for k in range(width) for b in range(width // 2 + 1)]
-    basis = F.broadcast(spark.createDataFrame(rows, "k int, bin int, c double, s double"))
-    sums = framed.join(basis, "k").groupBy("series_id", "frame", "bin").agg(F.sum(F.col("v") * F.col("c")).alias("re"), F.sum(F.col("v") * F.col("s")).alias("im"))
-    return sums.select("series_id", "frame", "bin", F.hypot("re", "im").alias("mag"))
+def gathered(framed: DataFrame) -> DataFrame:
+    """One row a frame: series_id, frame, x (its values in order)."""
+    rows = framed.groupBy("series_id", "frame").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("_x"))
+    return rows.select("series_id", "frame", F.transform("_x", lambda p: p["v"]).alias("x"))
 
 
-def stft_batches(framed: DataFrame, width: int) -> DataFrame:
-    """The same by an FFT over Arrow batches of whole frames: series_id, frame, mag (array)."""
-    window = np.array(hann(width))
+def projected(framed: DataFrame, basis: np.ndarray) -> DataFrame:
+    """Products of frames with the columns of a complex basis: series_id, frame, re and im (arrays), a batch of frames at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array(b["x"].tolist(), float).reshape(len(b), width)
-            yield pd.DataFrame({"series_id": b["series_id"], "frame": b["frame"], "mag": list(np.abs(np.fft.rfft(x * window)))})
+            if len(b):
+                z = np.stack(b["x"].to_numpy()) @ basis
+                yield pd.DataFrame({"series_id": b["series_id"], "frame": b["frame"], "re": list(z.real), "im": list(z.imag)})
 
-    rows = framed.groupBy("series_id", "frame").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("_x"))
-    rows = rows.select("series_id", "frame", F.transform("_x", lambda p: p["v"]).alias("x"))
     kind = framed.schema["series_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"series_id {kind}, frame int, mag array<double>")
+    return gathered(framed).mapInPandas(run, f"series_id {kind}, frame int, re array<double>, im array<double>")
+
+
+def fourier(width: int, window: list[float] | None = None) -> np.ndarray:
+    """Basis of the Fourier transform of weighted frames, bins up to the half."""
+    k = np.arange(width)
+    return np.array(window or hann(width))[:, None] * np.exp(-2j * np.pi * np.outer(k, np.arange(width // 2 + 1)) / width)
+
+
+def stft_batches(framed: DataFrame, width: int) -> DataFrame:
+    """Magnitudes of the Fourier transform of Hann-weighted frames: series_id, frame, mag (array)."""
+    rows = projected(framed, fourier(width))
+    return rows.select("series_id", "frame", F.zip_with("re", "im", F.hypot).alias("mag"))
+
+
+def stft(framed: DataFrame, width: int) -> DataFrame:
+    """The same with a row for each bin: series_id, frame, bin, mag."""
+    return stft_batches(framed, width).select("series_id", "frame", F.posexplode("mag").alias("bin", "mag"))
+
+
+def stft_complex(framed: DataFrame, width: int) -> DataFrame:
+    """series_id, frame, bin, re, im."""
+    rows = projected(framed, fourier(width)).select("series_id", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
+    return rows.select("series_id", "frame", "bin", "z.re", "z.im")
+
+
+def constant_q(framed: DataFrame, width: int, rate: float, lowest: float, bins: int, per_octave: int) -> DataFrame:
+    """Constant-Q magnitudes: series_id, frame, bin, mag. Each bin has its own Hann window, as many samples as its Q asks for (the frame's
+    width at most), in the middle of the frame; all kernels together are one basis."""
+    return projected(framed, constant_q_basis(width, rate, lowest, bins, per_octave)).select("series_id", "frame", F.posexplode(F.zip_with("re", "im", F.hypot)).alias("bin", "mag"))
+
+
+def constant_q_basis(width: int, rate: float, lowest: float, bins: int, per_octave: int) -> np.ndarray:
+    """Columns of kernels at lowest · 2^(bin / per_octave), each with the sum of weights 1."""
+    q, n = 1 / (2 ** (1 / per_octave) - 1), np.arange(width) - width // 2
+    out = np.zeros((width, bins), complex)
+    for b in range(bins):
+        f = lowest * 2 ** (b / per_octave)
+        half = min(q * rate / f, width) / 2
+        w = np.where(np.abs(n) <= half, 0.5 + 0.5 * np.cos(np.pi * n / half), 0.0)
+        out[:, b] = w / w.sum() * np.exp(-2j * np.pi * f / rate * n)
+    return out
 
 
 def filter_bank(spectrum: DataFrame, weights: list[tuple[int, int, float]]) -> DataFrame:
@@ -93,3 +135,272 @@ def tempo(series: DataFrame, lags: int, rate: float, start: float = 120.0, sprea
     prior = F.exp(-0.5 * F.pow(F.log2(F.col("bpm") / start) / spread, F.lit(2.0)))
     best = F.max(F.struct(F.round(F.col("r") * prior, 9).alias("s"), (-F.col("lag")).alias("l")))
     return r.groupBy("series_id").agg(best.alias("m")).select("series_id", (60.0 * rate / -F.col("m.l")).alias("bpm"))
+
+
+def by_bin(spectrum: DataFrame) -> DataFrame:
+    """A spectrum (series_id, frame, bin, mag) as one series (series_id, t, v) for each bin; series_id holds both."""
+    return spectrum.select(F.struct("series_id", "bin").alias("series_id"), F.col("frame").alias("t"), F.col("mag").alias("v"))
+
+
+def harmonic_percussive(spectrum: DataFrame, k: int = 31, margin: float = 8.0, power: float = 2.0) -> DataFrame:
+    """series_id, frame, bin, harmonic and percussive: the spectrum under soft masks of its medians along time and along bins."""
+    along = moving_median(by_bin(spectrum), k).select("series_id.series_id", F.col("t").alias("frame"), "series_id.bin", F.col("v").alias("_h"))
+    across = median_2d(spectrum.select("series_id", "frame", F.lit(0).alias("y"), "bin", F.col("mag").alias("v")), ["series_id", "frame"], "y", "bin", 1, k)
+    across = across.select("series_id", "frame", F.col("bin").cast("int").alias("bin"), F.col("v").alias("_p"))
+    met = spectrum.join(along, ["series_id", "frame", "bin"]).join(across, ["series_id", "frame", "bin"])
+    split = margin == 1
+    return met.select(
+        "series_id", "frame", "bin",
+        (F.col("mag") * N.soft_mask(F.col("_h"), F.col("_p") * margin, power, split)).alias("harmonic"),
+        (F.col("mag") * N.soft_mask(F.col("_p"), F.col("_h") * margin, power, split)).alias("percussive"),
+    )
+
+
+def folded(spectrum: DataFrame, classes: int = 12, per_class: int = 1) -> DataFrame:
+    """Chroma: sums of the bins of a constant-Q spectrum (per_class to a pitch class, centred on it) over octaves: series_id, frame, pitch, v."""
+    pitch = F.pmod(F.floor((F.col("bin") + per_class // 2) / per_class), F.lit(classes)).cast("int")
+    return spectrum.groupBy("series_id", "frame", pitch.alias("pitch")).agg(F.sum("mag").alias("v"))
+
+
+def quantised(value: Column) -> Column:
+    """Steps of a quarter above 0.05, 0.1, 0.2 and 0.4."""
+    return sum((F.when(value > edge, 0.25).otherwise(0.0) for edge in (0.05, 0.1, 0.2, 0.4)), F.lit(0.0))
+
+
+def quantiser() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Knots, values and second derivatives of the natural cubic spline that quantised_smoothly() follows: level through 0.5 below 0.025, then one unit from each of
+    the edges 0, 0.05, 0.1, 0.2, 0.4 to the next, and level at 4.5 above 0.5."""
+    edges = [0.0, 0.05, 0.1, 0.2, 0.4]
+    x = np.concatenate([np.linspace(-0.1, 0.025, 101)[:-1]] + [np.linspace(a, b, 11)[:-1] for a, b in zip([0.025, *edges[1:]], [*edges[1:], 0.5])] + [np.linspace(0.5, 1.1, 100)])
+    rise = np.interp(x, [0, *edges[1:], 0.6], range(6))  # the last unit would end at 0.6
+    y = np.where(x < 0.025 - 1e-12, 0.5, np.where(x >= 0.5 - 1e-12, 4.5, rise))
+    h = np.diff(x)
+    n = len(x)
+    system, right = np.eye(n), np.zeros(n)
+    for i in range(1, n - 1):
+        system[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        right[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    return x, y, np.linalg.solve(system, right)
+
+
+def quantised_smoothly(value: Column, sharpness: float = 20.0) -> Column:
+    """quantised() with a smooth step: the value goes through a spline that makes the steps equally wide, then through logistic steps."""
+    x, y, m = quantiser()
+    knots = F.array(*[F.lit(float(v)) for v in x])
+    at = F.least(F.greatest(F.size(F.filter(knots, lambda k: k < value)) - 1, F.lit(0)), F.lit(len(x) - 2))
+    pick = lambda v: F.get(F.array(*[F.lit(float(u)) for u in v]), at)
+    h = np.diff(x)
+    t = value - F.get(knots, at)
+    # coefficients of (value - knot) in each interval
+    w = pick(y[:-1]) + t * (pick((y[1:] - y[:-1]) / h - h * (2 * m[:-1] + m[1:]) / 6) + t * (pick(m[:-1] / 2) + t * pick((m[1:] - m[:-1]) / (6 * h))))
+    step, scale = F.floor(w - 0.5), 1 / (2 * (1 / (1 + math.exp(-sharpness)) - 0.5))
+    return 0.25 * (step + scale / (1 + F.exp(-2 * sharpness * (w - 1 - step))))
+
+
+def cens(chroma: DataFrame, smooth: int = 41) -> DataFrame:
+    """Chroma energy statistics: each frame of unit sum, quantised, smoothed along time by a Hann window (zeros beyond the ends), of unit length."""
+    unit = chroma.withColumn("v", F.coalesce(N.norm("l1", ["series_id", "frame"]), F.lit(0.0))).withColumn("v", quantised(F.col("v")))
+    raw = hann(smooth + 2)
+    kernel = [(k - (smooth + 2) // 2, w / sum(raw)) for k, w in enumerate(raw)]
+    rows = unit.select(F.struct("series_id", "pitch").alias("series_id"), F.col("frame").cast("int").alias("t"), "v")
+    rows = convolve(rows, kernel, "zero").select("series_id.series_id", F.col("t").alias("frame"), "series_id.pitch", "v")
+    return rows.withColumn("v", F.coalesce(N.norm("l2", ["series_id", "frame"]), F.lit(0.0)))
+
+
+def tonal_basis(classes: int = 12) -> list[tuple[int, int, float]]:
+    """(pitch, axis, weight): sines and cosines of pitch classes on the circles of fifths, minor and major thirds; classes are 12/11 apart, both ends
+    included."""
+    out = []
+    for axis, (turn, radius) in enumerate([(7 / 6, 1.0), (7 / 6, 1.0), (3 / 2, 1.0), (3 / 2, 1.0), (2 / 3, 0.5), (2 / 3, 0.5)]):
+        for pitch in range(classes):
+            out.append((pitch, axis, radius * math.cos(math.pi * (turn * pitch * 12 / (classes - 1) - 0.5 * (axis % 2 == 0)))))
+    return out
+
+
+def tonal_centroids(chroma: DataFrame) -> DataFrame:
+    """series_id, frame, axis, v: chroma of unit sum on the six axes of tonal_basis()."""
+    unit = chroma.withColumn("v", F.coalesce(N.norm("l1", ["series_id", "frame"]), F.lit(0.0)))
+    basis = F.broadcast(chroma.sparkSession.createDataFrame(tonal_basis(), "pitch int, axis int, w double"))
+    return unit.join(basis, "pitch").groupBy("series_id", "frame", "axis").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+
+
+def pitch_peaks(spectrum: DataFrame, width: int, rate: float, threshold: float = 0.1) -> DataFrame:
+    """series_id, frame, hz, mag: local maxima of each frame above a share of its largest value, between bins by a parabola."""
+    frame = Window.partitionBy("series_id", "frame")
+    shift, height = parabolic_peak("mag", frame.orderBy("bin"))
+    rows = spectrum.withColumns({"_shift": shift, "_height": height, "_peak": is_peak("mag", frame.orderBy("bin")), "_top": F.max("mag").over(frame)})
+    rows = rows.where(F.col("_peak") & (F.col("mag") > threshold * F.col("_top")))
+    return rows.select("series_id", "frame", ((F.col("bin") + F.col("_shift")) * (rate / width)).alias("hz"), F.col("_height").alias("mag"))
+
+
+def tuning(peaks: DataFrame, resolution: float = 0.01, per_octave: int = 12) -> DataFrame:
+    """series_id, tuning: the offset from the nearest pitch, in parts of a class, that most peaks above the series' median magnitude have; the lower one on ties."""
+    mid = peaks.groupBy("series_id").agg(F.expr("percentile_disc(0.5) within group (order by mag)").alias("_m"))
+    off = F.pmod(per_octave * N.hz_to_octave(F.col("hz")), F.lit(1.0))
+    off = F.when(off >= 0.5, off - 1).otherwise(off)
+    rows = peaks.join(mid, "series_id").where("mag >= _m AND hz > 0").withColumn("bin", F.floor((off + 0.5) / resolution))
+    counts = rows.groupBy("series_id", "bin").agg(F.count("*").alias("n"))
+    return counts.groupBy("series_id").agg(F.max(F.struct("n", (-F.col("bin")).alias("b"))).alias("m")).select("series_id", (-F.col("m.b") * resolution - 0.5).alias("tuning"))
+
+
+def pitch_class_profile(peaks: DataFrame, reference: float = 440.0, classes: int = 12, width: float = 1.0) -> DataFrame:
+    """series_id, frame, pitch, v: squared magnitudes of peaks on the classes within half a width, weighed by a squared cosine; over the frame's largest."""
+    place = classes * F.log2(F.col("hz") / reference)
+    rows = peaks.where("hz > 0").withColumn("pitch", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))))
+    gap = F.pmod(place - F.col("pitch") + classes / 2, F.lit(float(classes))) - classes / 2
+    rows = rows.withColumn("_d", gap).where(F.abs("_d") <= width / 2)
+    sums = rows.groupBy("series_id", "frame", "pitch").agg(F.sum(F.pow(F.cos(F.col("_d") * (math.pi / width)), F.lit(2.0)) * F.col("mag") * F.col("mag")).alias("v"))
+    return sums.withColumn("v", F.try_divide("v", F.max("v").over(Window.partitionBy("series_id", "frame"))))
+
+
+def banded_onsets(series: DataFrame, width: int, hop: int, rate: float, cuts: tuple[float, float]) -> DataFrame:
+    """series_id, band, t, v: onset strength of the whole signal and of what lies below, between and above two cut-offs."""
+    low, high = cuts
+    bands = {"full": series, "low": biquad(series, "low", low, rate), "mid": band_pass(series, low, high, rate), "high": biquad(series, "high", high, rate)}
+    out = None
+    for name, one in bands.items():
+        rows = stft(frames(one, width, hop), width).select("series_id", F.col("frame").alias("t"), F.col("bin").alias("ch"), F.col("mag").alias("v"))
+        found = onset_strength(rows).select("series_id", F.lit(name).alias("band"), "t", "v")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def fused_onsets(bins: DataFrame) -> DataFrame:
+    """series_id, t, v: five onset functions of a complex spectrum (series_id, frame, bin, re, im), each scaled to 0..1, summed, clamped at its 97 percent
+    quantile and scaled: squared rises; rises; rises over the largest neighbouring bin before; the distance from the spectrum that goes on
+    from the two frames before with their magnitude and turn; and a logarithmic divergence from the frame before."""
+    bin_ = Window.partitionBy("series_id", "bin").orderBy("frame")
+    around = Window.partitionBy("series_id", "frame").orderBy("bin").rowsBetween(-1, 1)
+    rows = bins.withColumn("m", F.hypot("re", "im")).withColumn("wide", F.max("m").over(around))
+    before = lambda c, k=1: F.coalesce(F.lag(c, k).over(bin_), F.lit(0.0))
+    rows = rows.withColumns({"p": before("m"), "pw": before("wide"), "pr": before("re"), "pi": before("im"), "qr": before("re", 2), "qi": before("im", 2), "q": before("m", 2)})
+    rise = F.greatest(F.col("m") - F.col("p"), F.lit(0.0))
+    # the frame before, turned on by its own turn: p · (z / |z|)² · conj(y) / |y|, with z one and y two frames before
+    scale = F.coalesce(F.try_divide(F.lit(1.0), F.col("p") * F.col("q")), F.lit(0.0))
+    a, b = F.col("pr") * F.col("pr") - F.col("pi") * F.col("pi"), 2 * F.col("pr") * F.col("pi")
+    er, ei = scale * (a * F.col("qr") + b * F.col("qi")), scale * (b * F.col("qr") - a * F.col("qi"))
+    kinds = {
+        "diff": F.sum(rise * rise), "flux": F.sum(rise), "superflux": F.sum(F.greatest(F.col("m") - F.col("pw"), F.lit(0.0))),
+        "complex": F.sum(F.hypot(F.col("re") - er, F.col("im") - ei)), "divergence": F.sum(F.ln(1 + F.col("m") / (F.col("p") + 1e-6))),
+    }
+    each = rows.groupBy("series_id", F.col("frame").alias("t")).agg(*[v.alias(k) for k, v in kinds.items()])
+    total = each.select("series_id", "t", sum((N.minmax(k) for k in kinds), F.lit(0.0)).alias("v"))
+    return N.clamp(total, ["series_id"], None, 0.97).withColumn("v", N.minmax())
+
+
+def tempogram(series: DataFrame, width: int, hop: int = 1) -> DataFrame:
+    """Autocorrelation of each Hann-weighted stretch of an envelope, over its largest value: series_id, frame, lag, r."""
+    window = np.array(hann(width))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.stack(b["x"].to_numpy()) * window
+                z = np.fft.rfft(x, 2 * width)
+                r = np.fft.irfft(z * z.conj(), 2 * width)[:, :width]
+                r = r / np.maximum(np.abs(r).max(axis=1, keepdims=True), 1e-12)
+                yield pd.DataFrame({"series_id": b["series_id"], "frame": b["frame"], "r": list(r)})
+
+    kind = series.schema["series_id"].dataType.simpleString()
+    rows = gathered(frames(series, width, hop)).mapInPandas(run, f"series_id {kind}, frame int, r array<double>")
+    return rows.select("series_id", "frame", F.posexplode("r").alias("lag", "r"))
+
+
+def local_pulse(series: DataFrame, width: int, rate: float, slowest: float = 60.0, fastest: float = 180.0) -> DataFrame:
+    """series_id, t, v: the pulse that an envelope follows locally. Each stretch gives its strongest frequency between two tempi (beats a minute), as a
+    windowed cosine with the stretch's phase; these are added where they overlap; the positive part is scaled to 0..1."""
+    bpm = np.arange(width // 2 + 1) * 60.0 * rate / width
+    near, window, basis = (bpm >= slowest) & (bpm <= fastest), np.array(hann(width)), fourier(width)
+    if not near.any():
+        raise ValueError("no frequency of the transform lies between the two tempi")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = np.arange(width)
+        for b in batches:
+            if len(b):
+                z = np.where(near, np.stack(b["x"].to_numpy()) @ basis, 0)
+                k = np.abs(z).argmax(axis=1)
+                top = z[np.arange(len(z)), k]
+                phase = np.where(np.abs(top) > 0, np.angle(top), np.nan)
+                wave = window * np.cos(2 * np.pi * np.outer(k, place) / width + phase[:, None])
+                yield pd.DataFrame({"series_id": b["series_id"], "frame": b["frame"], "wave": list(np.nan_to_num(wave))})
+
+    kind = series.schema["series_id"].dataType.simpleString()
+    waves = gathered(frames(series, width, 1)).mapInPandas(run, f"series_id {kind}, frame int, wave array<double>")
+    rows = waves.select("series_id", "frame", F.posexplode("wave").alias("k", "w")).withColumn("t", F.col("frame") + F.col("k") - width // 2)
+    sums = rows.groupBy("series_id", "t").agg(F.sum("w").alias("v"))
+    met = series.select("series_id", F.col("t").cast("int").alias("t")).join(sums, ["series_id", "t"], "left").withColumn("v", F.greatest(F.coalesce("v", F.lit(0.0)), F.lit(0.0)))
+    return met.withColumn("v", N.minmax())
+
+
+def mean_chroma(estimates: dict[str, DataFrame], frames_: int) -> DataFrame:
+    """Several chroma estimates (series_id, frame, pitch, v), each brought to one number of frames, averaged: series_id, t, ch, v."""
+    out = None
+    for one in estimates.values():
+        keyed = one.select(F.struct("series_id", "pitch").alias("series_id"), F.col("frame").cast("int").alias("t"), "v")
+        grid = linear_resample(keyed, frames_)
+        out = grid if out is None else out.unionByName(grid)
+    return out.groupBy("series_id", "t").agg(F.avg("v").alias("v")).select("series_id.series_id", "t", F.col("series_id.pitch").alias("ch"), "v")
+
+
+#: The names and widths of the feature table's blocks, in the order of its columns.
+FEATURES = (
+    ("mfcc", 20), ("chroma", 12), ("tonnetz", 6), ("contrast", 7), ("flatness", 1), ("onset", 1), ("onset_low", 1), ("onset_mid", 1), ("onset_high", 1), ("pulse", 1),
+    ("rms", 1), ("rms_low", 1), ("rms_mid", 1), ("rms_high", 1), ("drop", 1), ("drop_low", 1), ("drop_mid", 1), ("drop_high", 1),
+)
+
+
+def features(series: DataFrame, width: int = 64, hop: int = 2, rate: float = 24.0, clamp: bool = True, smooth: float = 0.1) -> DataFrame:
+    """The blocks of FEATURES in long form: series_id, t, name, ch, v. All come from one spectrum and its harmonic and percussive parts; low, mid and high are thirds
+    of the bins. Each channel is clamped to its peaks and above its lowest tenth, and smoothed."""
+    bins, fps = width // 2 + 1, rate / hop
+    split = settled(harmonic_percussive(stft(frames(series, width, hop), width)))  # all blocks read it
+    whole_ = split.withColumn("mag", F.col("harmonic") + F.col("percussive"))
+    frame_key = ["series_id", "frame"]
+    name = lambda df, n, ch=None: df.select("series_id", F.col("frame").cast("int").alias("t"), F.lit(n).alias("name"), (F.lit(0) if ch is None else F.col(ch).cast("int")).alias("ch"), "v")
+    bands = filter_bank(whole_.withColumn("mag", F.col("mag") * F.col("mag")), triangles(bins, 24)).withColumn("v", 10 * F.log10(F.greatest("v", F.lit(1e-10))))
+    pitch = F.pmod(F.round(12 * F.log2(F.col("bin") * (rate / width))), F.lit(12)).cast("int")
+    chroma = split.where("bin > 0").groupBy(*frame_key, pitch.alias("pitch")).agg(F.sum("harmonic").alias("v"))
+    grid = chroma.select(*frame_key).distinct().withColumn("pitch", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    chroma = grid.join(chroma, [*frame_key, "pitch"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    steady = settled(cens(chroma))
+    octave = F.least(F.floor(F.log2(F.greatest(F.col("bin"), F.lit(1)) + 0.0) + 1), F.lit(6)).cast("int")
+    octave = F.when(F.col("bin") == 0, 0).otherwise(octave)
+    contrast = edge_contrast(whole_.withColumn("band", octave), [*frame_key, "band"], "mag", "bin", 0.02).withColumnRenamed("contrast", "v")
+    flat = whole_.withColumn("_m", F.col("mag") + 1e-10).groupBy(*frame_key).agg(flatness("_m").alias("v"))
+    parts = {"": F.lit(True), "_low": F.col("bin") < bins // 3, "_mid": (F.col("bin") >= bins // 3) & (F.col("bin") < 2 * (bins // 3)), "_high": F.col("bin") >= 2 * (bins // 3)}
+    out = [name(dct(bands, 24, 20), "mfcc", "coef"), name(steady, "chroma", "pitch"), name(tonal_centroids(steady), "tonnetz", "axis"), name(contrast, "contrast", "band"), name(flat, "flatness")]
+    for part, where in parts.items():
+        percussive = split.where(where).select("series_id", F.col("frame").alias("t"), F.col("bin").alias("ch"), F.col("percussive").alias("v"))
+        out.append(name(onset_strength(percussive).withColumnRenamed("t", "frame"), f"onset{part}"))
+        rms = split.where(where).groupBy(*frame_key).agg((F.sqrt(2 * F.sum(F.col("harmonic") * F.col("harmonic"))) / width).alias("v"))
+        out.append(name(rms, f"rms{part}"))
+        drop = N.emphasize(gaussian(rms.withColumnRenamed("frame", "t"), 10.0), 10.0, 0.5)
+        out.append(name(drop.select("series_id", F.col("t").alias("frame"), "v"), f"drop{part}"))
+    strength = onset_strength(split.select("series_id", F.col("frame").alias("t"), F.col("bin").alias("ch"), F.col("percussive").alias("v")), how="median")
+    out.append(name(local_pulse(strength, 16, fps, 60.0, 240.0).withColumnRenamed("t", "frame"), "pulse"))
+    long = out[0]
+    for one in out[1:]:
+        long = long.unionByName(one)
+    keyed = settled(long.select(F.struct("series_id", "name", "ch").alias("series_id"), "t", F.coalesce("v", F.lit(0.0)).alias("v")))
+    if clamp:
+        keyed = N.clamp(N.clamp_to_peaks(keyed, 0.975), ["series_id"], 0.1, None)
+    if smooth:
+        keyed = gaussian(keyed, smooth * fps)
+    return keyed.select("series_id.series_id", "t", "series_id.name", "series_id.ch", "v")
+
+
+def wide_features(long: DataFrame) -> DataFrame:
+    """series_id, t and one column for each channel of FEATURES (59)."""
+    columns = [f"{n}_{k}" if w > 1 else n for n, w in FEATURES for k in range(w)]
+    single = F.array(*[F.lit(n) for n, w in FEATURES if w == 1])
+    key = F.when(F.array_contains(single, F.col("name")), F.col("name")).otherwise(F.concat_ws("_", "name", F.col("ch").cast("string")))
+    return long.withColumn("_c", key).groupBy("series_id", "t").pivot("_c", columns).agg(F.first("v"))
+
+
+def music_information(series: DataFrame, ks: tuple[int, ...] = (2, 4, 6, 8, 12, 16), width: int = 64, hop: int = 2, rate: float = 24.0) -> dict[str, DataFrame]:
+    """Three tables of each series: `features` (long), `segments` (series_id, k, t, label) by the Laplacian of the chroma frames' recurrence, and `tempo`."""
+    long = settled(features(series, width, hop, rate))
+    rows = long.where("name = 'chroma'").groupBy("series_id", "t").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("_x")).select("series_id", "t", F.transform("_x", lambda c: c["v"]).alias("x"))
+    onsets = long.where("name = 'onset'").select("series_id", "t", "v")
+    return {"features": long, "segments": laplacian_segmentations(recurrence(settled(rows)), list(ks)), "tempo": tempo(onsets, 24, rate / hop)}

@@ -121,3 +121,16 @@ def s20(spark, d):
     own = S.events_series(spark, d).groupBy("series_id").agg(r6(F.avg("v")).alias("level"))
     config = own.select("series_id", (1 + F.col("series_id") % 5).alias("depth"), F.concat(F.lit("kind"), (F.col("series_id") % 3).cast("string")).alias("kind"), "level")
     return S.config_rows(S.config_json(config), "depth long, kind string, level double")
+
+
+@query("s5_write_table", "SELECT 'parquet' AS kind, event_type AS grp, count(*) AS n, round(sum(value), 5) AS total FROM events GROUP BY 2 UNION ALL SELECT 'csv', event_type, count(*), round(sum(value), 5) FROM events GROUP BY 2")
+def s5(spark, d):
+    """Rows appended to two kinds of result tables, read back."""
+    rows, folder, out = S.table(spark, d, "events").select(F.col("event_type").alias("grp"), "event_id", "value"), S.scratch(spark), None
+    for kind in ("parquet", "csv"):
+        S.write_table(rows, f"{folder}/{kind}", kind, ["grp"])
+        reader = spark.read.schema("event_id long, value double, grp string")
+        back = (reader.option("header", True).csv if kind == "csv" else reader.parquet)(f"{folder}/{kind}")
+        one = back.groupBy("grp").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total")).select(F.lit(kind).alias("kind"), "grp", "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadenza.plans._register import SERIES, query, r6
+from cadenza.operators.recurrences import bilinear, legendre_memory
 from cadenza.plans.aggregates import PAIRS, pairs
+from cadenza.plans.recurrence import ORDER, STEP, projection_sql
 from cadenza.sources import tables as S
 from cadenza.streaming import jobs as J
 
@@ -39,3 +42,15 @@ def t6(spark, d):
 def t7(spark, d):
     m = J.running_moments(pairs(spark, d))
     return m.select("series_id", "n", *[F.round(c, 5).alias(c) for c in ("sx", "sy")], *[F.round(c, 4).alias(c) for c in ("sxx", "sxy", "syy")])
+
+
+@query("t4_differences", "SELECT * FROM (SELECT user_id AS series_id, ts::TIMESTAMP AS ts, round(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts)), 6) AS step FROM events) WHERE step IS NOT NULL")
+def t4(spark, d):
+    return J.differences(events(spark, d)).select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), r6(F.col("step")).alias("step"))
+
+
+@query("t5_projection", projection_sql())
+def t5(spark, d):
+    rows = J.projected(events(spark, d), *bilinear(*legendre_memory(ORDER), STEP))
+    t = F.row_number().over(Window.partitionBy("series_id").orderBy("ts")) - 1
+    return rows.select("series_id", t.cast("long").alias("t"), *[r6(F.get("state", F.lit(i))).alias(f"c{i}") for i in range(ORDER)])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +64,25 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] |
     writer.format(kind).save(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir, which all executors share; below a temporary folder only where that is unset and the session
+    is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to a shared folder and read back: what a loop goes on from, so that its plan doesn't grow with the rounds and no executor's loss costs
+    more than the last one."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def resume(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work that the result table does not hold yet."""
     return todo.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from cadenza.operators.recurrences import linear_state, scanned
 
 
 def late(df: DataFrame, allowed: str) -> DataFrame:
@@ -65,6 +68,40 @@ class LastFrame(StatefulProcessor):
 
 
 def differences(df: DataFrame, allowed: str = "1 hour") -> DataFrame:
-    """Stream of absolute differences; rows later than the watermark are dropped."""
+    """Absolute differences to the frame before (series_id, ts, step); of a stream, rows later than the watermark are dropped."""
+    if not df.isStreaming:
+        step = F.abs(F.col("v") - F.lag("v").over(Window.partitionBy("series_id").orderBy("ts")))
+        return df.select("series_id", "ts", step.alias("step")).where("step IS NOT NULL")
     kind = df.schema["series_id"].dataType.simpleString()
     return late(df, allowed).groupBy("series_id").transformWithStateInPandas(LastFrame(), f"series_id {kind}, ts timestamp, step double", "Append", "none")
+
+
+class Projection(StatefulProcessor):
+    """The state of a linear recurrence after each frame; the state is one vector a series."""
+
+    def __init__(self, transition: np.ndarray, source: np.ndarray):
+        self.transition, self.source = transition, source
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", StructType([StructField("c", ArrayType(DoubleType()))]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = pd.concat(rows).sort_values("ts")
+        inputs = np.outer(frames["v"], self.source)
+        if self.held.exists():
+            inputs[0] += self.transition @ np.asarray(self.held.get()[0])
+        states = scanned(inputs, self.transition)
+        self.held.update((states[-1].tolist(),))
+        yield pd.DataFrame({"series_id": key[0], "ts": frames["ts"], "state": list(states)})
+
+    def close(self) -> None:
+        pass
+
+
+def projected(df: DataFrame, transition: np.ndarray, source: np.ndarray, allowed: str = "1 hour") -> DataFrame:
+    """series_id, ts, state: the online projection of each series (series_id, ts, v); batch tables go through the chunked recurrence."""
+    if not df.isStreaming:
+        placed = df.withColumn("t", (F.row_number().over(Window.partitionBy("series_id").orderBy("ts")) - 1).cast("int"))
+        return linear_state(placed, transition, source).join(placed.select("series_id", "t", "ts"), ["series_id", "t"]).select("series_id", "ts", "state")
+    kind = df.schema["series_id"].dataType.simpleString()
+    return late(df, allowed).groupBy("series_id").transformWithStateInPandas(Projection(transition, source), f"series_id {kind}, ts timestamp, state array<double>", "Append", "none")

@@ -3,10 +3,15 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from cadenza.operators import distances as D
+from cadenza.operators import groups as G
 from cadenza.operators import measures as M
 from cadenza.operators import pictures as V
 from cadenza.operators import recurrences as R
+from cadenza.operators import segments as C
+from cadenza.operators import spectra as X
 
 
 def long_rows(spark, values, extra=""):
@@ -42,6 +47,14 @@ def channels(spark, x, side=None):
     return spark.createDataFrame(rows, "series_id long, t int, ch int, v double")
 
 
+def left_vectors(x):
+    """Left singular vectors of a centred matrix, signs fixed by the right ones, and singular values."""
+    u, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    keep = s > 1e-9 * s[0]
+    sign = np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(axis=1)])
+    return (u * sign)[:, keep], s[keep], (vt * sign[:, None])[keep]
+
+
 def test_measures_fall_with_noise(spark):
     draw = np.random.default_rng(0)
     x, noise = draw.normal(size=(80, 4)), draw.normal(size=(80, 4))
@@ -52,16 +65,282 @@ def test_measures_fall_with_noise(spark):
         xc, yc = x - x.mean(axis=0), y - y.mean(axis=0)
         assert a["rv"] == pytest.approx(np.trace(xc @ xc.T @ yc @ yc.T) / np.sqrt(np.trace((xc @ xc.T) @ (xc @ xc.T)) * np.trace((yc @ yc.T) @ (yc @ yc.T))))
         assert b["procrustes"] == pytest.approx(np.linalg.svd(xc.T @ yc, compute_uv=False).sum() / (np.linalg.norm(xc) * np.linalg.norm(yc)))
-        found.append((a["rv"], b["procrustes"], b["smi"]))
-    assert all(found[0][i] > found[1][i] > found[2][i] for i in range(3)) and found[0][1] == pytest.approx(1)
+        found.append((a["rv"], a["rv2_standard"], a["autocorrelation"], a["rv_less_expected"], b["procrustes"], b["smi"], b["smi_full"], b["svcca"], b["pwcca"], b["coxhead_trace"]))
+    assert all(found[0][i] >= found[1][i] > found[2][i] for i in range(10)) and found[0][4] == pytest.approx(1)
+
+
+def test_subspace_measures_by_svd(spark):
+    draw = np.random.default_rng(7)
+    x, y = draw.normal(size=(90, 5)), draw.normal(size=(90, 5))
+    y[:, :3] += 1.5 * x[:, :3]
+    r = M.small_matrix_measures(channels(spark, x), channels(spark, y)).collect()[0]
+    (ux, sx, vx), (uy, sy, vy) = left_vectors(x), left_vectors(y)
+    t = ux.T @ uy
+    smi = np.array([[min(1.0, (t[: i + 1, : j + 1] ** 2).sum() / (min(i, j) + 1)) for j in range(5)] for i in range(5)])
+    assert r["smi"] == pytest.approx(np.sort(smi.ravel())[12])
+    pro = np.array([[np.linalg.svd(t[: i + 1, : j + 1], compute_uv=False).mean() ** 2 for j in range(5)] for i in range(5)])
+    assert r["smi_procrustes"] == pytest.approx(np.sort(pro.ravel())[12])
+    size = np.linalg.norm(x - x.mean(axis=0)) * np.linalg.norm(y - y.mean(axis=0))
+    assert r["r2"] == pytest.approx(np.trace((ux * sx) @ (uy * sy).T) / size)
+    assert r["r4"] == pytest.approx(np.trace(ux @ uy.T) / 5)
+    assert r["r3"] == pytest.approx(np.trace(ux @ vx @ (uy @ vy).T) / 5)
+    assert r["rg"] == pytest.approx((t**2).sum() / 5)
+    p, rho, _ = np.linalg.svd(t)
+    assert r["smi_full"] == pytest.approx((rho**2).mean()) and r["svcca"] == pytest.approx(rho.mean())
+    weight = np.abs((ux @ p).T @ (x - x.mean(axis=0))).sum(axis=1)
+    assert r["pwcca"] == pytest.approx((weight * rho).sum() / weight.sum())
+    assert r["coxhead"] == pytest.approx(1 - 5 / (1 / (1 - rho)).sum())
+    cx, cy, cxy = np.cov(x.T), np.cov(y.T), np.cov(x.T, y.T)[:5, 5:]
+    explained = cxy.T @ np.linalg.inv(cx) @ cxy
+    rest = np.linalg.inv(cy - explained)
+    assert r["coxhead_trace"] == pytest.approx(np.trace(rest @ explained) / np.trace(rest @ cy))
+
+
+def test_significance(spark):
+    draw = np.random.default_rng(3)
+    x, other = draw.normal(size=(60, 3)), draw.normal(size=(60, 3))
+    near = M.smi_significance(channels(spark, x), channels(spark, x + 0.1 * other), 20).collect()[0]
+    assert near["p"] == 0.0 and near["smi"] > 0.9
+    assert near["smi"] == pytest.approx(M.small_matrix_measures(channels(spark, x), channels(spark, x + 0.1 * other)).collect()[0]["smi"])
+    assert M.smi_significance(channels(spark, x), channels(spark, other), 20).collect()[0]["p"] > 0.0
+
+
+def test_conditional_dependence(spark):
+    """Against the same greedy search in plain loops."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(60, 3))
+    y = np.sin(x[:, 1]) + 0.05 * x[:, 2]
+    rows = spark.createDataFrame([(1, t, x[t].tolist(), float(y[t])) for t in range(60)], "series_id long, t int, x array<double>, y double")
+    n, r, low = 60, np.array([(y <= v).sum() for v in y]), np.array([(y >= v).sum() for v in y])
+
+    def score(use):
+        z = x[:, use]
+        d = ((z[:, None] - z[None]) ** 2).sum(axis=2) + np.diag([np.inf] * n)
+        return (np.minimum(r, r[d.argmin(axis=1)]) - low**2 / n).sum() / (low * (n - low) / n).sum()
+
+    have, want = [], []
+    for _ in range(3):
+        best = max((k for k in range(3) if k not in have), key=lambda k: score([*have, k]))
+        have.append(best)
+        want.append((best, pytest.approx(score(have), abs=1e-8)))
+    found = [(q["feature"], q["score"]) for q in M.conditional_dependence(rows, 3).orderBy("step").collect()]
+    assert found == want and found[0][0] == 1
 
 
 def test_gaussian_distances(spark):
     draw = np.random.default_rng(1)
-    x = draw.normal(size=(60, 3))
-    rows = channels(spark, x).selectExpr("*", "0 as side").unionByName(channels(spark, x + 1).selectExpr("*", "1 as side"))
-    r = D.gaussian_distances(rows, "side").collect()[0]
-    assert r["frechet"] == pytest.approx(3) and r["bures"] == pytest.approx(0, abs=1e-4) and r["correlation"] == pytest.approx(0, abs=1e-9)
+    x, y = draw.normal(size=(60, 3)), draw.normal(size=(70, 3)) * [1.0, 2.0, 0.5] + 1e4
+    both = lambda p, q: channels(spark, p).selectExpr("*", "0 as side").unionByName(channels(spark, q).selectExpr("*", "1 as side"))
+    r = D.gaussian_distances(both(x, x + 1), "side").collect()[0]
+    assert r["frechet"] == pytest.approx(3) and r["bures"] == pytest.approx(0, abs=1e-4) and r["correlation"] == pytest.approx(0, abs=1e-9) and r["riemann"] == pytest.approx(0, abs=1e-6)
+    r, a, b = D.gaussian_distances(both(x, y), "side").collect()[0], np.cov(x.T), np.cov(y.T)
+    w = np.log(np.linalg.eigvals(np.linalg.inv(a) @ b).real)
+    assert r["definite"] and r["riemann"] == pytest.approx(np.sqrt((w**2).sum())) and r["condition"] == pytest.approx(w.max() - w.min())
+    assert r["divergence"] == pytest.approx(0.5 * (np.trace(np.linalg.inv(b) @ a) - 3 + np.log(np.linalg.det(b) / np.linalg.det(a))))
+    flat = D.gaussian_distances(both(np.hstack([x, x[:, :1]]), np.hstack([x, x[:, :1]])), "side").collect()[0]
+    assert not flat["definite"] or flat["kl"] is not None
+
+
+def test_warping_against_a_full_table():
+    draw = np.random.default_rng(2)
+    for n, m, band in ((5, 5, 9), (30, 30, 4), (12, 15, 6), (1, 3, 9)):
+        x, y = draw.normal(size=n), draw.normal(size=m)
+        table = np.full((n + 1, m + 1), np.inf)
+        table[0, 0] = 0
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                if abs(i - j) <= band:
+                    table[i, j] = (x[i - 1] - y[j - 1]) ** 2 + min(table[i - 1, j], table[i, j - 1], table[i - 1, j - 1])
+        assert D.warped(x, y, band) == pytest.approx(np.sqrt(table[n, m]))
+
+
+def test_recurrence_in_chunks(spark):
+    draw = np.random.default_rng(4)
+    v, (a, b) = draw.normal(size=57), R.bilinear(*R.legendre_memory(3), 0.1)
+    want, c = [], np.zeros(3)
+    for x in v:
+        c = a @ c + b * x
+        want.append(c)
+    found = [r["state"] for r in R.linear_state(long_rows(spark, v), a, b, chunk=10).orderBy("t").collect()]
+    assert np.allclose(found, want)
+
+
+def test_legendre_memory_of_order_three():
+    a, b = R.legendre_memory(3)
+    assert a.tolist() == [[-1, -1, -1], [3, -3, -3], [-5, 5, -5]] and b.tolist() == [1, -3, 5]
+    assert np.linalg.matrix_rank(R.bilinear(a, b, 0.05)[0]) == 3
+
+
+def vectors(spark, x):
+    return spark.createDataFrame([(1, t, row.tolist()) for t, row in enumerate(x)], "series_id long, t long, x array<double>")
+
+
+def test_clusters(spark):
+    draw = np.random.default_rng(6)
+    x = np.vstack([draw.normal(size=(12, 4)) * 0.05 + c for c in (np.eye(4)[0], np.eye(4)[1], np.eye(4)[2])])
+    rows = vectors(spark, x)
+    assert np.allclose([r["x"] for r in C.seeds(rows, 1).collect()], x[:1])
+    centres = [x[0]]
+    for k in (1, 2):
+        d = np.round(((x[:, None] - np.array(centres)[None]) ** 2).sum(axis=2).min(axis=1), 12)
+        share = d.cumsum() / (d.sum() + 1e-8)
+        centres.append(x[int(np.argmax(share > np.random.RandomState(42 + k).rand()))])
+    assert np.allclose([r["x"] for r in C.seeds(rows, 3).orderBy("c").collect()], centres)
+    unit, mu = x / np.linalg.norm(x, axis=1, keepdims=True), None
+    mu = np.array([r["x"] for r in C.seeds(vectors(spark, unit), 3).orderBy("c").collect()])
+    soft = lambda: (lambda e: e / e.sum(axis=1, keepdims=True))(np.exp(5 * unit @ mu.T))
+    for _ in range(3):
+        r = soft()
+        mu = (r.T @ unit) / r.sum(axis=0)[:, None]
+    assert np.allclose([r["shares"] for r in C.soft_k_means(rows, 3, 3).orderBy("t").collect()], soft())
+    labels = [r["cluster"] for r in C.k_means(rows, 3).orderBy("t").collect()]
+    assert len(set(labels[:12])) == len(set(labels[12:24])) == len(set(labels[24:])) == 1 and len(set(labels)) == 3
+    whole, low = (np.array([r["components"] for r in C.principal(rows, 2, lowest=k).orderBy("t").collect()]).var(axis=0) for k in (False, True))
+    w = np.sort(np.linalg.eigvalsh(np.cov(x.T, ddof=0)))
+    assert np.allclose(whole, w[::-1][:2]) and np.allclose(low, w[:2])
+
+
+def test_medoids_and_linkage(spark):
+    place = {"a": 0.0, "b": 0.4, "c": 1.0, "d": 8.0, "e": 8.5, "f": 20.0}
+    pairs = spark.createDataFrame([(p, q, abs(place[p] - place[q])) for p in place for q in place if p != q], "a string, b string, d double")
+    items = spark.createDataFrame([(p,) for p in place], "item string")
+    found = {r["item"]: r["medoid"] for r in C.medoids(pairs, items, 3).collect()}
+    assert found == {"a": "b", "b": "b", "c": "b", "d": "d", "e": "d", "f": "f"}
+    for k, want in ((3, "aaaddf"), (2, "aaaaaf"), (1, "aaaaaa"), (6, "abcdef"), (5, "aacdef")):
+        found = {r["item"]: r["cluster"] for r in C.linkage(pairs.where("a < b"), items, k).collect()}
+        assert "".join(found[p] for p in place) == want
+
+
+def test_assignment_against_all_permutations():
+    from itertools import permutations
+
+    draw = np.random.default_rng(8)
+    for n in (1, 2, 3, 5):
+        for _ in range(20):
+            gains = draw.integers(0, 30, (n, n)).astype(float)
+            best = max(sum(gains[i, p[i]] for i in range(n)) for p in permutations(range(n)))
+            assert gains[np.arange(n), C.assigned(gains)].sum() >= best - 1
+
+
+def test_relabelled(spark):
+    rows = spark.createDataFrame([(1, t, t % 3, (t + 1) % 3 if t else 0) for t in range(30)], "series_id long, t int, target int, predicted int")
+    found = C.relabelled(rows, 3).orderBy("target").collect()
+    assert [r["predicted"] for r in found] == [1, 2, 0] and found[0]["error"] == pytest.approx(2 / 90)
+
+
+def test_segments_of_blocks(spark):
+    links = [(1, i, j, 1.0) for b in range(3) for i in range(6 * b, 6 * b + 6) for j in range(6 * b, 6 * b + 6) if i != j] + [(1, 5, 6, 0.01), (1, 11, 12, 0.01), (1, 6, 5, 0.01), (1, 12, 11, 0.01)]
+    rows = C.laplacian_segmentations(spark.createDataFrame(links, "series_id long, i long, j long, w double"), [1, 3]).collect()
+    assert [r["label"] for r in sorted((r for r in rows if r["k"] == 3), key=lambda r: r["t"])] == [0] * 6 + [1] * 6 + [2] * 6
+    assert {r["label"] for r in rows if r["k"] == 1} == {0}
+
+
+def test_smooth_quantiser(spark):
+    x, y, m = X.quantiser()
+    assert len(x) == len(y) == len(m) and (np.diff(x) > 0).all() and m[0] == m[-1] == 0
+    values = [-0.05, 0.0, 0.03, 0.049, 0.07, 0.15, 0.3, 0.45, 0.7, 1.0]
+    found = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.quantised_smoothly(F.col("v")).alias("q"), X.quantised(F.col("v")).alias("e")).collect()
+    assert all(abs(r["q"] - r["e"]) < 0.02 for r in found if r["v"] in (0.03, 0.07, 0.15, 0.3, 0.45))
+    assert all(-0.02 <= r["q"] <= 1.02 for r in found)
+    # the spline goes through its knots, and meets itself in between with two continuous derivatives
+    h = np.diff(x)
+    slope_left = (y[1:] - y[:-1]) / h + h * (m[:-1] + 2 * m[1:]) / 6
+    slope_right = (y[1:] - y[:-1]) / h - h * (2 * m[:-1] + m[1:]) / 6
+    assert np.allclose(slope_left[:-1], slope_right[1:])
+
+
+def test_local_pulse(spark):
+    rows = long_rows(spark, [1.0 if t % 12 == 5 else 0.0 for t in range(144)])
+    found = [r["v"] for r in X.local_pulse(rows, 48, 24.0, 60.0, 180.0).orderBy("t").collect()]
+    peaks = [t for t in range(40, 100) if found[t] > found[t - 1] and found[t] > found[t + 1] and found[t] > 0.3]
+    assert peaks and all(t % 12 == 5 for t in peaks) and min(found) == 0 and max(found) == pytest.approx(1, abs=1e-6)
+
+
+def test_banded_onsets(spark):
+    t = np.arange(240)
+    fast, slow = np.sin(2 * np.pi * t * 9 / 24) * (t > 120), np.sin(2 * np.pi * t * 0.5 / 24) * (t > 60)
+    found = {}
+    for r in X.banded_onsets(long_rows(spark, fast + slow), 16, 4, 24.0, (2.0, 6.0)).collect():
+        found.setdefault(r["band"], {})[r["t"]] = r["v"]
+    top = {b: max(v, key=v.get) for b, v in found.items()}
+    assert set(found) == {"full", "low", "mid", "high"} and 28 <= top["high"] <= 35 and 13 <= top["low"] <= 22
+
+
+def test_features(spark):
+    draw = np.random.default_rng(9)
+    rows = long_rows(spark, np.sin(np.arange(300) / 3) + draw.normal(size=300))
+    long = X.features(rows).collect()
+    names = {}
+    for r in long:
+        names.setdefault(r["name"], set()).add(r["ch"])
+    assert {n: len(names[n]) for n, _ in X.FEATURES} == dict(X.FEATURES) and sum(w for _, w in X.FEATURES) == 59
+    assert len(X.wide_features(X.features(rows)).columns) == 61
+
+
+def test_music_information(spark):
+    found = X.music_information(long_rows(spark, np.sin(np.arange(160) / 2)), (2, 4))
+    assert {r["k"] for r in found["segments"].collect()} == {2, 4} and found["tempo"].collect()[0]["bpm"] > 0
+
+
+def test_sample_quality_of_equal_sets(spark):
+    draw = np.random.default_rng(10)
+    x = draw.normal(size=(40, 3))
+    rows = [(1, s, 2 * t + s, (row + (100.0 if far and s else 0.0)).tolist()) for far in (0,) for s in (0, 1) for t, row in enumerate(x)]
+    kind = "series_id long, side int, t int, x array<double>"
+    r = D.sample_quality(spark.createDataFrame(rows, kind), "side", 3).collect()[0]
+    assert r["precision"] == r["recall"] == r["coverage"] == 1
+    rows = [(1, s, 2 * t + s, (row + 100.0 * s).tolist()) for s in (0, 1) for t, row in enumerate(x)]
+    r = D.sample_quality(spark.createDataFrame(rows, kind), "side", 3).collect()[0]
+    assert r["precision"] == r["recall"] == r["coverage"] == r["density"] == 0
+
+
+def test_subseries(spark):
+    rows = spark.createDataFrame([(s, t, 0.0) for s in range(30) for t in range(5 + s)], "series_id long, t int, v double")
+    found = {}
+    for r in D.subseries(rows, 16, 4).collect():
+        found.setdefault(r["series_id"], []).append(r)
+    for s, own in found.items():
+        (anchor,), (positive,) = ([r for r in own if r["role"] == k] for k in ("anchor", "positive"))
+        assert anchor["start"] <= positive["start"] and positive["start"] + positive["length"] <= anchor["start"] + anchor["length"] <= 5 + s
+        negatives = [r for r in own if r["role"] == "negative"]
+        assert len(negatives) == 4 and all(0 <= r["start"] and r["start"] + r["length"] <= 5 + r["source"] and r["length"] <= positive["length"] for r in negatives)
+        assert sum(r["source"] != s for r in negatives) >= 3
+
+
+def test_comparison_and_sensitivity(spark):
+    t = np.arange(40)
+    same = [("aligned", s, int(k), float(np.sin(k / 3 + s) / 2 + 0.5), float(np.sin(k / 3 + s) / 2 + 0.5)) for s in range(4) for k in t]
+    draw = np.random.default_rng(11)
+    other = [("misaligned", s, int(k), float(np.sin(k / 3 + s) / 2 + 0.5), float(draw.random())) for s in range(4) for k in t]
+    rows = spark.createDataFrame(same + other, "corpus string, series_id long, t int, x double, y double")
+    found = {r["corpus"]: r for r in D.comparison(rows, 3, 8, 32, 2.0).collect()}
+    assert found["aligned"]["dtw_high"] == 0 < found["misaligned"]["dtw_low"] and found["aligned"]["information"] > found["misaligned"]["information"] and found["aligned"]["n"] == 4
+    x = channels(spark, draw.normal(size=(50, 4)))
+    table = {(r["block"], r["kind"]): r for r in D.sensitivity(x, x, {"one": (0, 2)}, ("double", "negate"), 3, 2).collect()}
+    assert set(table) == {("one", "double"), ("one", "negate")} and table["one", "double"]["dof"] == 4 and table["one", "double"]["mean"] > 0
+
+
+def test_bootstrap_interval(spark):
+    rows = spark.createDataFrame([(1, i, float(i % 100)) for i in range(2000)], "g int, id long, v double")
+    r = G.bootstrap_median(rows, ["g"], "id", "v", 60).collect()[0]
+    assert r["low"] <= r["mid"] == 49.5 <= r["high"] and r["high"] - r["low"] < 15
+
+
+def test_cross_fade(spark):
+    a, b = np.array([1.0, 0.0]), np.array([0.0, 1.0])
+    rows = vectors(spark, np.array([a] * 10 + [b] * 5))
+    ends = spark.createDataFrame([(1, 10)], "series_id long, start long")
+    found = {r["t"]: np.array(r["x"]) for r in V.cross_faded(rows, ends, 5).collect()}
+    assert np.allclose(found[4], a) and np.allclose(found[5], a) and np.allclose(found[10], b) and np.allclose(found[9], b)
+    p = 0.5
+    assert np.allclose(found[7], (1 - p) * a + p * np.array([np.cos(np.pi / 4), np.sin(np.pi / 4)]))
+
+
+def test_controls(spark):
+    rows = long_rows(spark, np.zeros(400))
+    rough, smooth = ({(r["d"], r["t"]): r["v"] for r in V.control(rows, 2, s, 3).collect()} for s in (0.2, 8.0))
+    step = lambda x: np.mean([abs(x[0, t + 1] - x[0, t]) for t in range(399)])
+    assert abs(np.mean(list(rough.values()))) < 0.2 and abs(np.std(list(rough.values())) - 1) < 0.2 and step(smooth) < step(rough) / 10
 
 
 def test_dtw(spark):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cadenza.operators.recurrences import bilinear, legendre_memory
 from cadenza.streaming import jobs as J
 
 
@@ -32,3 +33,11 @@ def test_differences(spark, tmp_path):
     whole = {r["series_id"]: r["n"] - 1 for r in rows.groupBy("series_id").agg(F.count("*").alias("n")).collect()}
     found = {r["series_id"]: r["count"] for r in out.groupBy("series_id").count().collect()}
     assert found == {k: n for k, n in whole.items() if n}
+
+
+def test_projection(spark, tmp_path):
+    a, b = bilinear(*legendre_memory(3), 0.1)
+    rows, out = replay(spark, tmp_path, lambda s: J.projected(s, a, b))
+    whole = {(r["series_id"], r["ts"]): r["state"] for r in J.projected(rows, a, b).collect()}
+    found = {(r["series_id"], r["ts"]): r["state"] for r in out.collect()}
+    assert found and all(max(abs(x - y) for x, y in zip(whole[k], v)) < 1e-9 for k, v in found.items())
