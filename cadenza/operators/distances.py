@@ -40,8 +40,9 @@ def symmetric(m: np.ndarray) -> bool:
 
 
 def positive_definite(m: np.ndarray) -> bool:
-    """Whether all eigenvalues of a symmetric matrix are positive."""
-    return bool((np.linalg.eigvalsh((m + m.T) / 2) > 0).all())
+    """Whether all eigenvalues of a symmetric matrix are positive, beyond rounding."""
+    w = np.linalg.eigvalsh((m + m.T) / 2)
+    return bool((w > 1e-12 * np.abs(w).max()).all())
 
 
 def root(m: np.ndarray) -> np.ndarray:

@@ -216,8 +216,8 @@ def configured(series: DataFrame, steps: int, choices: dict[str, dict[str, float
 def noise_vectors(series: DataFrame, channels: int, seed: int) -> DataFrame:
     """series_id, t, d, v: independent normal values for each frame and channel, by hashes."""
     rows = series.select("series_id", "t").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))))
-    ident = (F.col("series_id") * 100_003 + F.col("t")) * 1009 + F.col("d")
-    return rows.withColumn("v", N.normal(uniform(ident, seed), uniform(ident, seed + 1)))
+    draw = lambda k: F.pmod(F.xxhash64("series_id", "t", "d", F.lit(seed + k)), F.lit(1 << 52)) / float(1 << 52)
+    return rows.withColumn("v", N.normal(draw(0), draw(1)))
 
 
 def control(series: DataFrame, channels: int, sigma: float, seed: int) -> DataFrame:
