@@ -18,7 +18,9 @@ import math
 import time
 from collections.abc import Callable, Mapping
 from statistics import median
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,8 +146,12 @@ def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """About that many rows at most, the same on each run over the same files; from SAMPLE_FILES of them, evenly spaced, if there are more."""
     files = sorted(docs.inputFiles())
     if len(files) > SAMPLE_FILES:
-        some = docs.where(F.col("_metadata.file_path").isin(files[:: len(files) // SAMPLE_FILES][:SAMPLE_FILES]))
-        n = some.count()
+        names = [unquote(f.rsplit("/", 1)[-1]) for f in files[:: len(files) // SAMPLE_FILES][:SAMPLE_FILES]]
+        try:
+            some = docs.where(F.col("_metadata.file_name").isin(names))
+            n = some.count()
+        except AnalysisException:  # docs is no plain scan
+            n = 0
         if n >= rows:
             return some.sample(fraction=rows / n, seed=SAMPLE_SEED)
     n = docs.count()
