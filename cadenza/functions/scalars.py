@@ -177,19 +177,26 @@ def weighted_choice(draws: DataFrame, options: DataFrame, uniform: Column) -> Da
     return draws.withColumn("_u", uniform).join(spans, (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to"))).drop("_u", "_from", "_to", "weight")
 
 
-def quantiles(df: DataFrame, by: list[str], shares: list[float], how: str = "linear", value: str = "v") -> DataFrame:
-    """Quantiles of each group under one of five rules (linear, midpoint, lower, higher, nearest); null and
-    NaN values don't count. Ranks come from one sort of the groups; only the needed rows go on."""
+RULES = ("linear", "midpoint", "lower", "higher", "nearest")
+
+
+def quantiles(df: DataFrame, by: list[str], shares: list[float], how: str | tuple[str, ...] = "linear", value: str = "v") -> DataFrame:
+    """Quantiles of each group under one of RULES; null and NaN values don't count. With several rules, a row for each (column `how`). All
+    come from one sort of the groups, of which only the rows around the quantiles go on."""
+    rules = (how,) if isinstance(how, str) else how
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     order = Window.partitionBy(*by).orderBy(value)
     ranked = rows.withColumn("_r", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    ranked = ranked.withColumn("q", F.explode(F.array(*map(F.lit, shares))))
-    place = F.col("q") * (F.col("_n") - 1)
-    low, high = F.floor(place), F.ceil(place)
-    part = {"linear": place - low, "midpoint": F.when(low == high, 0.0).otherwise(0.5), "lower": F.lit(0.0), "higher": F.lit(1.0), "nearest": F.when(place - low > 0.5, 1.0).when(place - low < 0.5, 0.0).otherwise(low % 2)}[how]
-    picked = ranked.where((F.col("_r") == low) | (F.col("_r") == high)).withColumn("_part", part.cast("double"))
-    a, b = F.min(value), F.max(value)
-    return picked.groupBy(*by, "q").agg((a * (1 - F.first("_part")) + b * F.first("_part")).alias("value"))
+    place = lambda q: q * (F.col("_n") - 1)
+    near = F.filter(F.array(*map(F.lit, shares)), lambda q: (F.col("_r") == F.floor(place(q))) | (F.col("_r") == F.ceil(place(q))))
+    picked = ranked.withColumn("q", F.explode(near))
+    ends = picked.groupBy(*by, "q").agg(F.min(value).alias("_a"), F.max(value).alias("_b"), F.first("_n").alias("_n"))
+    low, high = F.floor(place(F.col("q"))), F.ceil(place(F.col("q")))
+    past = place(F.col("q")) - low
+    parts = {"linear": past, "midpoint": F.when(low == high, 0.0).otherwise(0.5), "lower": F.lit(0.0), "higher": F.lit(1.0), "nearest": F.when(past > 0.5, 1.0).when(past < 0.5, 0.0).otherwise(low % 2)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("how"), parts[k].cast("double").alias("part")) for k in rules]))
+    out = ends.withColumn("_w", each).select(*by, F.col("_w.how").alias("how"), "q", (F.col("_a") * (1 - F.col("_w.part")) + F.col("_b") * F.col("_w.part")).alias("value"))
+    return out.drop("how") if isinstance(how, str) else out
 
 
 def normal(first: Column, second: Column) -> Column:

@@ -184,11 +184,8 @@ RULES = {"linear": "a * (1 - (place - lo)) + b * (place - lo)", "midpoint": "(a
 
 @query("k8_quantiles", f"WITH {SERIES}, {K8} " + " UNION ALL ".join(f"SELECT '{k}' AS how, grp, q, round({v}, 6) AS value FROM e" for k, v in RULES.items()))
 def k8(spark, d):
-    rows, out = frames(spark, d), None
-    for how in RULES:
-        one = N.quantiles(rows, ["grp"], [0.025, 0.5, 0.9], how).select(F.lit(how).alias("how"), "grp", "q", r6(F.col("value")).alias("value"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = N.quantiles(frames(spark, d), ["grp"], [0.025, 0.5, 0.9], tuple(RULES))
+    return found.select("how", "grp", "q", r6(F.col("value")).alias("value"))
 
 
 @query("k7_nearest_pairs", f"WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS other, round(list_distance(a.x, b.x), 9) AS d FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS k FROM p) SELECT vec_id, k AS rank, other, round(d, 5) AS d FROM r WHERE k <= 3")
