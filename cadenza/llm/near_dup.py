@@ -45,7 +45,7 @@ NEXT = 3
 #: Values of the turned signature by which a region is put in order.
 SORTED = 32
 #: Leading bits of a shingle by which its frequency is counted.
-COUNTED = 20
+COUNTED = 18
 #: Pairs whose signatures agree in fewer of the values than threshold - SLACK are not compared in full:
 #: five standard deviations below the threshold.
 SLACK = 0.16
