@@ -47,21 +47,21 @@ def reflected(t: Column, n: Column) -> Column:
 
 def extended(series: DataFrame, before: int, after: int, place) -> DataFrame:
     """series with frames before its start and after its end: frame t there holds the value of frame place(t, n), n being the
-    series' length (null: zero). Only the new frames are joined."""
+    series' length (null: zero); `_own` tells its own frames from these. Only the new frames are joined."""
     ends = series.groupBy("series_id").agg(F.count("*").alias("_n"))
     parts = [F.sequence(F.lit(-before), F.lit(-1))] * (before > 0) + [F.transform(F.sequence(F.lit(0), F.lit(after - 1)), lambda k: (k + F.col("_n")).cast("int"))] * (after > 0)
-    own = series.select("series_id", F.col("t").cast("int").alias("t"), "v")
+    own = series.select("series_id", F.col("t").cast("int").alias("t"), "v", F.lit(True).alias("_own"))
     if not parts:
         return own
     new = ends.select("series_id", "_n", F.explode(F.concat(*parts)).alias("t")).withColumn("_s", place(F.col("t"), F.col("_n")).cast("int"))
     source = series.select("series_id", F.col("t").cast("int").alias("_s"), "v")
-    return own.unionByName(new.join(source, ["series_id", "_s"], "left").select("series_id", "t", F.coalesce("v", F.lit(0.0)).alias("v")))
+    return own.unionByName(new.join(source, ["series_id", "_s"], "left").select("series_id", "t", F.coalesce("v", F.lit(0.0)).alias("v"), F.lit(False).alias("_own")))
 
 
 def moving_median(series: DataFrame, k: int) -> DataFrame:
     """Lower median of k (odd) frames around each, reflected at the ends: one window over the series."""
     half = k // 2
-    rows = extended(series, half, half, reflected).join(series.select("series_id", F.col("t").cast("int").alias("t"), F.lit(True).alias("_own")), ["series_id", "t"], "left")
+    rows = extended(series, half, half, reflected)
     around = in_order().rowsBetween(-half, half)
     rows = rows.withColumn("v", F.get(F.array_sort(F.collect_list("v").over(around)), F.lit((k - 1) // 2)))
     return rows.where("_own").select("series_id", "t", "v")
@@ -92,8 +92,9 @@ def convolve(series: DataFrame, kernel: list[tuple[int, float]], mode: str = "ci
 
     place = {"circular": circular, "reflect": reflected, "replicate": lambda t, n: F.least(F.greatest(t, F.lit(0)), n - 1), "zero": lambda t, n: F.lit(None).cast("int")}[mode]
     rows = extended(series, max(0, -low), max(0, high), place).withColumn("_x", F.collect_list("v").over(in_order().rowsBetween(low, high)))
-    n = series.groupBy("series_id").agg(F.count("*").alias("_n"))
-    rows = rows.join(n, "series_id").where((F.col("t") >= 0) & (F.col("t") < F.col("_n")))
+    if reach is not None:
+        rows = rows.withColumn("_n", F.count(F.when(F.col("_own"), 1)).over(whole()))
+    rows = rows.where("_own")
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda p, q: p + q)
     if reach is None:
         value = total(F.zip_with("_x", weights, lambda x, w: x * w))
