@@ -18,6 +18,8 @@ HOLDS = {
     "op8_byte_bpe": "bpe",
     "op9_substring_dup": "substring_dup",
     "op10_html_extraction": "html_text",
+    "op11_merkle_manifest": "merkle",
+    "op12_embedding_near_dup": "vector_dup",
 }
 
 
