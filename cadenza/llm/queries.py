@@ -20,6 +20,7 @@ HOLDS = {
     "op10_html_extraction": "html_text",
     "op11_merkle_manifest": "merkle",
     "op12_embedding_near_dup": "vector_dup",
+    "op13_collocations": "collocations",
 }
 
 
