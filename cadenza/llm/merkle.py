@@ -78,7 +78,7 @@ def _descend(tables: list[DataFrame], above: DataFrame) -> DataFrame:
     more = [c for c in above.columns if c not in ("grp", "path", "at")]
     for rows in reversed(tables[:-1]):
         joined = rows.withColumn("at", F.expr(f"pos div {BLOCK}")).join(above, ["grp", "at"])
-        kept = [c for c in rows.columns if c not in ("n", "pos")]
+        kept = [c for c in rows.columns if c not in ("n", "pos")] if rows is tables[0] else ["grp"]
         above = _levels(joined).select(*kept, *more, F.concat("own", "path").alias("path"), F.col("pos").alias("at"))
     if len(tables) == 1:
         above = tables[0].join(above.drop("at"), "grp").withColumnRenamed("pos", "at").drop("n")
