@@ -57,7 +57,7 @@ class _Numbers(dict):
         return self[word]
 
 
-def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
+def shards(docs: DataFrame, text: str, lang: str, limit: int = SHARD) -> DataFrame:
     """shard, lang, words and counts of the words (number i + 1 at place i), and seen: the texts as 32-bit numbers, 0 between pieces."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,7 +78,7 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
                     seen[language].append(np.fromiter(map(number, part), np.uint32, len(part)))
                 seen[language].append(np.zeros(1, np.uint32))
                 held += len(body)
-                if held >= SHARD:
+                if held >= limit:
                     yield full()
                     names.clear(), seen.clear()
                     shard, held = shard + 1, 0
@@ -197,10 +197,10 @@ def _bits(entries: int) -> int:
     return min(max((max(entries, 1) // RANGE).bit_length(), 4), 24)
 
 
-def counted(docs: DataFrame, text: str, lang: str, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def counted(docs: DataFrame, text: str, lang: str, least: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of the words: lang, word, f, and id of those found `least` times in a language (written); n by lang; and ids and f of all phrases of one to LONGEST words found so often."""
     small_batches(docs.sparkSession)
-    read = stage(shards(docs, text, lang), "shards")
+    read = stage(shards(docs, text, lang, limit), "shards")
     each = read.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("shard", "lang", (F.col("place") + 1).alias("local"), F.col("w.words").alias("word"), F.col("w.counts").alias("f"))
     total = stage(each.groupBy("lang", "word").agg(F.sum("f").alias("f")), "words")
     sizes = total.groupBy("lang").agg(F.sum("f").alias("n"))
@@ -254,9 +254,9 @@ def counted(docs: DataFrame, text: str, lang: str, least: int) -> tuple[DataFram
     return known, sizes, phrases
 
 
-def collocations(docs: DataFrame, least: int = 30, inside: int = 80, top: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, rank, phrase, a, l, r, n and score of each language's first phrases."""
-    known, sizes, phrases = counted(docs, text, lang, least)
+def collocations(docs: DataFrame, least: int = 30, inside: int = 80, top: int = 2000, text: str = "text", lang: str = "lang", limit: int = SHARD) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n and score of each language's first phrases; limit: bytes of text in a shard."""
+    known, sizes, phrases = counted(docs, text, lang, least, limit)
     size = F.expr("octet_length(ids) div 4")
     sought = phrases.select("ids", F.col("f").alias("a"), size.alias("k")).where("k > 1")
     parts = [(start, k) for k in range(2, LONGEST) for start in range(LONGEST - k + 1)]

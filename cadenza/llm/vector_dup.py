@@ -57,11 +57,23 @@ def packed(vector: Column) -> Column:
     return run(vector)
 
 
+def scaled(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Packed vectors of one length as rows, scaled by powers of two (without rounding) so that no square is too large or small, and their norms."""
+    x = np.frombuffer(b"".join(values), "<f8").reshape(len(values), -1)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x, np.sqrt((x * x).sum(axis=1))
+
+
 def unit(values: pd.Series) -> np.ndarray:
     """Packed vectors of one length as rows of length 1."""
-    x = np.frombuffer(b"".join(values), "<f8").reshape(len(values), -1)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x, norm = scaled(values)
+    return x / norm[:, None]
+
+
+def cosines(one: pd.Series, two: pd.Series) -> np.ndarray:
+    """Of all rows of one with all rows of two."""
+    (x, nx), (y, ny) = scaled(one), scaled(two)
+    return (x @ y.T) / (nx[:, None] * ny)
 
 
 def turned(x: np.ndarray, function: int) -> np.ndarray:
@@ -149,7 +161,8 @@ def _meetings(under: DataFrame, known: DataFrame, threshold: float) -> DataFrame
     """Pairs of balls (a < b) that share a key and may hold links, with their verdict. under: size, key, leader; known: leader, v, wide."""
 
     def pair(va: pd.Series, ra: pd.Series, vb: pd.Series, rb: pd.Series) -> pd.Series:
-        return pd.Series(_verdict((unit(va) * unit(vb)).sum(axis=1), ra.to_numpy(), rb.to_numpy(), threshold), dtype="int32")
+        (x, nx), (y, ny) = scaled(va), scaled(vb)
+        return pd.Series(_verdict((x * y).sum(axis=1) / (nx * ny), ra.to_numpy(), rb.to_numpy(), threshold), dtype="int32")
 
     def few(va: pd.Series, ra: pd.Series, vb: pd.Series, rb: pd.Series) -> pd.Series:
         out = pd.Series(0, index=va.index, dtype="int32")
@@ -159,12 +172,12 @@ def _meetings(under: DataFrame, known: DataFrame, threshold: float) -> DataFrame
 
     def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("leader", ignore_index=True)
-        x, wide, part = unit(rows["v"]), rows["wide"].to_numpy(), rows["part"].to_numpy()
-        a, b = np.triu_indices(len(x), 1)
+        wide, part = rows["wide"].to_numpy(), rows["part"].to_numpy()
+        a, b = np.triu_indices(len(rows), 1)
         if key[-2] != key[-1]:
             mixed = part[a] != part[b]
             a, b = a[mixed], b[mixed]
-        said = _verdict((x @ x.T)[a, b], wide[a], wide[b], threshold)
+        said = _verdict(cosines(rows["v"], rows["v"])[a, b], wide[a], wide[b], threshold)
         name, on = rows["leader"].to_numpy(), said > 0
         return pd.DataFrame({"a": name[a[on]], "b": name[b[on]], "verdict": said[on]})
 
@@ -189,7 +202,7 @@ def _between(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFram
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         one, two = rows[rows["leader"] == key[0]], rows[rows["leader"] == key[1]]
-        linked = unit(one["v"]) @ unit(two["v"]).T >= threshold
+        linked = cosines(one["v"], two["v"]) >= threshold
         n = np.concatenate([linked @ two["w"].to_numpy(), linked.T @ one["w"].to_numpy()])
         out = pd.DataFrame({"a": key[0], "b": key[1], "node": pd.concat([one["node"], two["node"]], ignore_index=True), "n": n})
         return out[out["n"] > 0]

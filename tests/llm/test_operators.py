@@ -1,4 +1,4 @@
-"""The ten operators against brute-force versions on small fixtures, with their defined edge cases."""
+"""The operators against brute-force versions on small fixtures, with their defined edge cases."""
 
 import base64
 import hashlib
@@ -14,6 +14,7 @@ import tiktoken
 
 from cadenza.llm import _graph, bpe, html_text, language, media, mixing, near_dup, quality_rules, queries, quotes, rule_ensemble, substring_dup
 
+EMBEDDINGS = "vec_id long, embedding array<float>, label int"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("n", "r", "st", "")]
 
@@ -46,7 +47,8 @@ def edge_dir(spark, tmp_path_factory):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([(1, None, None), (2, "u", ""), (3, "u", "<p>a &amp; b"), (3, "u", "<p>a &amp; b")], "page_id long, url string, html string")
     talks = spark.createDataFrame([(1, 0, "user", None), (None, 0, None, "> a"), (1, 1, "user", "")], "conv_id long, turn int, role string, text string")
-    return folder(spark, path, documents=docs, labels=none, pages=pages, conversations=talks)
+    vectors = spark.createDataFrame([(1, [1.0, 0.0, 0.5], 0), (2, None, 0), (3, [], None), (3, [0.0, 0.0, 0.0], 1), (None, [1.0, None, 0.5], 1), (4, [2.0, 0.0, 1.0], 1), (5, [1.0, float("nan"), 0.0], 1)], EMBEDDINGS)
+    return folder(spark, path, documents=docs, labels=none, pages=pages, conversations=talks, embeddings=vectors)
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +57,7 @@ def empty_dir(spark, tmp_path_factory):
     return folder(
         spark, path, documents=documents(spark, []), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"),
         pages=spark.createDataFrame([], "page_id long, url string, html string"), conversations=spark.createDataFrame([], "conv_id long, turn int, role string, text string"),
+        embeddings=spark.createDataFrame([], EMBEDDINGS),
     )
 
 
@@ -65,7 +68,9 @@ def test_edge_rows(spark, edge_dir, name):
         assert n == 4
     elif name == "op4_quote_links":
         assert n == 3
-    elif name not in ("op9_substring_dup", "pipeline"):
+    elif name == "op12_embedding_near_dup":
+        assert n == 7
+    elif name not in ("op9_substring_dup", "op13_collocations", "pipeline"):
         assert n == len(EDGES)
 
 
