@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from cadenza.operators.recurrences import linear_state, scanned
 
@@ -48,60 +48,150 @@ def running_moments(df: DataFrame) -> DataFrame:
     return df.groupBy("series_id").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.sum(y * y).alias("syy"))
 
 
-class LastFrame(StatefulProcessor):
-    """Absolute difference to the frame before; the state is one number a series."""
+#: Layout of the state below; a query restarted from a checkpoint of another one stops with an error.
+STATE_VERSION = 2
+
+
+class InOrder(StatefulProcessor):
+    """Holds the frames of a series by event time, and lets them go in that order once the watermark has passed them.
+
+    A frame at or before the watermark when it arrives is late and dropped: later frames may have gone. A timer stands at the earliest frame held; when it
+    fires, all frames up to the watermark go, and the next timer is set. What is carried from frame to frame (`state`, numbers) is kept beside the time of
+    the last one. After `forget` microseconds without a frame a series starts anew, in the results as in what is kept: its state is deleted when the watermark has passed that time.
+    """
+
+    def __init__(self, forget: int | None = None):
+        self.forget = forget
+
+    def step(self, state: list[float] | None, values: np.ndarray) -> tuple[list[float], list]:
+        """The state after these values of a series, and a result (or None) for each."""
+        raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("v", DoubleType())]))
+        self.handle = handle
+        self.held = handle.getMapState("held", StructType([StructField("us", LongType())]), StructType([StructField("v", ArrayType(DoubleType()))]))
+        self.last = handle.getValueState("last", StructType([StructField("version", IntegerType()), StructField("us", LongType()), StructField("state", ArrayType(DoubleType()))]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = pd.concat(rows).sort_values("ts")
-        before = self.last.get()[0] if self.last.exists() else None
-        steps = frames["v"].diff().abs()
-        if before is not None and len(steps):
-            steps.iloc[0] = abs(frames["v"].iloc[0] - before)
-        self.last.update((float(frames["v"].iloc[-1]),))
-        yield pd.DataFrame({"series_id": key[0], "ts": frames["ts"], "step": steps}).dropna()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        frames = pd.concat([r[["us", "v"]] for r in rows])
+        frames = frames[frames["us"] > passed] if passed > 0 else frames
+        for us, own in frames.groupby("us")["v"]:
+            before = list(self.held.getValue((int(us),))[0]) if self.held.containsKey((int(us),)) else []
+            self.held.updateValue((int(us),), (before + own.astype(float).tolist(),))
+        if len(frames):
+            self._wake(int(frames["us"].min()))
+        yield self._rows(key, [], [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = {k[0]: list(v[0]) for k, v in self.held.iterator()}
+        due = sorted(us for us in held if us <= passed)
+        times = [us for us in due for _ in held[us]]
+        values = np.array([v for us in due for v in sorted(held[us])], float)
+        for us in due:
+            self.held.removeKey((us,))
+        version, before, state = self.last.get() if self.last.exists() else (STATE_VERSION, None, None)
+        if version != STATE_VERSION:
+            raise ValueError(f"the checkpoint holds state of version {version}, this is {STATE_VERSION}")
+        out = []
+        for a, b in self._runs(before, times):
+            fresh = a > 0 or before is not None and self.forget is not None and bool(times) and times[0] - before > self.forget
+            state, found = self.step(None if fresh or state is None else list(state), values[a:b])
+            out += found
+        if times:
+            before = times[-1]
+            self.last.update((STATE_VERSION, before, [float(x) for x in state]))
+        waiting = [us for us in held if us > passed]
+        if waiting:
+            self._wake(min(waiting))
+        elif self.forget is not None and before is not None:
+            if before + self.forget < passed:
+                self.last.clear()
+            else:
+                self._wake(before + self.forget)
+        yield self._rows(key, times, out)
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def _runs(self, before: int | None, times: list[int]) -> list[tuple[int, int]]:
+        """Stretches of the frames without a gap of more than `forget`."""
+        if not times:
+            return []
+        cuts = [i for i in range(1, len(times)) if self.forget is not None and times[i] - times[i - 1] > self.forget]
+        return list(zip([0, *cuts], [*cuts, len(times)]))
+
+    def _rows(self, key, times: list[int], out: list) -> pd.DataFrame:
+        rows = [(key[0], us, x) for us, x in zip(times, out) if x is not None]
+        return pd.DataFrame(rows, columns=["series_id", "us", "out"])
 
     def close(self) -> None:
         pass
 
 
-def differences(df: DataFrame, allowed: str = "1 hour") -> DataFrame:
-    """Absolute differences to the frame before (series_id, ts, step); of a stream, rows later than the watermark are dropped."""
-    if not df.isStreaming:
-        step = F.abs(F.col("v") - F.lag("v").over(Window.partitionBy("series_id").orderBy("ts")))
-        return df.select("series_id", "ts", step.alias("step")).where("step IS NOT NULL")
-    kind = df.schema["series_id"].dataType.simpleString()
-    return late(df, allowed).groupBy("series_id").transformWithStateInPandas(LastFrame(), f"series_id {kind}, ts timestamp, step double", "Append", "none")
+class LastFrame(InOrder):
+    """Absolute difference to the frame before."""
 
+    def step(self, state, values):
+        before = np.concatenate([state or [np.nan], values[:-1]])
+        steps = np.abs(values - before)
+        return [values[-1]], [None if np.isnan(x) else float(x) for x in steps]
 
-class Projection(StatefulProcessor):
-    """The state of a linear recurrence after each frame; the state is one vector a series."""
 
-    def __init__(self, transition: np.ndarray, source: np.ndarray):
-        self.transition, self.source = transition, source
+class Projection(InOrder):
+    """The state of a linear recurrence after each frame."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", StructType([StructField("c", ArrayType(DoubleType()))]))
+    def __init__(self, transition: np.ndarray, source: np.ndarray, forget: int | None = None):
+        super().__init__(forget)
+        self.transition, self.source = transition, source
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = pd.concat(rows).sort_values("ts")
-        inputs = np.outer(frames["v"], self.source)
-        if self.held.exists():
-            inputs[0] += self.transition @ np.asarray(self.held.get()[0])
+    def step(self, state, values):
+        inputs = np.outer(values, self.source)
+        if state is not None:
+            inputs[0] += self.transition @ np.asarray(state)
         states = scanned(inputs, self.transition)
-        self.held.update((states[-1].tolist(),))
-        yield pd.DataFrame({"series_id": key[0], "ts": frames["ts"], "state": list(states)})
-
-    def close(self) -> None:
-        pass
-
-
-def projected(df: DataFrame, transition: np.ndarray, source: np.ndarray, allowed: str = "1 hour") -> DataFrame:
-    """series_id, ts, state: the online projection of each series (series_id, ts, v); batch tables go through the chunked recurrence."""
-    if not df.isStreaming:
-        placed = df.withColumn("t", (F.row_number().over(Window.partitionBy("series_id").orderBy("ts")) - 1).cast("int"))
-        return linear_state(placed, transition, source).join(placed.select("series_id", "t", "ts"), ["series_id", "t"]).select("series_id", "ts", "state")
-    kind = df.schema["series_id"].dataType.simpleString()
-    return late(df, allowed).groupBy("series_id").transformWithStateInPandas(Projection(transition, source), f"series_id {kind}, ts timestamp, state array<double>", "Append", "none")
+        return states[-1].tolist(), [row.tolist() for row in states]
+
+
+def _in_order(df: DataFrame, allowed: str, job: InOrder, kind: str, name: str) -> DataFrame:
+    """The job's results (series_id, ts, `name`) of a stream."""
+    series = df.schema["series_id"].dataType.simpleString()
+    rows = late(df, allowed).select("series_id", "ts", F.col("v").cast("double").alias("v"), F.unix_micros("ts").alias("us")).where("us IS NOT NULL AND v IS NOT NULL")
+    out = rows.groupBy("series_id").transformWithStateInPandas(job, f"series_id {series}, us long, out {kind}", "Append", "EventTime")
+    return out.select("series_id", F.timestamp_micros("us").alias("ts"), F.col("out").alias(name))
+
+
+def _micros(span: str | None) -> int | None:
+    """A span such as "2 hours" in microseconds."""
+    return None if span is None else int(pd.Timedelta(span) // pd.Timedelta("1us"))
+
+
+def _fresh(order, forget: int | None) -> Column:
+    """Whether a frame begins a stretch: the first, or more than `forget` after the one before."""
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(order)
+    return gap.isNull() | (gap > forget if forget is not None else F.lit(False))
+
+
+def differences(df: DataFrame, allowed: str = "1 hour", forget: str | None = None) -> DataFrame:
+    """Absolute differences to the frame before (series_id, ts, step) of series (series_id, ts, v), in the order of event time; frames of one time go by value. After a
+    gap of more than `forget` a series starts anew. Frames without a time or value are left out. Of a stream, frames go on when the watermark has passed them, and those that arrive later are dropped."""
+    if df.isStreaming:
+        return _in_order(df, allowed, LastFrame(_micros(forget)), "double", "step")
+    order = Window.partitionBy("series_id").orderBy("ts", "v")
+    rows = df.where("ts IS NOT NULL AND v IS NOT NULL").select("series_id", "ts", F.col("v").cast("double").alias("v"))
+    step = F.when(~_fresh(order, _micros(forget)), F.abs(F.col("v") - F.lag("v").over(order)))
+    return rows.select("series_id", "ts", step.alias("step")).where("step IS NOT NULL")
+
+
+def projected(df: DataFrame, transition: np.ndarray, source: np.ndarray, allowed: str = "1 hour", forget: str | None = None) -> DataFrame:
+    """series_id, ts, state: the online projection of each series (series_id, ts, v), ordered and begun anew as in differences(); batch tables go through the chunked recurrence."""
+    if df.isStreaming:
+        return _in_order(df, allowed, Projection(transition, source, _micros(forget)), "array<double>", "state")
+    order = Window.partitionBy("series_id").orderBy("ts", "v")
+    rows = df.where("ts IS NOT NULL AND v IS NOT NULL").select("series_id", "ts", F.col("v").cast("double").alias("v"))
+    rows = rows.withColumn("run", F.sum(_fresh(order, _micros(forget)).cast("int")).over(order))
+    placed = rows.withColumn("t", (F.row_number().over(Window.partitionBy("series_id", "run").orderBy("ts", "v")) - 1).cast("int"))
+    placed = placed.select(F.struct("series_id", "run").alias("series_id"), "t", "ts", "v")
+    states = linear_state(placed, transition, source).join(placed.select("series_id", "t", "ts"), ["series_id", "t"])
+    return states.select("series_id.series_id", "ts", "state")
