@@ -109,8 +109,8 @@ def keys(x: np.ndarray, number: int, depth: int, many: int) -> np.ndarray:
 
 
 def depth_for(nodes: int, length: int) -> int:
-    """Functions of a key: the fewest that give each key at most one of so many unlike vectors."""
-    return next((k for k in CHOICES if nodes * 2 ** (k + 1) <= (2 * length) ** k), max(CHOICES))
+    """Functions of a key: the fewest that give four keys at most one of so many unlike vectors."""
+    return next((k for k in CHOICES if 4 * nodes * 2 ** (k + 1) <= (2 * length) ** k), max(CHOICES))
 
 
 def _alike(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
