@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from cadenza.functions import scalars as N
 from cadenza.operators.groups import edge_contrast, flatness
 from cadenza.operators.matching import median_2d
-from cadenza.operators.recurrences import band_pass, biquad
+from cadenza.operators.recurrences import band_pass, beats, biquad
 from cadenza.operators.rows import is_peak, linear_resample
-from cadenza.operators.segments import laplacian_segmentations, recurrence
+from cadenza.operators.segments import beat_synchronous, laplacian_segmentations, segment_links, stretched
 from cadenza.sources.tables import settled
-from cadenza.operators.windows import convolve, gaussian, moving_median, onset_strength, parabolic_peak, reflected
+from cadenza.operators.windows import convolve, gaussian, moving_median, onset_strength, parabolic_peak, reflected, salience
 
 
 def frames(series: DataFrame, width: int, hop: int) -> DataFrame:
@@ -398,9 +398,23 @@ def wide_features(long: DataFrame) -> DataFrame:
     return long.withColumn("_c", key).groupBy("series_id", "t").pivot("_c", columns).agg(F.first("v"))
 
 
-def music_information(series: DataFrame, ks: tuple[int, ...] = (2, 4, 6, 8, 12, 16), width: int = 64, hop: int = 2, rate: float = 24.0) -> dict[str, DataFrame]:
-    """Three tables of each series: `features` (long), `segments` (series_id, k, t, label) by the Laplacian of the chroma frames' recurrence, and `tempo`."""
+#: Features that a piece is segmented by.
+SEGMENTED = ("chroma", "tonnetz", "mfcc", "contrast", "flatness", "rms", "drop", "onset")
+
+
+def music_information(series: DataFrame, ks: tuple[int, ...] = (2, 4, 6, 8, 12, 16), width: int = 64, hop: int = 2, rate: float = 24.0, names: tuple[str, ...] = SEGMENTED) -> dict[str, DataFrame]:
+    """Three tables of each series: `features` (series_id, t, name, ch, v), smoothed, weighted by their salience and scaled to 0 to 1; `segments` (series_id, name, k, t, label)
+    of each feature of `names`, found at beats and spread over the frames; and `tempo`. Beats follow each series' own tempo."""
     long = settled(features(series, width, hop, rate))
-    rows = long.where("name = 'chroma'").groupBy("series_id", "t").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("_x")).select("series_id", "t", F.transform("_x", lambda c: c["v"]).alias("x"))
-    onsets = long.where("name = 'onset'").select("series_id", "t", "v")
-    return {"features": long, "segments": laplacian_segmentations(recurrence(settled(rows)), list(ks)), "tempo": tempo(onsets, 24, rate / hop)}
+    onsets = settled(long.where("name = 'onset'").select("series_id", "t", "v"))
+    speed = settled(tempo(onsets, 24, rate / hop))
+    found = settled(beats(onsets.join(speed.select("series_id", F.round(60.0 * rate / hop / F.col("bpm")).cast("int").alias("period")), "series_id"), None))
+    rows = long.where(F.col("name").isin(*names)).groupBy(F.struct("series_id", "name").alias("series_id"), "t").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("_x"))
+    rows = rows.select("series_id", "t", F.transform("_x", lambda c: c["v"]).alias("x"))
+    each = found.withColumn("name", F.explode(F.array(*[F.lit(n) for n in names]))).select(F.struct("series_id", "name").alias("series_id"), "t")
+    points = settled(beat_synchronous(rows, each))
+    segments = laplacian_segmentations(settled(segment_links(points)), list(ks))
+    frames_ = stretched(segments, rows.groupBy("series_id").agg(F.count("*").alias("n")))
+    keyed = long.select(F.struct("series_id", "name", "ch").alias("series_id"), "t", "v")
+    weighted = salience(gaussian(keyed, 2.0)).withColumn("v", F.coalesce("v", F.lit(0.0))).withColumn("v", N.minmax())
+    return {"features": weighted.select("series_id.series_id", "t", "series_id.name", "series_id.ch", "v"), "segments": frames_.select("series_id.series_id", "series_id.name", "k", "t", "label"), "tempo": speed}

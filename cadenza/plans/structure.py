@@ -22,11 +22,27 @@ def vectors(spark, d):
 
 VEC = "v AS (SELECT label AS series_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, embedding::DOUBLE[] AS x FROM embeddings)"
 DIST = f"{VEC}, d AS (SELECT a.series_id, a.t AS i, b.t AS j, round(sqrt(pow(list_distance(a.x, b.x), 2) + 1e-8), 9) AS d FROM v a JOIN v b ON a.series_id = b.series_id AND a.t <> b.t)"
-REC = f"""{DIST}, n AS (SELECT series_id, count(*) AS n FROM v GROUP BY 1), k AS (SELECT d.*, row_number() OVER (PARTITION BY series_id, i ORDER BY d, j) AS r, n FROM d JOIN n USING (series_id)),
-h AS (SELECT series_id, i, j, d FROM k WHERE r <= 2 * ceil(sqrt(n - 1))), m AS (SELECT h.* FROM h SEMI JOIN h g ON h.series_id = g.series_id AND h.i = g.j AND h.j = g.i),
+
+
+def rec(width: int) -> str:
+    """Recurrence links w of frames at least so far apart; n: frames of each series."""
+    return f"""{DIST}, n AS (SELECT series_id, count(*) AS n FROM v GROUP BY 1), k AS (SELECT d.*, row_number() OVER (PARTITION BY series_id, i ORDER BY d, j) AS r, n FROM d JOIN n USING (series_id) WHERE abs(i - j) >= {width}),
+h AS (SELECT series_id, i, j, d FROM k WHERE r <= 2 * ceil(sqrt(greatest(n - {2 * width - 1}, 1)))), m AS (SELECT h.* FROM h SEMI JOIN h g ON h.series_id = g.series_id AND h.i = g.j AND h.j = g.i),
 b AS (SELECT series_id, quantile_disc(x, 0.5) AS b FROM (SELECT series_id, i, max(d) AS x FROM m GROUP BY 1, 2) GROUP BY 1), w AS (SELECT m.series_id, i, j, exp(-d / b) AS w FROM m JOIN b USING (series_id))"""
 
 
+REC = rec(1)
+#: Medians me of 7 cells along each diagonal of w.
+ALONG = """lg AS (SELECT series_id, i - j AS lag, j, w FROM w), us AS (SELECT DISTINCT lg.series_id, lag, n FROM lg JOIN n USING (series_id)),
+gr AS (SELECT series_id, lag, n, unnest(range(n)) AS j FROM us), fu AS (SELECT gr.series_id, gr.lag, gr.n, gr.j, coalesce(lg.w, 0) AS w FROM gr LEFT JOIN lg USING (series_id, lag, j)), oo AS (SELECT unnest(range(-3, 4)) AS o),
+me AS (SELECT f.series_id, f.lag, f.n, f.j, quantile_disc(g.w, 0.5) AS w FROM fu f CROSS JOIN oo JOIN fu g ON g.series_id = f.series_id AND g.lag = f.lag AND g.j = f.n - 1 - abs(f.n - 1 - abs(f.j + o)) GROUP BY 1, 2, 3, 4)"""
+PATH = "q AS (SELECT series_id, i, j, d * d AS q FROM d WHERE j = i + 1), qm AS (SELECT series_id, quantile_disc(q, 0.5) AS m FROM q GROUP BY 1), pa AS (SELECT series_id, i, j, exp(-q / m) AS w FROM q JOIN qm USING (series_id))"
+#: Symmetric links a of the balanced combination of recurrence and path.
+BALANCED = f"""{rec(3)}, {ALONG}, {PATH}, rp AS (SELECT series_id, j + lag AS i, j, w AS r, 0 AS p FROM me WHERE w > 0 AND j + lag >= 0 AND j + lag < n UNION ALL SELECT series_id, i, j, 0, w FROM pa UNION ALL SELECT series_id, j, i, 0, w FROM pa),
+de AS (SELECT series_id, i, sum(r) AS r, sum(p) AS p FROM rp GROUP BY 1, 2), mu AS (SELECT series_id, sum(p * (p + r)) / sum((p + r) * (p + r)) AS m FROM de GROUP BY 1), mi AS (SELECT series_id, i, j, (m * r + (1 - m) * p) / 2 AS w FROM rp JOIN mu USING (series_id)),
+a AS (SELECT series_id, i, j, sum(w) AS w FROM (FROM mi UNION ALL SELECT series_id, j, i, w FROM mi) GROUP BY 1, 2, 3)"""
+
+
 @query("c1_distances", f"WITH {DIST} SELECT series_id, i, round(avg(d), 5) AS mean, round(min(d), 5) AS low FROM d GROUP BY 1, 2")
 def c1(spark, d):
     return C.distances(vectors(spark, d)).groupBy("series_id", F.col("i").cast("long").alias("i")).agg(F.round(F.avg("d"), 5).alias("mean"), F.round(F.min("d"), 5).alias("low"))
@@ -42,20 +58,17 @@ def c4(spark, d):
     return C.path_similarity(vectors(spark, d)).select("series_id", F.col("i").cast("long").alias("i"), F.round("w", 5).alias("w"))
 
 
-@query("c5_laplacian", f"WITH {REC}, g AS (SELECT series_id, i, sum(w) AS d FROM w GROUP BY 1, 2) SELECT w.series_id, w.i, round(sum(-w / sqrt(a.d * c.d)), 5) AS row_sum FROM w JOIN g a ON a.series_id = w.series_id AND a.i = w.i JOIN g c ON c.series_id = w.series_id AND c.i = w.j GROUP BY 1, 2")
+@query("c5_laplacian", f"WITH {BALANCED}, g AS (SELECT series_id, i, sum(w) AS d FROM a GROUP BY 1, 2) SELECT a.series_id, a.i, count(*) AS links, round(sum(-a.w / sqrt(x.d * y.d)), 5) AS row_sum, round(sum(-a.w / sqrt(x.d * y.d) * (a.j + 1)), 3) AS moment FROM a JOIN g x ON x.series_id = a.series_id AND x.i = a.i JOIN g y ON y.series_id = a.series_id AND y.i = a.j GROUP BY 1, 2")
 def c5(spark, d):
-    return C.laplacian(C.recurrence(vectors(spark, d))).groupBy("series_id", F.col("i").cast("long").alias("i")).agg(F.round(F.sum("l"), 5).alias("row_sum"))
+    return C.laplacian(C.segment_links(vectors(spark, d))).groupBy("series_id", F.col("i").cast("long").alias("i")).agg(F.count("*").alias("links"), F.round(F.sum("l"), 5).alias("row_sum"), F.round(F.sum(F.col("l") * (F.col("j") + 1)), 3).alias("moment"))
 
 
 @query("c6_laplacian_segments")
 def c6(spark, d):
-    return C.laplacian_segmentations(C.recurrence(vectors(spark, d)), [2, 4, 6, 8])
+    return C.laplacian_segmentations(C.segment_links(vectors(spark, d)), [2, 4, 6, 8])
 
 
-@query("c3_timelag_median", f"""WITH {REC}, lg AS (SELECT series_id, i - j AS lag, j, w FROM w), us AS (SELECT DISTINCT lg.series_id, lag, n FROM lg JOIN n USING (series_id)),
-gr AS (SELECT series_id, lag, n, unnest(range(n)) AS j FROM us), fu AS (SELECT gr.series_id, gr.lag, gr.n, gr.j, coalesce(lg.w, 0) AS w FROM gr LEFT JOIN lg USING (series_id, lag, j)), oo AS (SELECT unnest(range(-3, 4)) AS o),
-me AS (SELECT f.series_id, f.lag, f.n, f.j, quantile_disc(g.w, 0.5) AS w FROM fu f CROSS JOIN oo JOIN fu g ON g.series_id = f.series_id AND g.lag = f.lag AND g.j = f.n - 1 - abs(f.n - 1 - abs(f.j + o)) GROUP BY 1, 2, 3, 4)
-SELECT series_id, j + lag AS i, j, round(w, 6) AS w FROM me WHERE w > 0 AND j + lag >= 0 AND j + lag < n""")
+@query("c3_timelag_median", f"WITH {REC}, {ALONG} SELECT series_id, j + lag AS i, j, round(w, 6) AS w FROM me WHERE w > 0 AND j + lag >= 0 AND j + lag < n")
 def c3(spark, d):
     rows = vectors(spark, d)
     counts = rows.groupBy("series_id").agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from cadenza.operators import measures as M
 from cadenza.operators import pictures as V
 from cadenza.operators import recurrences as R
 from cadenza.operators import segments as C
+from cadenza.operators.eigen import leading
 from cadenza.operators import spectra as X
 
 
@@ -231,10 +232,119 @@ def test_relabelled(spark):
 def test_segments_of_blocks(spark):
     links = [(1, i, j, 1.0) for b in range(3) for i in range(6 * b, 6 * b + 6) for j in range(6 * b, 6 * b + 6) if i != j] + [(1, 5, 6, 0.01), (1, 11, 12, 0.01), (1, 6, 5, 0.01), (1, 12, 11, 0.01)]
     rows = C.laplacian_segmentations(spark.createDataFrame(links, "series_id long, i long, j long, w double"), [1, 3]).collect()
-    assert [r["label"] for r in sorted((r for r in rows if r["k"] == 3), key=lambda r: r["t"])] == [0] * 6 + [1] * 6 + [2] * 6
+    label = [r["label"] for r in sorted((r for r in rows if r["k"] == 3), key=lambda r: r["t"])]
+    assert label == [label[0]] * 6 + [label[6]] * 6 + [label[12]] * 6 and len(set(label)) == 3
     assert {r["label"] for r in rows if r["k"] == 1} == {0}
 
 
+def lower_median(x):
+    return np.sort(x, axis=0)[(len(x) - 1) // 2]
+
+
+def published_links(x, width=3, k=7):
+    """The weighted links of a beat-synchronous matrix: recurrence, median along lags, balanced with the path."""
+    n = len(x)
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2) + 1e-8), 9)
+    near = np.zeros((n, n), bool)
+    for i in range(n):
+        others = [j for j in range(n) if j != i and abs(i - j) >= width]
+        for j in sorted(others, key=lambda j: (d[i, j], j))[: 2 * int(np.ceil(np.sqrt(max(n - 2 * width + 1, 1))))]:
+            near[i, j] = True
+    near &= near.T
+    widest = np.sort([d[i][near[i]].max() for i in range(n) if near[i].any()])
+    r = np.where(near, np.exp(-d / widest[(len(widest) - 1) // 2]), 0.0)
+    out = np.zeros((n, n))
+    for lag in range(-n + 1, n):
+        line = np.array([r[j + lag, j] if 0 <= j + lag < n else 0.0 for j in range(n)])
+        if line.any():
+            place = (n - 1) - np.abs((n - 1) - np.abs(np.arange(n)[:, None] + np.arange(-(k // 2), k // 2 + 1)))
+            for j, v in enumerate(lower_median(line[place].T)):
+                if 0 <= j + lag < n:
+                    out[j + lag, j] = v
+    q = d[np.arange(n - 1), np.arange(1, n)] ** 2
+    path = np.exp(-q / lower_median(q))
+    p = np.diag(path, 1) + np.diag(path, -1)
+    both = p.sum(axis=1) + out.sum(axis=1)
+    m = (p.sum(axis=1) @ both) / (both @ both)
+    a = m * out + (1 - m) * p
+    return (a + a.T) / 2
+
+
+def published_labels(x, k, rounds):
+    """Soft k-means with its seeds."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    mu = x[[0]]
+    for c in range(1, k):
+        gap = np.round(((x[:, None] - mu[None]) ** 2).sum(axis=2).min(axis=1), 12)
+        share = np.cumsum(gap) / (gap.sum() + 1e-8)
+        passed = np.flatnonzero(share > np.random.RandomState(42 + c).rand())
+        mu = np.vstack([mu, x[passed[0] if len(passed) else len(x) - 1]])
+    for _ in range(rounds + 1):
+        e = np.exp(5 * x @ mu.T)
+        r = e / e.sum(axis=1, keepdims=True)
+        mu = (r.T @ x) / r.sum(axis=0)[:, None]
+    return r.argmax(axis=1)
+
+
+def test_segmentation_follows_the_published_steps(spark):
+    """Links, eigenvectors and labels of 20 series against dense numpy, at beats."""
+    draw, plain, rows, marks, ks = np.random.default_rng(21), {}, [], [], [2, 4, 6]
+    for s in range(20):
+        at, x = [], []
+        for beat in range(int(draw.integers(16, 30))):
+            some = draw.normal(size=(int(draw.integers(1, 6)), 5)) + 4 * np.eye(5)[beat // 6 % 4]
+            if beat:
+                at.append(len(x))
+            x += some.tolist()
+        x = np.array(x)
+        rows += [(s, t, v.tolist()) for t, v in enumerate(x)]
+        marks += [(s, t) for t in at]
+        plain[s] = np.array([lower_median(x[a:b]) for a, b in zip([0, *at], [*at, len(x)])])
+    sync = C.settled(C.beat_synchronous(spark.createDataFrame(rows, "series_id long, t int, x array<double>"), spark.createDataFrame(marks, "series_id long, t int")))
+    found = {(r["series_id"], r["t"]): r["x"] for r in sync.collect()}
+    assert all(found[s, t] == pytest.approx(v) for s, x in plain.items() for t, v in enumerate(x.tolist())) and len(found) == sum(map(len, plain.values()))
+    links = C.settled(C.segment_links(sync))
+    dense = {s: np.zeros((len(x), len(x))) for s, x in plain.items()}
+    for r in links.collect():
+        dense[r["series_id"]][r["i"], r["j"]] = r["w"]
+    for s, x in plain.items():
+        assert np.allclose(dense[s], published_links(x), atol=1e-12)
+    points, same, total = {}, 0, 0
+    for r in C.spectral_embedding(links, ks).collect():
+        points.setdefault((r["series_id"], r["k"]), {})[r["t"]] = r["x"]
+    labels = {}
+    for r in C.laplacian_segmentations(links, ks, 5).collect():
+        labels.setdefault((r["series_id"], r["k"]), {})[r["t"]] = r["label"]
+    for s, a in dense.items():
+        n, scale = len(a), 1 / np.sqrt(a.sum(axis=1))
+        value, vectors = np.linalg.eigh(np.eye(n) - scale[:, None] * a * scale)
+        place = (n - 1) - np.abs((n - 1) - np.abs(np.arange(n)[:, None] + np.arange(-4, 5)))
+        for k in ks:
+            own = np.array([points[s, k][t] for t in range(n)])
+            # a median of an odd number of values goes with the sign of its vector
+            smooth = np.sort(vectors[place][:, :, :k], axis=1)[:, 4]
+            smooth /= np.linalg.norm(smooth, axis=1, keepdims=True)
+            assert np.allclose(np.abs(own), np.abs(smooth), atol=1e-5)
+            mine, want = np.array([labels[s, k][t] for t in range(n)]), published_labels(smooth, k, 5)
+            same, total = same + (mine == want).sum(), total + n
+    assert same == total
+
+
+def test_eigenvectors_of_a_long_series(spark):
+    """The distributed products give what a task gives."""
+    draw, n = np.random.default_rng(3), 60
+    w = np.triu(draw.uniform(size=(n, n)) * (draw.uniform(size=(n, n)) < 0.15), 1) + np.diag(draw.uniform(0.5, 1, n - 1), 1)
+    w = w + w.T
+    scale = 1 / np.sqrt(w.sum(axis=1))
+    m = scale[:, None] * w * scale
+    links = spark.createDataFrame([(7, int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))] + [(8, 0, 1, 1.0), (8, 1, 0, 1.0)], "series_id long, i long, j long, s double")
+    rows = leading(links, 3, within=10, tolerance=1e-6).collect()
+    mine = np.array([r["x"] for r in sorted((r for r in rows if r["series_id"] == 7), key=lambda r: r["i"])])
+    want = np.linalg.eigh(m)[1][:, ::-1][:, :3]
+    assert np.allclose(np.abs(mine), np.abs(want), atol=1e-4)
+    assert all(np.abs(r["x"]) == pytest.approx([0.5**0.5, 0.5**0.5, 0], abs=1e-3) for r in rows if r["series_id"] == 8)
+
+
 def test_smooth_quantiser(spark):
     x, y, m = X.quantiser()
     assert len(x) == len(y) == len(m) and (np.diff(x) > 0).all() and m[0] == m[-1] == 0
@@ -278,8 +388,22 @@ def test_features(spark):
 
 
 def test_music_information(spark):
-    found = X.music_information(long_rows(spark, np.sin(np.arange(160) / 2)), (2, 4))
-    assert {r["k"] for r in found["segments"].collect()} == {2, 4} and found["tempo"].collect()[0]["bpm"] > 0
+    """Every frame has a label of each feature and k; features are scaled."""
+    found = X.music_information(long_rows(spark, np.sin(np.arange(160) / 2) * (1 + (np.arange(160) % 24 == 0))), (2, 4), names=("chroma", "rms"))
+    segments, features = found["segments"].collect(), found["features"].collect()
+    frames = {r["t"] for r in features}
+    assert {(r["name"], r["k"]) for r in segments} == {(n, k) for n in ("chroma", "rms") for k in (2, 4)}
+    for n in ("chroma", "rms"):
+        for k in (2, 4):
+            own = {r["t"]: r["label"] for r in segments if (r["name"], r["k"]) == (n, k)}
+            assert own.keys() == frames and set(own.values()) <= set(range(k))
+    assert found["tempo"].collect()[0]["bpm"] > 0 and min(r["v"] for r in features) >= 0 and max(r["v"] for r in features) <= 1
+
+
+def test_stretched_segments(spark):
+    segments = spark.createDataFrame([(1, 2, t, t % 2) for t in range(3)], "series_id long, k int, t long, label int")
+    rows = C.stretched(segments, spark.createDataFrame([(1, 7)], "series_id long, n long")).orderBy("t").collect()
+    assert [r["label"] for r in rows] == [0, 0, 0, 1, 1, 0, 0]
 
 
 def test_sample_quality_of_equal_sets(spark):
