@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,9 +11,14 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.groups import t_statistic
 from cadenza.operators.measures import mutual_information
+from cadenza.operators.neighbours import k_nearest
 from cadenza.sources.tables import lcg, settled, uniform
 
 
+#: Sums that one row carries.
+SLICE = 4096
+
+
 def gaussian_moments(df: DataFrame, by: list[str]) -> DataFrame:
     """Means and covariances of channels (…, t, ch, v): rows (…, i, j, n, m) hold sums of products of centred channels, and those with i = -1
     the means."""
@@ -122,14 +129,55 @@ def sliced_gromov_wasserstein(df: DataFrame, side: str, projections: int, seed:
 
 
 def kernel_distance(df: DataFrame, side: str, channels: int) -> DataFrame:
-    """Unbiased polynomial-kernel distance (dot / d + 1)³ of two sets of vectors (series_id, side, t, x array).
-    All pairs within a series: for bounded series."""
-    a = df.select("series_id", F.col(side).alias("sa"), F.col("t").alias("ta"), F.col("x").alias("xa"))
-    b = df.select("series_id", F.col(side).alias("sb"), F.col("t").alias("tb"), F.col("x").alias("xb"))
-    dot = F.aggregate(F.zip_with("xa", "xb", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(b, "series_id").where((F.col("sa") != F.col("sb")) | (F.col("ta") != F.col("tb"))).withColumn("k", F.pow(dot / channels + 1, F.lit(3.0)))
-    mean = lambda p, q: F.avg(F.when((F.col("sa") == p) & (F.col("sb") == q), F.col("k")))
-    return pairs.groupBy("series_id").agg((mean(0, 0) + mean(1, 1) - 2 * mean(0, 1)).alias("kid"))
+    """Unbiased polynomial-kernel distance (dot / d + 1)³ of two sets of vectors (series_id, side, t, x array). The kernel is a product of sums over the symmetric products of up to three
+    components, so that its mean over all pairs comes from their sums over each set, taken in one pass; pairs of a vector with itself are taken off."""
+    kind = df.schema["series_id"].dataType.simpleString()
+    left = np.array([(i, j, l) for i in range(channels) for j in range(i, channels) for l in range(j, channels)])
+    two = np.array([(i, j) for i in range(channels) for j in range(i, channels)])
+
+    def features(x: np.ndarray) -> np.ndarray:
+        """Columns whose products sum to the kernel."""
+        y = x / np.sqrt(channels)
+        ways3 = np.array([6 // {1: 6, 2: 2, 3: 1}[len(set(r))] for r in left.tolist()])
+        ways2 = np.where(two[:, 0] == two[:, 1], 1, 2)
+        third = y[:, left[:, 0]] * y[:, left[:, 1]] * y[:, left[:, 2]] * np.sqrt(ways3)
+        second = y[:, two[:, 0]] * y[:, two[:, 1]] * np.sqrt(3.0 * ways2)
+        return np.concatenate([np.ones((len(y), 1)), np.sqrt(3.0) * y, second, third], axis=1)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def full() -> pd.DataFrame:
+            rows = [(name, one, c, total[at : at + SLICE]) for (_, one), (name, total) in held.items() for c, at in enumerate(range(0, len(total), SLICE))]
+            return pd.DataFrame(rows, columns=["series_id", "side", "c", "part"])
+
+        for batch in batches:
+            for (key, one), own in batch.groupby(["key", "side"], sort=False):
+                x = np.array([np.asarray(v, float) for v in own["x"]])
+                total = np.concatenate([[len(x), (((x * x).sum(axis=1) / channels + 1) ** 3).sum()], sum(features(x[at : at + 128]).sum(axis=0) for at in range(0, len(x), 128))])
+                name, before = held.get((key, one), (own["series_id"].iloc[0], 0.0))
+                held[key, one] = name, before + total
+            if len(held) > 64:
+                yield full()
+                held = {}
+        if held:
+            yield full()
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1], "side": pdf["side"].iloc[:1], "c": pdf["c"].iloc[:1], "part": [np.sum(np.stack(pdf["part"].to_numpy()), axis=0)]})
+
+    def distance(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [np.concatenate([np.zeros(0), *pdf[pdf["side"] == s].sort_values("c")["part"]]) for s in (0, 1)]
+        if min(map(len, sides)) == 0 or min(s[0] for s in sides) < 2:
+            return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1], "kid": [None]})
+        (n, own, *one), (m, other, *two_) = sides
+        x, y = np.array(one), np.array(two_)
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1], "kid": [(x @ x - own) / (n * (n - 1)) + (y @ y - other) / (m * (m - 1)) - 2 * (x @ y) / (n * m)]})
+
+    rows = df.select("series_id", F.col(side).cast("int").alias("side"), "x", F.xxhash64("series_id").alias("key"))
+    parts = rows.mapInPandas(sums, f"series_id {kind}, side int, c int, part array<double>")
+    parts = parts.groupBy("series_id", "side", "c").applyInPandas(added, f"series_id {kind}, side int, c int, part array<double>")
+    return parts.groupBy("series_id").applyInPandas(distance, f"series_id {kind}, kid double")
 
 
 def warped(x: np.ndarray, y: np.ndarray, band: int) -> float:
@@ -159,13 +207,10 @@ def dtw(pairs: DataFrame, band: int) -> DataFrame:
 
 
 def nearest(df: DataFrame, k: int) -> DataFrame:
-    """Distance to the k nearest other vectors of the same series (series_id, t, x): series_id, t, rank, d.
-    All pairs within a series: reduce long series first."""
-    a = df.select("series_id", "t", "x")
-    b = df.select("series_id", F.col("t").alias("u"), F.col("x").alias("y"))
-    gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: F.pow(p.cast("double") - q.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v))
-    pairs = a.join(b, "series_id").where("t <> u").select("series_id", "t", "u", F.round(gap, 9).alias("d"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("series_id", "t").orderBy("d", "u"))).where(F.col("rank") <= k)
+    """Distance to the k nearest other vectors of the same series (series_id, t, x): series_id, t, u, d, rank. Exact, by the cells of neighbours.py."""
+    found = k_nearest(df.select("series_id", "t", "x", F.lit(k + 1).alias("k")), df.select("series_id", F.col("t").alias("u"), F.col("x").alias("y"))).where("t <> u")
+    order = Window.partitionBy("series_id", "t").orderBy("d", "u")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def knn_entropy(df: DataFrame, channels: int) -> DataFrame:
