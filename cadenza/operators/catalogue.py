@@ -69,7 +69,7 @@ def smooth(series: DataFrame, rate: float) -> DataFrame:
 @feature("chroma")
 def chroma(series: DataFrame, rate: float) -> DataFrame:
     """Folded constant-Q magnitudes."""
-    bins = spectra.constant_q(spectra.frames(series, 32, 4), 32, rate, rate / 16, 12, 6)
+    bins = spectra.constant_q(series, 4, rate, rate / 16, 12, 6)
     return spectra.folded(bins).select("series_id", F.col("frame").alias("t"), F.col("pitch").alias("ch"), "v")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cadenza.operators.groups import t_statistic
 from cadenza.operators.measures import mutual_information
 from cadenza.operators.neighbours import k_nearest
+from cadenza.operators.ranks import placed
 from cadenza.sources.tables import lcg, settled, uniform
 
 
@@ -307,7 +308,7 @@ def subseries(series: DataFrame, longest: int, negatives: int, seed: int = 3) ->
     rows = rows.withColumn("_place", F.col("_from") + draw(4, F.col("_long") - F.col("_short") + 1))
     anchors = rows.select("series_id", F.lit("anchor").alias("role"), F.lit(0).alias("k"), F.col("series_id").alias("source"), F.col("_from").alias("start"), F.col("_long").alias("length"))
     positives = rows.select("series_id", F.lit("positive").alias("role"), F.lit(0).alias("k"), F.col("series_id").alias("source"), F.col("_place").alias("start"), F.col("_short").alias("length"))
-    order = rows.select("series_id", "n", uniform(F.col("series_id"), seed + 1).alias("_u")).withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_u", "series_id")) - 1)
+    order = placed(rows.select("series_id", "n", uniform(F.col("series_id"), seed + 1).alias("_u")), [], ["_u", "series_id"], "_r", "_all")
     size = rows.count()
     asked = rows.join(order.select("series_id", "_r"), "series_id").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(negatives)))).withColumn("_r", F.pmod(F.col("_r") + F.col("k") * (1 + size // (negatives + 1)), F.lit(size)))
     met = asked.join(order.select("_r", F.col("series_id").alias("source"), F.col("n").alias("_n")), "_r")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as N
 from cadenza.operators import windows as W
+from cadenza.operators.ranks import placed, shares
 from cadenza.sources.tables import lcg, settled
 
 #: Components that the similarity of matrices index compares.
@@ -359,21 +360,30 @@ def xi(df: DataFrame, by: list[str], x: str, y: str, tie: str) -> DataFrame:
     return rows.groupBy(*by).agg((1 - F.try_divide(F.avg("_s") * (n - 1) / (2 * n), F.avg(F.col("_g") * (1 - F.col("_g"))))).alias("xi"))
 
 
+#: Rows of a channel's order that one task subtracts at a time.
+STRETCH = 8192
+
+
 def xi_columns(df: DataFrame) -> DataFrame:
-    """i, j, xi of all pairs of channels (t, ch, v): each channel is ranked once; the ranks of all, an array a frame, are then put in the
-    order of each channel, and neighbours are subtracted."""
-    channel = Window.partitionBy("ch")
-    ranked = df.withColumn("_n", F.count("*").over(channel))
-    ranked = ranked.withColumn("_r", F.count("*").over(channel.orderBy("v").rangeBetween(Window.unboundedPreceding, 0)) / F.col("_n"))
-    ranked = ranked.withColumn("_g", F.count("*").over(channel.orderBy(F.desc("v")).rangeBetween(Window.unboundedPreceding, 0)) / F.col("_n"))
-    spread = ranked.groupBy("ch").agg(F.avg(F.col("_g") * (1 - F.col("_g"))).alias("_d"), F.first("_n").alias("_n"))
-    frames = ranked.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("ch", F.col("_r").alias("r")))).alias("_all"))
-    order = Window.partitionBy("ch").orderBy("v", "t")
-    steps = df.select("ch", "t", "v").join(frames, "t").withColumn("_next", F.lead("_all").over(order)).where("_next IS NOT NULL")
-    gaps = steps.select(F.col("ch").alias("i"), F.explode(F.zip_with("_all", "_next", lambda a, b: F.struct(a["ch"].alias("j"), F.abs(b["r"] - a["r"]).alias("s")))).alias("p"))
-    means = gaps.groupBy("i", F.col("p.j").alias("j")).agg(F.avg("p.s").alias("_s")).where("i <> j")
+    """i, j, xi of all pairs of channels (t, ch, v), which all frames have: each channel is ranked once, in sorted ranges over all channels; the ranks of a frame, an array,
+    go to the frame's place in the order of each channel, and neighbours are subtracted in stretches, whose first rows are also sent to the stretch before."""
+    table = settled(shares(df, ["ch"], "v"))
+    spread = table.groupBy("ch").agg((F.sum(F.col("_c") * F.col("g") * (1 - F.col("g"))) / F.first("n")).alias("_d"), F.first("n").alias("_n"))
+    ranked = df.join(table.select("ch", "v", "r"), ["ch", "v"])
+    frames = ranked.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("ch", "r"))).alias("_all"))
+    channels = [r["ch"] for r in spread.select("ch").orderBy("ch").collect()]  # columns of a table, fixed by its schema
+    kind = df.schema["ch"].dataType.simpleString()
+    frames = frames.select("t", F.transform("_all", lambda a: a["r"]).alias("_all"))
+    rows = placed(df.select("ch", "t", "v"), ["ch"], ["v", "t"]).select("ch", "t", "pos").join(frames, "t").withColumn("part", F.expr(f"pos div {STRETCH}"))
+    rows = rows.union(rows.where(f"pos > 0 and pos % {STRETCH} = 0").withColumn("part", F.col("part") - 1)).select("ch", "part", "pos", "_all")
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.stack(pdf.sort_values("pos")["_all"].to_numpy())
+        return pd.DataFrame({"i": pdf["ch"].iloc[0], "j": channels, "s": np.abs(np.diff(r, axis=0)).sum(axis=0)})
+
+    means = rows.groupBy("ch", "part").applyInPandas(steps, f"i {kind}, j {kind}, s double").where("i <> j").groupBy("i", "j").agg(F.sum("s").alias("s"))
     n = F.col("_n")
-    return means.join(spread.withColumnRenamed("ch", "j"), "j").select("i", "j", (1 - F.try_divide(F.col("_s") * (n - 1) / (2 * n), F.col("_d"))).alias("xi"))
+    return means.join(spread.withColumnRenamed("ch", "j"), "j").select("i", "j", (1 - F.try_divide(F.col("s") / (2 * n), F.col("_d"))).alias("xi"))
 
 
 def matthews(df: DataFrame, by: list[str], target: str, predicted: str) -> DataFrame:

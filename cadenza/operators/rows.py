@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.ranks import running
+
 def in_order():
     """The frames of each series in order."""
     return Window.partitionBy("series_id").orderBy("t")
@@ -94,8 +96,7 @@ def locate(frames: DataFrame, lengths: DataFrame, ident: str, frame: str = "g",
     """Global frame number to (ident, local t): lengths holds `n` frames for each ident in order. Every
     interval of the running sum is listed under the buckets of frames that it touches, so that the range
     join is an equi-join by bucket."""
-    by = Window.partitionBy(F.lit(0)).orderBy(ident).rowsBetween(Window.unboundedPreceding, -1)
-    starts = lengths.where("n > 0").select(ident, "n", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("_start"))
+    starts = running(lengths.where("n > 0").select(ident, "n"), [], [ident], F.col("n").cast("long"), "_end", "_all").select(ident, "n", (F.col("_end") - F.col("n")).alias("_start"))
     starts = starts.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_start") / bucket), F.floor((F.col("_start") + F.col("n") - 1) / bucket))))
     met = frames.withColumn("_bucket", F.floor(F.col(frame) / bucket)).join(starts, "_bucket")
     return met.where((F.col(frame) >= F.col("_start")) & (F.col(frame) < F.col("_start") + F.col("n"))).select(frame, ident, (F.col(frame) - F.col("_start")).alias("t"))

@@ -77,24 +77,62 @@ def stft_complex(framed: DataFrame, width: int) -> DataFrame:
     return rows.select("series_id", "frame", "bin", "z.re", "z.im")
 
 
-def constant_q(framed: DataFrame, width: int, rate: float, lowest: float, bins: int, per_octave: int) -> DataFrame:
-    """Constant-Q magnitudes: series_id, frame, bin, mag. Each bin has its own Hann window, as many samples as its Q asks for (the frame's
-    width at most), in the middle of the frame; all kernels together are one basis."""
-    return projected(framed, constant_q_basis(width, rate, lowest, bins, per_octave)).select("series_id", "frame", F.posexplode(F.zip_with("re", "im", F.hypot)).alias("bin", "mag"))
+def constant_q(series: DataFrame, hop: int, rate: float, lowest: float, bins: int, per_octave: int, halve: bool = True) -> DataFrame:
+    """Constant-Q magnitudes of series (series_id, t, v): series_id, frame, bin, mag. Each bin has a Hann window of as many samples as its Q asks for, whole, around the frame's
+    middle. Octave by octave, the series is first halved in rate (low pass, every second sample) as often as the octave's highest bin and the hop allow, so that windows stay
+    as short as those of the highest octave; with halve = False all are taken at the full rate. Both forms agree but where a window reaches beyond an end of the series, which a
+    halved one reflects at its own last sample."""
+    top = lowest * 2 ** ((bins - 1) / per_octave)
+    if top >= rate / 2:
+        raise ValueError(f"the highest bin, {top:.6g}, must lie below half the rate, {rate / 2:.6g}")
+    counts = series.groupBy("series_id").agg(F.count("*").alias("_n"))
+    at, out = {0: series.select("series_id", "t", "v")}, None
+    for last in range(bins, 0, -per_octave):
+        first, times = max(0, last - per_octave), 0
+        while halve and hop % 2 ** (times + 1) == 0 and lowest * 2 ** ((last - 1) / per_octave) <= 0.4 * rate / 2 ** (times + 1):
+            times += 1
+            if times not in at:
+                at[times] = settled(halved(at[times - 1]))
+        low, slow = lowest * 2 ** (first / per_octave), rate / 2**times
+        width = 2 * (int(constant_q_length(slow, low, per_octave)) // 2) + 1
+        framed = frames(at[times], width, hop // 2**times).join(counts, "series_id").where(F.col("frame") < F.greatest(F.floor(F.col("_n") / hop), F.lit(1))).drop("_n")
+        found = projected(framed, constant_q_basis(width, slow, low, last - first, per_octave))
+        found = found.select("series_id", "frame", F.posexplode(F.zip_with("re", "im", F.hypot)).alias("bin", "mag")).withColumn("bin", F.col("bin") + first)
+        out = found if out is None else out.union(found)
+    return out
+
+
+def constant_q_length(rate: float, frequency: float, per_octave: int) -> float:
+    """Samples of the window of a bin."""
+    return rate / frequency / (2 ** (1 / per_octave) - 1)
 
 
 def constant_q_basis(width: int, rate: float, lowest: float, bins: int, per_octave: int) -> np.ndarray:
-    """Columns of kernels at lowest · 2^(bin / per_octave), each with the sum of weights 1."""
-    q, n = 1 / (2 ** (1 / per_octave) - 1), np.arange(width) - width // 2
+    """Columns of kernels at lowest · 2^(bin / per_octave), each with the sum of weights 1; an error if a window is longer than `width` (odd)."""
+    n = np.arange(width) - width // 2
     out = np.zeros((width, bins), complex)
     for b in range(bins):
         f = lowest * 2 ** (b / per_octave)
-        half = min(q * rate / f, width) / 2
+        half = constant_q_length(rate, f, per_octave) / 2
+        if int(half) > width // 2:
+            raise ValueError(f"a window of {2 * half:.6g} samples does not fit into {width}")
         w = np.where(np.abs(n) <= half, 0.5 + 0.5 * np.cos(np.pi * n / half), 0.0)
         out[:, b] = w / w.sum() * np.exp(-2j * np.pi * f / rate * n)
     return out
 
 
+def low_pass_taps(radius: int = 31) -> list[tuple[int, float]]:
+    """A Blackman-windowed sinc that passes up to 0.2 and stops from 0.3 of the rate."""
+    n = np.arange(-radius, radius + 1)
+    w = np.sinc(n / 2) * (0.42 + 0.5 * np.cos(np.pi * n / (radius + 1)) + 0.08 * np.cos(2 * np.pi * n / (radius + 1)))
+    return [(int(o), float(x)) for o, x in zip(n, w / w.sum()) if abs(x) > 1e-12]
+
+
+def halved(series: DataFrame) -> DataFrame:
+    """A series (series_id, t, v) at half its rate, reflected at its ends."""
+    return convolve(series, low_pass_taps(), "reflect").where("t % 2 = 0").select("series_id", (F.col("t") / 2).cast("int").alias("t"), "v")
+
+
 def filter_bank(spectrum: DataFrame, weights: list[tuple[int, int, float]]) -> DataFrame:
     """Bands as weighted sums of bins: weights (bin, band, weight) of a fixed bank."""
     bank = F.broadcast(spectrum.sparkSession.createDataFrame(weights, "bin int, band int, w double"))

@@ -186,15 +186,21 @@ def x5(spark, d):
     return rows.select("series_id", F.col("frame").cast("long").alias("frame"), F.col("bin").cast("long").alias("bin"), F.round("harmonic", 4).alias("harmonic"), F.round("percussive", 4).alias("percussive"))
 
 
-CQ = (32, 24.0, 1.5, 12, 6)
-CQ_SQL = "cb AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {b}, {float(z.real)!r}::DOUBLE, {float(z.imag)!r}::DOUBLE)" for k, row in enumerate(X.constant_q_basis(*CQ)) for b, z in enumerate(row)) + ") AS cb(k, bin, c, s))"
-CQ_FRAMES = FRAMES.replace("frame * 4 + k - 4", "frame * 4 + k - 16").replace("range(8) AS r(k)", "range(32) AS r(k)")
+#: Hop, rate, lowest bin, bins and bins an octave.
+CQ = (4, 24.0, 1.5, 12, 6)
+CQ_SQL = """kn AS (SELECT b AS bin, 1.5 * pow(2, b / 6.0) AS f, 24 / (1.5 * pow(2, b / 6.0)) / (pow(2, 1 / 6.0) - 1) / 2 AS half FROM range(12) AS r(b)), kw AS (SELECT bin, o, 0.5 + 0.5 * cos(pi() * o / half) AS w, 2 * pi() * f / 24 * o AS turn FROM kn, range(-65, 66) AS r(o) WHERE abs(o) <= half),
+fo AS (SELECT series_id, n, frame, o, ((frame * 4 + o) % (2 * n - 2) + 2 * n - 2) % (2 * n - 2) AS m FROM (SELECT series_id, n, unnest(range(greatest(n // 4, 1))) AS frame FROM n), range(-65, 66) AS r(o)), fv AS (SELECT fo.series_id, frame, o, v FROM fo JOIN s ON s.series_id = fo.series_id AND s.t = least(m, 2 * n - 2 - m))"""
 
 
-@query("x6_constant_q", f"WITH {SERIES}, {CQ_FRAMES}, {CQ_SQL} SELECT series_id, frame, bin, round(sqrt(pow(sum(v * c), 2) + pow(sum(v * s), 2)), 5) AS mag FROM ff JOIN cb USING (k) GROUP BY 1, 2, 3")
+@query("x6_constant_q", f"WITH {SERIES}, {COUNTS}, {CQ_SQL} SELECT series_id, frame, bin, round(sqrt(pow(sum(v * w * cos(turn)), 2) + pow(sum(v * w * sin(turn)), 2)) / sum(w), 5) AS mag FROM fv JOIN kw USING (o) GROUP BY 1, 2, 3")
 def x6(spark, d):
-    rows = X.constant_q(X.frames(S.events_series(spark, d), CQ[0], 4), *CQ)
-    return rows.select("series_id", F.col("frame").cast("long").alias("frame"), "bin", F.round("mag", 5).alias("mag"))
+    rows = X.constant_q(S.events_series(spark, d), *CQ, halve=False)
+    return rows.select("series_id", F.col("frame").cast("long").alias("frame"), F.col("bin").cast("long").alias("bin"), F.round("mag", 5).alias("mag"))
+
+
+@query("x6_constant_q_octaves")
+def x6b(spark, d):
+    return X.constant_q(S.events_series(spark, d), 8, 24.0, 0.75, 18, 6)
 
 
 CHROMA = f"{VECTORS}, ch AS (SELECT series_id, t AS frame, ch % 12 AS pitch, round(sum(abs(v)), 9) AS v FROM x GROUP BY 1, 2, 3)"

@@ -470,3 +470,44 @@ def test_controls(spark):
 def test_dtw(spark):
     rows = spark.createDataFrame([(1, t, float(v), float(v)) for t, v in enumerate([1, 3, 2, 5])] + [(2, t, float(v), float(u)) for t, (v, u) in enumerate(zip([0, 1, 1, 2], [0, 0, 1, 2]))], "pair_id long, t int, x double, y double")
     assert {r["pair_id"]: r["dtw"] for r in D.dtw(rows, 3).collect()} == {1: 0.0, 2: 0.0}
+
+
+def direct_constant_q(v, hop, rate, lowest, bins, per_octave):
+    """Whole windows at the full rate."""
+    out = np.zeros((max(len(v) // hop, 1), bins))
+    for b in range(bins):
+        f = lowest * 2 ** (b / per_octave)
+        half = rate / f / (2 ** (1 / per_octave) - 1) / 2
+        o = np.arange(-int(half), int(half) + 1)
+        w = 0.5 + 0.5 * np.cos(np.pi * o / half)
+        for frame in range(len(out)):
+            m = (frame * hop + o) % (2 * len(v) - 2)
+            out[frame, b] = abs((v[np.minimum(m, 2 * len(v) - 2 - m)] * w * np.exp(-2j * np.pi * f / rate * o)).sum()) / w.sum()
+    return out
+
+
+def cells(rows, bins):
+    out = {(r["frame"], r["bin"]): r["mag"] for r in rows}
+    n = 1 + max(k[0] for k in out)
+    return np.array([[out[f, b] for b in range(bins)] for f in range(n)])
+
+
+def test_constant_q_has_its_whole_q(spark):
+    """A sine at each bin peaks there with half its height, in every octave, though the lower ones come at a quarter of the rate; both forms equal the direct sums."""
+    rate, lowest, bins = 64.0, 1.0, 18
+    t = np.arange(900)
+    tones = {b: np.sin(2 * np.pi * lowest * 2 ** (b / 6) / rate * t) for b in range(0, bins, 2)}
+    rows = spark.createDataFrame([(b, int(i), float(x)) for b, v in tones.items() for i, x in enumerate(v)], "series_id long, t int, v double")
+    found = X.settled(X.constant_q(rows, 16, rate, lowest, bins, 6)).collect()
+    for b, v in tones.items():
+        mine = cells([r for r in found if r["series_id"] == b], bins)
+        want = direct_constant_q(v, 16, rate, lowest, bins, 6)
+        assert mine.shape == want.shape and np.abs(mine - want)[17:39].max() < 4e-3  # where no window reaches beyond the ends
+        middle = mine[len(mine) // 3 : -len(mine) // 3].mean(axis=0)
+        assert middle.argmax() == b and middle[b] == pytest.approx(0.5, abs=5e-3) and np.delete(middle, [x for x in range(b - 2, b + 3) if 0 <= x < bins]).max() < 0.02
+    whole = cells([r for r in X.constant_q(rows.where("series_id = 4"), 16, rate, lowest, bins, 6, halve=False).collect()], bins)
+    assert np.allclose(whole, direct_constant_q(tones[4], 16, rate, lowest, bins, 6), atol=1e-9)
+    with pytest.raises(ValueError):
+        X.constant_q_basis(65, rate, lowest, 6, 6)
+    with pytest.raises(ValueError):
+        X.constant_q(rows, 16, rate, lowest, 40, 6)
