@@ -261,7 +261,7 @@ SQL_op12_embedding_near_dup = """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
 ), p AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) BETWEEN 0.9 AND 2
 ), reach AS (
   SELECT a AS vec_id, a AS c FROM p UNION SELECT p.b, r.c FROM reach r JOIN p ON p.a = r.vec_id
 ), m AS (

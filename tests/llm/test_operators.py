@@ -103,9 +103,11 @@ def test_sql(spark, name, tmp_path):
     rows = [r for r in EDGES if r[0] is not None and r[0] != 5] + [(20 + i, " ".join([prose(i, 12)] * (i + 1)) + "\nline of it\nline of it\n- x...", "en", "a") for i in range(6)]
     rows += [(40 + i, prose(77, 60) + f" tail{i}", "en", "a") for i in range(5)]
     talks = [(1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "> Hello there.\nFine.\n> How are you?\nOK"), (1, 2, "user", "On Monday X wrote:\n>> Hello there.\n> Fine.\nGreat"), (1, 3, "user", "> Great\n> ?\n\nYes"), (2, 0, "user", "> alone"), (2, 1, "user", None)]
-    d = folder(spark, tmp_path, documents=documents(spark, rows), conversations=spark.createDataFrame(talks, "conv_id long, turn int, role string, text string"))
+    draw = np.random.default_rng(8)
+    vectors = [(i, (draw.normal(size=16) * 0.1 + np.eye(16)[i % 9]).tolist(), 0) for i in range(60)] + [(90, [0.0] * 16, 1), (91, None, 1)]
+    d = folder(spark, tmp_path, documents=documents(spark, rows), conversations=spark.createDataFrame(talks, "conv_id long, turn int, role string, text string"), embeddings=spark.createDataFrame(vectors, EMBEDDINGS))
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
     df = queries.queries()[name](spark, d)
     found = con.execute(queries.oracle_sql()[name])
