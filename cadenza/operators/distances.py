@@ -100,6 +100,15 @@ def gaussian_distances(df: DataFrame, side: str) -> DataFrame:
     return moments.groupBy("series_id").applyInPandas(run, f"series_id {kind}, frechet double, bures double, correlation double, definite boolean, divergence double, kl double, riemann double, condition double")
 
 
+def _coupled(met: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The quadratic cost of points x and y that are coupled row by row, of each group: the mean over pairs of rows of ((x - x')² - (y - y')²)², in sums of powers."""
+    a, b = F.col("x"), F.col("y")
+    sums = met.groupBy(*by).agg(F.count("*").cast("double").alias("n"), *[F.sum(F.pow(a, F.lit(float(i))) * F.pow(b, F.lit(float(j)))).alias(f"s{i}{j}") for i in range(5) for j in range(5 - i) if i + j])
+    quartic = lambda p: 2 * F.col("n") * F.col(p(4)) - 8 * F.col(p(3)) * F.col(p(1)) + 6 * F.col(p(2)) * F.col(p(2))
+    cross = 2 * F.col("n") * F.col("s22") + 2 * F.col("s20") * F.col("s02") + 4 * F.col("s11") * F.col("s11") - 4 * F.col("s21") * F.col("s01") - 4 * F.col("s12") * F.col("s10")
+    return sums.select(*by, ((quartic(lambda e: f"s{e}0") + quartic(lambda e: f"s0{e}") - 2 * cross) / (F.col("n") * F.col("n"))).alias(name))
+
+
 def sliced_gromov_wasserstein(df: DataFrame, side: str, projections: int, seed: int = 1) -> DataFrame:
     """Mean over random projections of the cheaper of the two monotone couplings of two sides of equal size.
     The quadratic cost of a coupling is a polynomial in sums of powers of the sorted values, so no pair of
@@ -113,19 +122,7 @@ def sliced_gromov_wasserstein(df: DataFrame, side: str, projections: int, seed:
     costs = []
     for way in ("up", "down"):
         y = ranked.where(F.col(side) == 1).select("series_id", "k", F.col(way).alias("r"), F.col("p").alias("y"))
-        a, b = F.col("x"), F.col("y")
-        met = x.join(y, ["series_id", "k", "r"]).groupBy("series_id", "k").agg(
-            F.count("*").cast("double").alias("n"),
-            *[F.sum(F.pow(a, F.lit(float(i))) * F.pow(b, F.lit(float(j)))).alias(f"s{i}{j}") for i in range(5) for j in range(5 - i) if i + j],
-        )
-        # Σ over pairs of ((xi - xj)² - (yi - yj)²)², in sums of powers
-        quartic = lambda p: 2 * F.col("n") * F.col(p(4)) - 8 * F.col(p(3)) * F.col(p(1)) + 6 * F.col(p(2)) * F.col(p(2))
-        cross = (
-            2 * F.col("n") * F.col("s22") + 2 * F.col("s20") * F.col("s02") + 4 * F.col("s11") * F.col("s11")
-            - 4 * F.col("s21") * F.col("s01") - 4 * F.col("s12") * F.col("s10")
-        )
-        cost = (quartic(lambda e: f"s{e}0") + quartic(lambda e: f"s0{e}") - 2 * cross) / (F.col("n") * F.col("n"))
-        costs.append(met.select("series_id", "k", cost.alias(way)))
+        costs.append(_coupled(x.join(y, ["series_id", "k", "r"]), ["series_id", "k"], way))
     return costs[0].join(costs[1], ["series_id", "k"]).groupBy("series_id").agg(F.avg(F.least("up", "down")).alias("sgw"))
 
 
@@ -260,6 +257,22 @@ def feature_distances(left: DataFrame, right: DataFrame, projections: int, seed:
     return sliced_gromov_wasserstein(both, "side", projections, seed).select("series_id.*", "sgw")
 
 
+def pooled_distances(left: DataFrame, right: DataFrame, projections: int, seed: int = 1) -> DataFrame:
+    """a, b, sgw for every pair of features of two sides (series_id, name, t, ch, v), over the frames of all series together: each channel scaled to 0 to 1 over all of them, each feature
+    projected and ranked once (over sorted ranges), and features met by rank, of which only sums are kept. Both sides have the same frames."""
+    ranked = []
+    for df in (left, right):
+        span = df.groupBy("name", "ch").agg(F.min("v").alias("_low"), F.max("v").alias("_high"))  # a row for each channel of the schema
+        unit = df.join(F.broadcast(span), ["name", "ch"]).withColumn("v", F.coalesce(F.try_divide(F.col("v") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)))
+        rows = unit.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(projections - 1))))
+        weight = lcg(lcg(F.col("ch") * 1009 + F.col("k"), seed) + 7919, seed) / F.lit(2147483648.0) - 0.5
+        points = rows.groupBy("name", "k", "series_id", "t").agg(F.sum(F.col("v") * weight).alias("p"))
+        ranked.append(settled(placed(points, ["name", "k"], ["p", "series_id", "t"], "up", "n").select("name", "k", "up", (F.col("n") - 1 - F.col("up")).alias("down"), "p")))
+    x = ranked[0].select("k", F.col("up").alias("r"), F.col("name").alias("a"), F.col("p").alias("x"))
+    costs = [_coupled(x.join(ranked[1].select("k", F.col(way).alias("r"), F.col("name").alias("b"), F.col("p").alias("y")), ["k", "r"]), ["a", "b", "k"], way) for way in ("up", "down")]
+    return costs[0].join(costs[1], ["a", "b", "k"]).groupBy("a", "b").agg(F.avg(F.least("up", "down")).alias("sgw"))
+
+
 def comparison(groups: DataFrame, projections: int, band: int, bins: int, sigma: float) -> DataFrame:
     """corpus, n, sgw, dtw_low, dtw_mid, dtw_mean, dtw_high and information of paired series (corpus, series_id, t, x, y): a table that shows how
     much closer aligned series are than misaligned ones, when both are given as corpora."""

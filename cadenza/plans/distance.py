@@ -97,6 +97,12 @@ def d6(spark, d):
     return D.feature_distances(rows.where("ch < 32"), rows.where("ch >= 32"), 4)
 
 
+@query("d6_pooled_distances")
+def d6b(spark, d):
+    rows = S.vectors_long(spark, d).withColumn("name", F.concat(F.lit("f"), F.floor(F.col("ch") / 16).cast("string")))
+    return D.pooled_distances(rows.where("ch < 32"), rows.where("ch >= 32"), 4)
+
+
 @query("d13_subseries")
 def d13(spark, d):
     return D.subseries(S.events_series(spark, d), 32, 5)

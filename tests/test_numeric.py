@@ -511,3 +511,31 @@ def test_constant_q_has_its_whole_q(spark):
         X.constant_q_basis(65, rate, lowest, 6, 6)
     with pytest.raises(ValueError):
         X.constant_q(rows, 16, rate, lowest, 40, 6)
+
+
+def sliced_cost(x, y, projections, seed=1):
+    """Both monotone couplings of projected points, by all pairs."""
+    lcg = lambda v: (v * 1103515245 + seed * 12345) % 2147483648
+    out = []
+    for k in range(projections):
+        p, q = (sum((lcg(lcg(ch * 1009 + k) + 7919) / 2147483648 - 0.5) * m[:, ch] for ch in range(m.shape[1])) for m in (x, y))
+        p, costs = np.sort(p), []
+        for q_ in (np.sort(q), np.sort(q)[::-1]):
+            costs.append((((p[:, None] - p) ** 2 - (q_[:, None] - q_) ** 2) ** 2).mean())
+        out.append(min(costs))
+    return np.mean(out)
+
+
+def test_feature_distances_by_series_and_pooled(spark):
+    draw = np.random.default_rng(12)
+    sides = [{n: {s: draw.normal(size=(9 + s, w)) for s in (1, 2, 3)} for n, w in names.items()} for names in ({"a": 2, "b": 1}, {"c": 3})]
+    tables = [spark.createDataFrame([(s, n, t, ch, float(v)) for n, own in side.items() for s, m in own.items() for t, row in enumerate(m) for ch, v in enumerate(row)], "series_id long, name string, t int, ch int, v double") for side in sides]
+    single = {(r["series_id"], r["a"], r["b"]): r["sgw"] for r in D.feature_distances(*tables, 3).collect()}
+    pooled = {(r["a"], r["b"]): r["sgw"] for r in D.pooled_distances(*tables, 3).collect()}
+    assert len(single) == 6 and len(pooled) == 2
+    for n, own in sides[0].items():
+        for s in own:
+            assert single[s, n, "c"] == pytest.approx(sliced_cost(own[s], sides[1]["c"][s], 3), abs=1e-9)
+        both = [np.concatenate([m[s] for s in (1, 2, 3)]) for m in (own, sides[1]["c"])]
+        both = [(m - m.min(axis=0)) / (m.max(axis=0) - m.min(axis=0)) for m in both]
+        assert pooled[n, "c"] == pytest.approx(sliced_cost(*both, 3), abs=1e-9)
