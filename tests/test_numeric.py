@@ -539,3 +539,26 @@ def test_feature_distances_by_series_and_pooled(spark):
         both = [np.concatenate([m[s] for s in (1, 2, 3)]) for m in (own, sides[1]["c"])]
         both = [(m - m.min(axis=0)) / (m.max(axis=0) - m.min(axis=0)) for m in both]
         assert pooled[n, "c"] == pytest.approx(sliced_cost(*both, 3), abs=1e-9)
+
+
+def test_mean_chroma_of_estimates_of_unequal_length(spark):
+    """Each estimate is brought to the same frames, whose centres correspond, and averaged channel by channel."""
+    draw = np.random.default_rng(14)
+    sides = {"long": draw.uniform(size=(20, 3)), "short": draw.uniform(size=(10, 3)), "same": draw.uniform(size=(15, 3))}
+    tables = {n: spark.createDataFrame([(5, f, p, float(v)) for f, row in enumerate(m) for p, v in enumerate(row)], "series_id long, frame int, pitch int, v double") for n, m in sides.items()}
+    found = {(r["t"], r["ch"]): r["v"] for r in X.mean_chroma(tables, 15).collect()}
+    want = np.mean([[np.interp((np.arange(15) + 0.5) * len(m) / 15 - 0.5, np.arange(len(m)), m[:, p]) for p in range(3)] for m in sides.values()], axis=0)
+    assert found.keys() == {(t, p) for t in range(15) for p in range(3)} and all(v == pytest.approx(want[p, t]) for (t, p), v in found.items())
+
+
+def test_pooled_measures_are_those_of_joined_features(spark):
+    draw = np.random.default_rng(15)
+    x, y = draw.normal(size=(40, 5)), draw.normal(size=(40, 4))
+    y[:, 0] += x[:, 1]
+    rows = lambda m: spark.createDataFrame([(1, t, c, float(v)) for t, row in enumerate(m) for c, v in enumerate(row)], "series_id long, t int, ch int, v double")
+    whole = M.small_matrix_measures(rows(x), rows(y)).collect()[0].asDict()
+    pooled = M.pooled_measures({"a": (rows(x[:, :2]), rows(y[:, :3])), "b": (rows(x[:, 2:]), rows(y[:, 3:]))}).collect()[0].asDict()
+    assert whole.keys() == pooled.keys()
+    for name, value in whole.items():
+        assert pooled[name] is None if value is None else pooled[name] == pytest.approx(value, rel=1e-6, abs=1e-9), name
+    assert sum(v is not None for v in whole.values()) > 3
