@@ -7,10 +7,12 @@ smoothed over the paths in page order and multiplied (fused), a path below an el
 around the article gets a tenth of it, and paths above a threshold derived from their own spread are content.
 
 Content paths decide what is taken: they vote for the element that holds most of their text (an article, if one holds
-half). In an article all but the named parts around it is the result; elsewhere, the leaves of content paths with what is
-inside of them, the headings before, and what stands between them, lists of links excepted. A part named as standing around the
-article stays only if its own path is content. Elements that are never content (navigation, scripts, forms, ...) are
-left out from the start. A name tells nothing about an element that holds most of what the page has.
+half). In an article all but the named parts around it and the parts beside it is the result; elsewhere, the leaves of content paths with what is
+inside of them, the headings before, and what stands between them, lists of links excepted. A path is also content where that of its emphasised text is. A part
+named as standing around the article stays only if its own path is content. A part beside the article is one of several blocks that is nothing but links, or, with no content path
+(headings apart), mostly links or a section after the last content: reader comments are such, as long as they are shorter than the article's paragraphs.
+Elements that are never content (navigation, scripts, forms, ...) are left out from the start. A name tells nothing about an element that holds most of
+what the page has, nor about a paragraph, a heading or a cell unless half of the name's words are such.
 
 Defined results: null, empty and text-free html give an empty text; unclosed, repeated and unknown tags
 are taken as browsers do in simple cases; deep nesting and long pages are parsed whole, without
@@ -45,15 +47,20 @@ NEVER = frozenset("head script style noscript template iframe textarea title nav
 ENDS_P = BLOCK - {"body", "html", "head", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend", "title"}
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 #: Words in a class, id or role that mark parts around the article.
-AROUND = re.compile(
-    r"(?:^|\s)(?!(?:has|no|with|without)[_-])(?:[\w-]*[_-])?(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|cookies?|consent|disqus|footer|gdpr|login|masthead|menu|modal|nav\w*|newsletter|notices?|"
+WORDS = (
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|cookies?|consent|disqus|footer|gdpr|login|masthead|menu|modal|nav\w*|newsletter|notices?|"
     r"pagination|pager|popup|promo\w*|recommend\w*|related|replies|reply|responses|search|share|sharing|sidebar|signup|site-header|page-header|social|sponsor\w*|subscribe|"
-    r"toolbar|widget|alert|complementary|contentinfo|navigation)(?:[_-][\w-]*)?(?=\s|$)",
-    re.IGNORECASE,
+    r"toolbar|widget|alert|complementary|contentinfo|navigation)"
 )
+AROUND = re.compile(rf"(?:^|\s)(?!(?:has|no|with|without)[_-])(?:[\w-]*[_-])?{WORDS}(?:[_-][\w-]*)?(?=\s|$)", re.IGNORECASE)
+WORD = re.compile(WORDS, re.IGNORECASE)
 #: What the fused ratio of paths below elements with such names is multiplied with.
 NAMED_WEIGHT = 0.1
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold one piece of text, those that only emphasise, and those that hold parts.
+TEXT_LEVEL = INLINE | frozenset("blockquote dd dt figcaption li pre q td th".split())
+EMPHASIS = frozenset("b i em strong span font u".split())
+PARTS = frozenset("div dl ol section ul".split())
 KIND = re.compile(r"""\s(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""\shidden(?=[\s=/>]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.DOTALL)
@@ -73,6 +80,14 @@ class Leaf:
     around: tuple[int, ...]
 
 
+def marked(names: str, mostly: bool) -> bool:
+    """Whether one of the names marks a part around the article; mostly: only one half of whose words do."""
+    if not AROUND.search(names):
+        return False
+    parts = [[bool(WORD.fullmatch(w)) for w in re.split(r"[_-]+", name)] for name in names.split() if AROUND.fullmatch(name)]
+    return not mostly or any(2 * sum(p) >= len(p) for p in parts)
+
+
 def leaves(page: str) -> tuple[list[Leaf], dict[int, str]]:
     """Leaves in page order, and the tag of each element. around: the elements above a leaf that are named so."""
     found: list[Leaf] = []
@@ -144,7 +159,7 @@ def leaves(page: str) -> tuple[list[Leaf], dict[int, str]]:
         tags[made] = name
         kinds = [(k.lower(), a or b or c) for k, a, b, c in KIND.findall(rest)] if rest else []
         names = " ".join(v for _, v in kinds)
-        around = bool(names and name not in ("body", "html", "main", "article") and AROUND.search(names))
+        around = bool(names and name not in ("body", "html", "main", "article") and marked(names, name in TEXT_LEVEL))
         inside = any(x[0] in ("article", "main") for x in stack)
         never = bool(stack and stack[-1][2]) or name in NEVER or (name == "header" and not inside) or bool(rest and HIDDEN.search(rest))
         style = next((v.split() for k, v in kinds if k == "class" and v.split()), [])
@@ -231,6 +246,43 @@ def region(own: list[tuple[Leaf, bool]], tags: dict[int, str]) -> int | None:
     return chosen
 
 
+def emphasised(good: dict[tuple[tuple[str, ...], bool], float]) -> dict[tuple[tuple[str, ...], bool], float]:
+    """The content paths with those that only elements of emphasis set apart from one of them."""
+    out = dict(good)
+    for (path, is_named), value in good.items():
+        while path and path[-1].partition(".")[0] in EMPHASIS:
+            path = path[:-1]
+            out.setdefault((path, is_named), value)
+    return out
+
+
+def beside(own: list[tuple[Leaf, bool]], tags: dict[int, str], chosen: int) -> set[int]:
+    """Elements of the chosen one that hold several blocks and less than half of its text, and either nothing but links, or, with no content (headings apart),
+    mostly links or a place after all content."""
+    full = [(i, x, is_good, any(s.partition(".")[0] in HEADINGS for s in x.path)) for i, (x, is_good) in enumerate(own) if x.text.strip() and chosen in x.above]
+    last = max((i for i, _, is_good, heads in full if is_good and not heads), default=len(own))
+    blocks: dict[int, set[int]] = defaultdict(set)
+    first: dict[int, int] = {}
+    size: dict[int, int] = defaultdict(int)
+    linked: dict[int, int] = defaultdict(int)
+    content: set[int] = set()
+    for i, leaf, is_good, heads in full:
+        n = len(leaf.text.strip())
+        in_link = any(s.partition(".")[0] == "a" for s in leaf.path)
+        for element in leaf.above[leaf.above.index(chosen) + 1 :]:
+            if tags[element] in PARTS:
+                blocks[element].add(leaf.block)
+                first.setdefault(element, i)
+                size[element] += n
+                linked[element] += n * in_link
+                if is_good and not heads:
+                    content.add(element)
+    total = sum(len(x.text.strip()) for _, x, _, _ in full)
+    several = {e for e, held in blocks.items() if len(held) > 1 and 2 * size[e] < total}
+    menus = {e for e in several if linked[e] == size[e]}
+    return menus | {e for e in several - content if 2 * linked[e] > size[e] or (first[e] > last and tags[e] in ("div", "section"))}
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the article, one a line."""
     if not page:
@@ -238,7 +290,7 @@ def main_text(page: str | None) -> str:
     found, tags = leaves(page)
     found = [x for x in found if not x.never]
     wrappers = outer(found, tags)
-    good = content_paths(found, wrappers)
+    good = emphasised(content_paths(found, wrappers))
     if not good:
         return ""
     named = [not wrappers.issuperset(x.around) for x in found]
@@ -247,10 +299,13 @@ def main_text(page: str | None) -> str:
     whole = chosen is not None and any(tags[e] == "article" for e in (chosen, *next(x.above for x in found if chosen in x.above)) if e <= chosen)
     taken = [i for i, (x, is_good) in enumerate(own) if is_good and x.text.strip() and (chosen is None or chosen in x.above)]
     first, last = (taken[0], taken[-1]) if taken else (0, len(own))
+    others = beside(own, tags, chosen) if whole and chosen is not None else set()
     blocks: dict[int, list[str]] = defaultdict(list)
     for i, (leaf, is_good) in enumerate(own):
         if chosen is not None and chosen not in leaf.above:
             continue
+        if not others.isdisjoint(leaf.above):
+            continue
         if not is_good:
             if named[i]:
                 continue

@@ -303,3 +303,35 @@ def test_ratios_by_hand():
     found, _ = html_text.leaves(page)
     got = html_text.content_paths(found, set())
     assert {p: round(v, 6) for (p, _), v in got.items()} == {p: round(v, 6) for p, v in zip(paths, fused) if v >= bound}
+
+
+LONG = "<p>A long paragraph of the article, with commas, clauses, and a full stop; it goes on for a while, as they do, to tell the reader what there is to be told.</p>" * 4
+
+
+@pytest.mark.parametrize("name", ["discussion", "reactions", "c-42"])
+def test_reader_comments_without_a_known_name(name):
+    said = "".join(f"<div class=x><p>{who}</p><p>{text}</p></div>" for who, text in (("Ann", "Great article, thanks!"), ("Bob", "I agree."), ("Eve", "Me too, well put.")))
+    page = f"<body><article><h1>Title</h1>{LONG}<ul><li>one item<li>two</ul><p>The end.</p><section class={name}><h2>Comments</h2>{said}</section></article></body>"
+    text = html_text.main_text(page)
+    assert text.split("\n")[-3:] == ["one item", "two", "The end."] and text.count("long paragraph") == 4
+    short = f"<body><article><h1>Title</h1>{LONG}<section class={name}><h2>Comments</h2><p>Great article, thanks!</p></section></article></body>"
+    assert html_text.main_text(short).count("\n") == 4
+
+
+def test_links_inside_the_article():
+    links = "".join(f"<li><a href={i}>Another story number {i}</a></li>" for i in range(4))
+    text = html_text.main_text(f"<body><article><h1>Title</h1>{LONG}<ul class=more>{links}</ul>{LONG}</article></body>")
+    assert text.count("long paragraph") == 8 and "Another story" not in text
+
+
+def test_named_paragraphs_of_the_article():
+    page = f"<body><article>{LONG}<p class='share-of-voice'>Their share of voice grew.</p><p class='share'>Tell your friends</p><p class='cookie-notice'>We use cookies.</p>{LONG}</article></body>"
+    text = html_text.main_text(page)
+    assert "Their share of voice grew." in text and "friends" not in text and "cookies" not in text
+
+
+def test_plain_paragraphs_after_emphasised_ones():
+    long = LONG.replace("<p>", "<p><b>").replace("</p>", "</b></p>")
+    for tag in ("div", "article"):
+        text = html_text.main_text(f"<body><nav>Home</nav><{tag}><h1>Title of it</h1>{long}<p>Of, edti oner.</p></{tag}><footer>(c)</footer></body>")
+        assert text.split("\n")[-1] == "Of, edti oner." and text.count("long paragraph") == 4
