@@ -335,3 +335,16 @@ def test_plain_paragraphs_after_emphasised_ones():
     for tag in ("div", "article"):
         text = html_text.main_text(f"<body><nav>Home</nav><{tag}><h1>Title of it</h1>{long}<p>Of, edti oner.</p></{tag}><footer>(c)</footer></body>")
         assert text.split("\n")[-1] == "Of, edti oner." and text.count("long paragraph") == 4
+
+
+@pytest.mark.parametrize("runs", [[80, 87, 94, 101, 108, 115], [400, 80, 60, 700, 55], [50, 1000, 50, 120, 51, 999]])
+def test_runs_of_one_repeated_word(spark, runs):
+    """Each word that stands in 50 equal words of an earlier document is covered, and no other."""
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(30)] + ["word"] * n + [f"z{i}x{k}" for k in range(30)])) for i, n in enumerate(runs)]
+    found = substring_dup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {i: set() for i in range(len(runs))}
+    for r in found:
+        assert r["first_doc_id"] < r["doc_id"]
+        covered[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    for i, n in enumerate(runs):
+        assert covered[i] == (set(range(30, 30 + n)) if i else set()), (i, n, min(covered[i], default=None), max(covered[i], default=None))
