@@ -291,6 +291,65 @@ def pitch_class_profile(peaks: DataFrame, reference: float = 440.0, classes: int
     return sums.withColumn("v", F.try_divide("v", F.max("v").over(Window.partitionBy("series_id", "frame"))))
 
 
+def harmonic_weights(per_octave: int, decay: float = 0.6, tolerance: float = 2 / 3, octaves: int = 4) -> list[tuple[int, float]]:
+    """Offsets in pitch bins at which a ratio of frequencies lies near a whole number, within `tolerance` semitones of 1, and its weight: a squared cosine of the distance times decay^(number - 1);
+    the sum is 1."""
+    reach, found = 2 ** (tolerance / 12), []
+    for off in range(-octaves * per_octave, octaves * per_octave + 1):
+        ratio = 2 ** (off / per_octave)
+        number = round(ratio)
+        share = abs(ratio - number) / math.log(reach)
+        if number > 0 and share < 1:
+            found.append((off, math.cos(share * math.pi / 2) ** 2 * decay ** (number - 1)))
+    total = sum(w for _, w in found)
+    return [(off, w / total) for off, w in found]
+
+
+def harmonic_profile(
+    spectrum: DataFrame, width: int, rate: float, lowest: float = 100.0, highest: float = 5000.0, floor_db: float = 80.0, local_db: float = 30.0, per_octave: int = 12,
+    whitening: float | None = 1 / 3, decay: float = 0.6, tolerance: float = 2 / 3, norm: bool = False, threshold: float = 0.0,
+) -> DataFrame:
+    """Harmonic pitch class profile of a spectrum (series_id, frame, bin, mag): series_id, frame, pitch (0 to per_octave - 1), v.
+
+    Bins between the two frequencies are taken in decibels above floor_db below the series' largest; what lies more than local_db below the frame's largest counts as nothing (if local_db is the
+    smaller). Local maxima, placed between bins by a parabola, are summed on pitch bins (MIDI, per_octave to an octave) at linear magnitude; the mean over `whitening` of an octave around is
+    taken off; each bin gives to those at near whole ratios (harmonic_weights); octaves are summed, without the series' highest, which is cut anywhere.
+
+    norm: less the frame's smallest class, over its largest, and what is not above `threshold` is nothing. Frames without a peak have no rows; a frame with one has all its classes; null and zero
+    magnitudes are no peaks. Only sums by frame and the series' two extremes are shuffled."""
+    hz = F.col("bin") * (rate / width)
+    rows = spectrum.where((hz > lowest) & (hz < highest)).select("series_id", "frame", "bin", F.when(F.col("mag") > 0, 20 * F.log10("mag")).alias("_db"))
+    tops = rows.groupBy("series_id").agg(F.max("_db").alias("_top"))
+    frame = Window.partitionBy("series_id", "frame")
+    rows = rows.join(tops, "series_id").withColumn("_x", F.greatest(F.coalesce(F.col("_db") - F.col("_top") + floor_db, F.lit(0.0)), F.lit(0.0)))
+    if local_db < floor_db:
+        rows = rows.withColumn("_x", F.when(F.col("_x") >= F.max("_x").over(frame) - local_db, F.col("_x")).otherwise(0.0))
+    shift, height = parabolic_peak("_x", frame.orderBy("bin"))
+    peaks = rows.withColumns({"_shift": shift, "_height": height, "_peak": is_peak("_x", frame.orderBy("bin"))}).where("_peak")
+    midi = 69 + 12 * F.log2((F.col("bin") + F.col("_shift")) * (rate / width) / 440)
+    place = (midi * (per_octave / 12)).cast("int")
+    profile = peaks.groupBy("series_id", "frame", place.alias("_p")).agg(F.sum(F.pow(F.lit(10.0), (F.col("_height") - floor_db) / 20)).alias("_v"))
+    highest_octave = F.floor(F.max("_p").over(Window.partitionBy("series_id")) / per_octave) * per_octave
+    profile = profile.withColumn("_end", highest_octave)
+    span = int(per_octave * whitening) if whitening else 0
+    if span:
+        near = frame.orderBy("_p").rangeBetween(-(span // 2), (span - 1) // 2)
+        profile = profile.withColumn("_v", F.greatest(F.col("_v") - F.sum("_v").over(near) / span, F.lit(0.0)))
+    given = F.array(*[F.struct(F.lit(off).alias("off"), F.lit(w).alias("w")) for off, w in harmonic_weights(per_octave, decay, tolerance)])
+    parts = profile.select("series_id", "frame", "_p", "_v", "_end", F.explode(given).alias("_g")).withColumn("_to", F.col("_p") + F.col("_g.off"))
+    share = F.when((F.col("_to") >= 0) & (F.col("_to") < F.col("_end")), F.col("_v") * F.col("_g.w"))
+    classes = [F.coalesce(F.sum(F.when(F.pmod(F.col("_to"), F.lit(per_octave)) == c, share)), F.lit(0.0)).alias(f"_{c}") for c in range(per_octave)]
+    wide = parts.groupBy("series_id", "frame").agg(F.array(*classes).alias("_c"))
+    if norm:
+        low = F.array_min("_c")
+        wide = wide.withColumn("_c", F.transform("_c", lambda v: v - low)).where(F.array_max("_c") > 0)
+        top = F.array_max("_c")
+        wide = wide.withColumn("_c", F.transform("_c", lambda v: v / top))
+        if threshold > 0:
+            wide = wide.withColumn("_c", F.transform("_c", lambda v: F.when(v > threshold, (1 - threshold) * (v - threshold)).otherwise(0.0)))
+    return wide.select("series_id", "frame", F.posexplode("_c").alias("pitch", "v"))
+
+
 def banded_onsets(series: DataFrame, width: int, hop: int, rate: float, cuts: tuple[float, float]) -> DataFrame:
     """series_id, band, t, v: onset strength of the whole signal and of what lies below, between and above two cut-offs."""
     low, high = cuts

@@ -262,6 +262,28 @@ def x10(spark, d):
     return rows.select("series_id", F.col("frame").cast("long").alias("frame"), "pitch", F.round("v", 5).alias("v"))
 
 
+HARMONIC = f"""{COUNTS}, fr AS (SELECT series_id, frame, k, ((frame * 4 + k - 16) % (2 * n - 2) + 2 * n - 2) % (2 * n - 2) AS m, n FROM (SELECT series_id, n, unnest(range(greatest(n // 4, 1))) AS frame FROM n), range(32) AS r(k)),
+ff AS (SELECT fr.series_id, frame, k, v * (0.5 - 0.5 * cos(2 * pi() * k / 32)) AS v FROM fr JOIN s ON s.series_id = fr.series_id AND s.t = least(m, 2 * n - 2 - m)),
+sp AS (SELECT series_id, frame, b AS bin, round(sqrt(pow(sum(v * cos(2 * pi() * k * b / 32)), 2) + pow(sum(v * sin(2 * pi() * k * b / 32)), 2)), 9) AS mag FROM ff, range(17) AS q(b) GROUP BY 1, 2, 3),
+db AS (SELECT series_id, frame, bin, CASE WHEN mag > 0 THEN 20 * log10(mag) END AS db FROM sp WHERE bin * 250 > 100 AND bin * 250 < 5000),
+gl AS (SELECT series_id, frame, bin, greatest(coalesce(db - max(db) OVER (PARTITION BY series_id) + 80, 0), 0) AS x FROM db),
+lo AS (SELECT series_id, frame, bin, CASE WHEN x >= max(x) OVER (PARTITION BY series_id, frame) - 30 THEN x ELSE 0 END AS x FROM gl),
+nb AS (SELECT *, lag(x) OVER o AS a, lead(x) OVER o AS c FROM lo WINDOW o AS (PARTITION BY series_id, frame ORDER BY bin)),
+pk AS (SELECT series_id, frame, 69 + 12 * log2((bin + 0.5 * (a - c) / (a - 2 * x + c)) * 250.0 / 440) AS midi, x - 0.125 * pow(a - c, 2) / (a - 2 * x + c) AS h FROM nb WHERE x > a AND x > c),
+pp AS (SELECT series_id, frame, trunc(midi)::INT AS p, sum(pow(10, (h - 80) / 20)) AS v FROM pk GROUP BY 1, 2, 3),
+wh AS (SELECT series_id, frame, p, floor(max(p) OVER (PARTITION BY series_id) / 12) * 12 AS e, greatest(v - sum(v) OVER (PARTITION BY series_id, frame ORDER BY p RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4, 0) AS v FROM pp),
+hk AS (SELECT o, pow(2, o / 12.0) AS f, round(pow(2, o / 12.0)) AS n FROM range(-48, 49) AS r(o)),
+hw AS (SELECT o, pow(cos(abs(f - n) / (ln(2) / 18) * pi() / 2), 2) * pow(0.6, n - 1) AS w FROM hk WHERE n > 0 AND abs(f - n) < ln(2) / 18),
+hp AS (SELECT series_id, frame, p + o AS q, e, v * w / (SELECT sum(w) FROM hw) AS v FROM wh, hw),
+hc AS (SELECT series_id, frame, c AS pitch, coalesce(sum(CASE WHEN q >= 0 AND q < e AND q % 12 = c THEN v END), 0) AS v FROM hp, range(12) AS r(c) GROUP BY 1, 2, 3)"""
+
+
+@query("x10_harmonic_profile", f"WITH {SERIES}, {HARMONIC} SELECT series_id, frame, pitch, round(v, 6) + 0.0 AS v FROM hc")
+def x10b(spark, d):
+    rows = X.stft(X.frames(S.events_series(spark, d), 32, 4), 32).withColumn("mag", F.round("mag", 9))
+    return X.harmonic_profile(rows, 32, 8000.0).select("series_id", F.col("frame").cast("long").alias("frame"), F.col("pitch").cast("long").alias("pitch"), r6(F.col("v")).alias("v"))
+
+
 @query("x11_banded_onsets")
 def x11(spark, d):
     return X.banded_onsets(S.events_series(spark, d), 8, 4, 24.0, (2.0, 6.0))

@@ -562,3 +562,61 @@ def test_pooled_measures_are_those_of_joined_features(spark):
     for name, value in whole.items():
         assert pooled[name] is None if value is None else pooled[name] == pytest.approx(value, rel=1e-6, abs=1e-9), name
     assert sum(v is not None for v in whole.values()) > 3
+
+
+def dense_profile(mag, rate, width, norm):
+    """The harmonic profile of one series with whole tables of bins, by plain loops."""
+    hz = np.arange(mag.shape[1]) * rate / width
+    kept = np.flatnonzero((hz > 100) & (hz < 5000))
+    db = 20 * np.log10(mag[:, kept])
+    x = np.maximum(db - db.max() + 80, 0)
+    x = np.where(x >= x.max(axis=1, keepdims=True) - 30, x, 0)
+    found = []
+    for f, row in enumerate(x):
+        for b in range(1, len(row) - 1):
+            a, m, c = row[b - 1 : b + 2]
+            if m > a and m > c:
+                d = (a - c) / 2 / (a - 2 * m + c)
+                found.append((f, int(69 + 12 * np.log2((kept[b] + d) * rate / width / 440)), 10 ** ((m - d * (a - c) / 4 - 80) / 20)))
+    bins = max(p for _, p, _ in found) + 1
+    pitch = np.zeros((len(mag), bins))
+    for f, p, v in found:
+        pitch[f, p] += v
+    white = np.array([[max(row[i] - row[max(i - 2, 0) : i + 2].sum() / 4, 0) for i in range(bins)] for row in pitch])
+    weight = {}
+    for off in range(-48, 49):
+        ratio = 2 ** (off / 12)
+        near, limit = round(ratio), np.log(2 ** (1 / 18))
+        if near and abs(ratio - near) < limit:
+            weight[off] = np.cos(abs(ratio - near) / limit * np.pi / 2) ** 2 * 0.6 ** (near - 1)
+    out = np.zeros((len(mag), 12))
+    for p in range((bins - 1) // 12 * 12):
+        for off, w in weight.items():
+            if 0 <= p - off < bins:
+                out[:, p % 12] += w / sum(weight.values()) * white[:, p - off]
+    out = out[sorted({f for f, _, _ in found})]
+    if norm:
+        out = out - out.min(axis=1, keepdims=True)
+        out = out[out.max(axis=1) > 0]
+        out = out / out.max(axis=1, keepdims=True)
+        out = np.where(out > 0.1, 0.9 * (out - 0.1), 0)
+    return out
+
+
+@pytest.mark.parametrize("norm", [False, True])
+def test_harmonic_profile(spark, norm):
+    """Chords of harmonic tones in noise; a silent series has no rows."""
+    draw, rate, width = np.random.default_rng(5), 8000.0, 256
+    chords = [(262, 330, 392), (220, 262, 330), (294, 370, 440)]
+    mags = {}
+    for sid, chord in enumerate(chords):
+        t = np.arange(6 * width) / rate
+        v = sum(0.6**h * np.sin(2 * np.pi * f * (h + 1) * t) for f in chord for h in range(4)) + 0.01 * draw.normal(size=len(t))
+        mags[sid] = np.abs(np.fft.rfft(v.reshape(6, width) * np.hanning(width), axis=1))
+    rows = [(s, f, b, float(v)) for s, m in mags.items() for f, row in enumerate(m) for b, v in enumerate(row)] + [(9, 0, b, 0.0) for b in range(129)]
+    spectrum = spark.createDataFrame(rows, "series_id long, frame int, bin int, mag double")
+    got = X.harmonic_profile(spectrum, width, rate, norm=norm, threshold=0.1 if norm else 0.0).collect()
+    assert {r["series_id"] for r in got} == set(mags)
+    for sid, m in mags.items():
+        mine = sorted((r["frame"], r["pitch"], r["v"]) for r in got if r["series_id"] == sid)
+        assert np.allclose(np.array([v for _, _, v in mine]).reshape(-1, 12), dense_profile(m, rate, width, norm), atol=1e-9)
