@@ -33,6 +33,9 @@ LONGEST = 4
 SHARD = 1 << 24
 CHUNK = 1 << 22
 RANGE = 1 << 19
+#: n-grams permuted or looked up at once, and leading bits by which those of a shard are sorted apart (at most those that name a range).
+BLOCK = 1 << 17
+SLICE = 4
 _ENDS = b".,;:!?\n\v\f\r"
 #: Lower case, and one mark for all ends of pieces.
 _PLAIN = bytes.maketrans(bytes(range(65, 91)) + _ENDS, bytes(range(97, 123)) + b"\n" * len(_ENDS))
@@ -163,10 +166,21 @@ def decoded(data: bytes, k: int, n: int, number: int, bits: int) -> tuple[list[n
 FILTER = "shard long, lang string, k int, number long, n long, data binary"
 
 
-def filters(shard: int, lang: str, grams: list[np.ndarray], bits: int) -> pd.DataFrame:
-    """Rows of FILTER for the n-grams (columns of ids) of a shard."""
-    columns, counts = summed(permuted(grams), np.ones(len(grams[0]), np.int64))
-    rows = [(shard, lang, len(grams), number, n, data) for number, n, data in encoded(columns, counts, bits)]
+def filters(shard: int, lang: str, seen: np.ndarray, starts: np.ndarray, k: int, bits: int) -> pd.DataFrame:
+    """Rows of FILTER for the n-grams of a shard: the k ids of `seen` from each of `starts` on. n-grams are permuted in blocks, and sorted and
+    encoded for one value of their leading SLICE bits at a time, so that a task holds their ids once and little else."""
+    held, rows = [[] for _ in range(1 << SLICE)], []
+    for at in range(0, len(starts), BLOCK):
+        columns = np.stack(permuted([seen[starts[at : at + BLOCK] + np.int64(i)] for i in range(k)]))
+        of = columns[0] >> np.uint32(32 - SLICE)
+        order = np.argsort(of, kind="stable")
+        for part, own in zip(held, np.split(columns[:, order], np.searchsorted(of[order], np.arange(1, 1 << SLICE)), axis=1)):
+            part.append(own)
+    for i, part in enumerate(held):
+        held[i] = None
+        if part:
+            columns, counts = summed(list(np.concatenate(part, axis=1)), np.ones(sum(own.shape[1] for own in part), np.int64))
+            rows += [(shard, lang, k, number, n, data) for number, n, data in encoded(columns, counts, bits)]
     return pd.DataFrame(rows, columns=["shard", "lang", "k", "number", "n", "data"])
 
 
@@ -194,7 +208,7 @@ def merged(parts: DataFrame, bits: int, least: int, back: bool) -> DataFrame:
 
 def _bits(entries: int) -> int:
     """Leading bits that name a range of filters."""
-    return min(max((max(entries, 1) // RANGE).bit_length(), 4), 24)
+    return min(max((max(entries, 1) // RANGE).bit_length(), SLICE), 24)
 
 
 def counted(docs: DataFrame, text: str, lang: str, least: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -220,9 +234,9 @@ def counted(docs: DataFrame, text: str, lang: str, least: int, limit: int) -> tu
         to[ids["local"].to_numpy()] = ids["id"].to_numpy()
         seen = to[local]
         shard, language = texts["shard"][0], texts["lang"][0]
-        on = (seen[:-1] > 0) & (seen[1:] > 0)
+        starts = np.flatnonzero((seen[:-1] > 0) & (seen[1:] > 0)).astype(np.uint32)
         whole = pd.DataFrame([(shard, language, 0, 0, len(seen), seen.tobytes())], columns=["shard", "lang", "k", "number", "n", "data"])
-        return pd.concat([whole, filters(shard, language, [seen[:-1][on], seen[1:][on]], bits)])
+        return pd.concat([whole, filters(shard, language, seen, starts, 2, bits)])
 
     by = ["shard", "lang"]
     first = stage(read.select(*by, "seen").groupBy(*by).cogroup(named.groupBy("of", "in")).applyInPandas(pairs, FILTER), "pairs")
@@ -234,15 +248,15 @@ def counted(docs: DataFrame, text: str, lang: str, least: int, limit: int) -> tu
         seen = np.frombuffer(texts["data"][0], np.uint32)
         known = np.sort(np.concatenate([ordered(decoded(data, 2, n, number, bits)[0])[0] for data, n, number in zip(own["data"], own["n"], own["number"])]))
         at = np.flatnonzero((seen[:-1] > 0) & (seen[1:] > 0))
-        keys = ordered(permuted([seen[at], seen[at + 1]]))[0]
-        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         frequent = np.zeros(len(seen) + LONGEST, bool)
-        frequent[at] = known[place] == keys
+        for i in range(0, len(at), BLOCK):
+            some = at[i : i + BLOCK]
+            keys = ordered(permuted([seen[some], seen[some + 1]]))[0]
+            frequent[some] = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
         run, out = frequent.copy(), []
         for k in range(3, LONGEST + 1):
             run = run[:-1] & frequent[k - 2 : k - 2 + len(run) - 1]
-            starts = np.flatnonzero(run)
-            out.append(filters(texts["shard"][0], texts["lang"][0], [seen[starts + i] for i in range(k)], bits))
+            out.append(filters(texts["shard"][0], texts["lang"][0], seen, np.flatnonzero(run).astype(np.uint32), k, bits))
         return pd.concat(out)
 
     own = two.where("ids is null").select(*by, "number", "n", "data")

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -112,3 +113,14 @@ def test_a_filter_is_smaller_than_its_entries():
     grams = C.permuted([np.arange(1, 60_001, dtype=np.uint32), np.arange(1, 60_001, dtype=np.uint32)])
     columns, counts = C.summed(grams, np.ones(60_000, np.int64))
     assert sum(len(data) for _, _, data in C.encoded(columns, counts, 4)) < 60_000 * 8.5  # 9 and more as pairs of ids with a count
+
+
+def test_memory_of_a_shards_filters():
+    """A shard's phrases take their ids (16 bytes each) and the filters' bytes, and not several sorted copies of all."""
+    seen = np.random.default_rng(3).integers(1, 3000, 600_000).astype(np.uint32)
+    starts = np.arange(len(seen) - 4, dtype=np.uint32)
+    tracemalloc.start()
+    rows = C.filters(0, "en", seen, starts, 4, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows["n"].sum() == len(starts) and peak < 45 * len(starts), peak / len(starts)
