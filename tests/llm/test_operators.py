@@ -335,6 +335,19 @@ def test_equal_passages_of_one_template(spark):
     assert {(1000 + (i * 7) % 300, i) for i in range(300)} <= whole
 
 
+def test_similar_passages_in_large_groups(spark):
+    """Two passages with one word changed in the middle, all of whose shingles stand in a crowd of earlier, unlike passages too."""
+    form, rows, draw = prose(41, 60).split(), [], random.Random(5)
+    text = lambda j, words: (j, f"{prose(5000 + j, 20)} {' '.join(words)} {prose(7000 + j, 20)}", "en", "a")
+    for i in range(60):
+        changed = {draw.randint(5, 12), draw.randint(18, 26), draw.randint(30, 38), draw.randint(44, 52)}
+        rows.append(text(i, [f"{w}{i}" if k in changed else w for k, w in enumerate(form)]))
+    rows += [text(100, form), text(101, [*form[:30], "changed", *form[31:]]), text(102, [*form[:26], "other", *form[27:]])]
+    found = {(r["doc_id"], r["first_doc_id"]): (r["start_word"], r["end_word"]) for r in substring_dup.repeats(documents(spark, rows)).collect()}
+    assert {(101, 100), (102, 100)} <= set(found)
+    assert all(found[d, 100][0] <= 20 and found[d, 100][1] >= 80 for d in (101, 102))
+
+
 def test_html():
     page = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header><a href=/>Site</a></header><nav><ul><li>Home</ul></nav>
     <div class="cookie-notice">We use cookies, friend.</div><article><h1>Head&eacute;r  one</h1><p>First paragraph, with <b>bold</b> text<br>and a break.<p>Second&nbsp;one &lt;x&gt;.</p>
