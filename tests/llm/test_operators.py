@@ -335,6 +335,45 @@ def test_equal_passages_of_one_template(spark):
     assert {(1000 + (i * 7) % 300, i) for i in range(300)} <= whole
 
 
+def test_windows_of_many_texts_at_once():
+    """Windows between places that hold 0 are those of each stretch by itself."""
+    import numpy as np
+
+    draw = np.random.default_rng(12)
+    hashes = draw.integers(1, 60, 2000).astype(np.uint64)
+    ends = np.sort(draw.choice(2000, 25, replace=False))
+    hashes[ends] = 0
+    found = set(zip(*(x.tolist() for x in substring_dup.windows_between(hashes, 10))))
+    own = set()
+    for lo, hi in zip([0, *(ends + 1)], [*ends, 2000]):
+        for i in range(lo, hi):
+            for j in range(i + 9, hi):
+                centre = i + int(hashes[i : j + 1].argmin())
+                own.add((i, centre, j))
+    assert all(sum(a <= i and j <= b and c == centre for a, c, b in found) == 1 for i, centre, j in draw.permutation(sorted(own))[:1500].tolist())
+    assert found <= own
+
+
+def test_pairs_of_repeated_words_without_a_passage_are_told_apart():
+    """Texts of words that are each repeated 30 times, with an order of their own, share runs of 20 words and no passage: told by their outlines. No pair with a passage is left out."""
+    import numpy as np
+
+    draw, texts = random.Random(3), []
+    words = [f"w{k}" for k in range(12)]
+    for _ in range(40):
+        own = [w for w in draw.sample(words, 8) for _ in range(30)]
+        texts.append(five_words(own if draw.random() < 0.7 else [*own, *["long"] * draw.choice([45, 60])]))
+    texts += [five_words(prose(90, 120).split()), five_words([*prose(91, 20).split(), *prose(90, 120).split()[:70]])]
+    pairs = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :]]
+    may = substring_dup.plausible([substring_dup.outline(a) for a, _ in pairs], [substring_dup.outline(b) for _, b in pairs])
+    held = []
+    for a, b in pairs:
+        xs, ys = np.nonzero(a[:, None] == b[None, :])
+        held.append(bool(len(xs)) and bool(substring_dup.passages(a, b, xs[::7], ys[::7])))
+    assert 10 < sum(held) <= sum(may) < len(pairs) / 2
+    assert all(m for m, h in zip(may.tolist(), held) if h)
+
+
 def test_similar_passages_in_large_groups(spark):
     """Two passages with one word changed in the middle, all of whose shingles stand in a crowd of earlier, unlike passages too."""
     form, rows, draw = prose(41, 60).split(), [], random.Random(5)
