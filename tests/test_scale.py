@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza.operators import neighbours as N
 from cadenza.operators import segments as C
 from cadenza.operators import spectra as X
 from cadenza.operators import windows as W
@@ -79,3 +80,34 @@ def test_spectra_of_medians_join_nothing_generated(spark):
     segments = settled(spark.createDataFrame([(1, 2, t, t % 2) for t in range(5)], "series_id long, k int, t long, label int"))
     spread = C.stretched(segments, settled(spark.createDataFrame([(1, 12), (2, 3)], "series_id long, n long")))
     assert not made_and_broadcast(spread) and [(r["t"], r["label"]) for r in spread.orderBy("t").collect()] == [(f, f * 5 // 12 % 2) for f in range(12)]
+
+
+@pytest.mark.parametrize("direct", [0, 40, 256])
+def test_neighbours_by_cells_and_at_once(spark, monkeypatch, direct):
+    """Ties, copies, small numbers far from zero; series with and without cells; blocks of few points."""
+    monkeypatch.setattr(N, "PART", 16)
+    monkeypatch.setattr(N, "DIRECT", direct)
+    draw = np.random.default_rng(4)
+    points = [(s, u, np.round(1000 + draw.normal(size=2), 1 + s % 3)) for s, n in {1: 90, 2: 30, 3: 1, 4: 70}.items() for u in range(n)] + [(5, u, np.zeros(2)) for u in range(50)]
+    queries = [(s, u, y, 1 + u % 9) for s, u, y in points if u % 2 == 0]
+    rows = spark.createDataFrame([(s, t, x.tolist(), k) for s, t, x, k in queries], "series_id long, t long, x array<double>, k int")
+    held = spark.createDataFrame([(s, u, y.tolist()) for s, u, y in points], "series_id long, u long, y array<double>")
+    key = F.struct("series_id", F.lit("a").alias("name")).alias("series_id")
+    got = {}
+    for r in N.k_nearest(rows.select(key, "t", "x", "k"), held.select(key, "u", "y"), most=8).collect():
+        got.setdefault((r["series_id"]["series_id"], r["t"]), []).append((r["rank"], r["u"], r["d"]))
+    for s, t, x, k in queries:
+        far = sorted((round(float(np.sqrt(((x - y) ** 2).sum())), 9), u) for p, u, y in points if p == s)[:k]
+        assert [(u, d) for _, u, d in sorted(got[s, t])] == [(u, d) for d, u in far]
+
+
+def test_queries_go_to_blocks_not_to_cells(spark, monkeypatch):
+    """Without structure a query meets all cells: its vector is sent once a block, not once a cell."""
+    monkeypatch.setattr(N, "DIRECT", 0)
+    draw = np.random.default_rng(5)
+    points = [(1, u, draw.normal(size=24).tolist()) for u in range(600)]
+    rows = spark.createDataFrame([(s, t, x, 3) for s, t, x in points], "series_id long, t long, x array<double>, k int")
+    cells = N.Cells(spark.createDataFrame(points, "series_id long, u long, y array<double>"))
+    assert cells.pivots.count() > 40
+    wanted = cells.within(rows.withColumn("reach", F.lit(100.0))).union(cells.first(rows))
+    assert wanted.count() <= 2 * len(points) and {r["n"] for r in wanted.groupBy("t").agg(F.sum("n").alias("n")).collect()} == {600}
