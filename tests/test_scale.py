@@ -111,3 +111,23 @@ def test_queries_go_to_blocks_not_to_cells(spark, monkeypatch):
     assert cells.pivots.count() > 40
     wanted = cells.within(rows.withColumn("reach", F.lit(100.0))).union(cells.first(rows))
     assert wanted.count() <= 2 * len(points) and {r["n"] for r in wanted.groupBy("t").agg(F.sum("n").alias("n")).collect()} == {600}
+
+
+def test_diagonals_are_not_laid_out(spark, monkeypatch):
+    """Medians along diagonals come from the links near a cell: no cell without one is made."""
+    monkeypatch.setattr(C, "TOGETHER", 50)
+    draw = np.random.default_rng(6)
+    sizes, rows, want = {1: 1, 2: 3, 3: 12, 4: 40}, [], {}
+    for s, n in sizes.items():
+        full = np.where(draw.random((n, n)) < 0.7, draw.random((n, n)), 0.0)
+        rows += [(s, i, j, float(full[i, j])) for i, j in zip(*np.nonzero(full))]
+        for lag in range(1 - n, n):
+            at = lambda j: float(full[j + lag, j]) if 0 <= j + lag < n else 0.0  # noqa: B023, E731
+            for j in range(n):
+                period = max(2 * n - 2, 1)
+                mid = sorted(at(min((j + o) % period, period - (j + o) % period)) for o in range(-3, 4))[3]
+                if mid > 0 and 0 <= j + lag < n:
+                    want[s, j + lag, j] = mid
+    found = C.timelag_median(spark.createDataFrame([(int(s), int(i), int(j), w) for s, i, j, w in rows], "series_id long, i long, j long, w double"), spark.createDataFrame(list(sizes.items()), "series_id long, n long"))
+    assert {(r["series_id"], r["i"], r["j"]): r["w"] for r in found.collect()} == want
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
