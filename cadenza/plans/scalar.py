@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as N
 from cadenza.operators import rows as R
+from cadenza.operators.neighbours import nearest_pairs
 from cadenza.plans._register import SERIES, VECTORS, query, r6
 from cadenza.sources import tables as S
 
@@ -191,7 +192,6 @@ def k8(spark, d):
 @query("k7_nearest_pairs", f"WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS other, round(list_distance(a.x, b.x), 9) AS d FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS k FROM p) SELECT vec_id, k AS rank, other, round(d, 5) AS d FROM r WHERE k <= 3")
 def k7(spark, d):
     rows = S.table(spark, d, "embeddings")
-    left, right = rows.select("label", "vec_id", F.col("embedding").alias("x")), rows.select("label", F.col("vec_id").alias("other"), F.col("embedding").alias("y"))
-    gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v))
-    pairs = left.join(right, "label").where("vec_id <> other").select("vec_id", "other", F.round(gap, 9).alias("d"))
+    left, right = rows.select(F.col("label").alias("series_id"), "vec_id", F.col("embedding").alias("x")), rows.select(F.col("label").alias("series_id"), F.col("vec_id").alias("other"), F.col("embedding").alias("y"))
+    pairs = nearest_pairs(left, right, ("vec_id", "other"), 3).select("vec_id", "other", "d")
     return R.top_rows(pairs, ["vec_id"], ["d", "other"], 3).select("vec_id", F.col("rank").cast("long").alias("rank"), "other", F.round("d", 5).alias("d"))
