@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.groups import t_statistic
 from cadenza.operators.measures import mutual_information
-from cadenza.operators.neighbours import k_nearest
+from cadenza.operators.neighbours import blocks, each_slice, k_nearest, least_of, stacked
 from cadenza.operators.ranks import placed
 from cadenza.sources.tables import lcg, settled, uniform
 
@@ -219,32 +219,70 @@ def knn_entropy(df: DataFrame, channels: int) -> DataFrame:
 def info_nce(df: DataFrame, temperature: float = 0.07) -> DataFrame:
     """Contrastive loss of two aligned vectors (series_id, t, x, y): each x against all y of its series, its own
     y being the positive; the log-sum is stable."""
-    a = df.select("series_id", "t", "x")
-    b = df.select("series_id", F.col("t").alias("u"), "y")
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v) / temperature
-    rows = a.join(b, "series_id").withColumn("s", dot)
-    top = rows.groupBy("series_id", "t").agg(F.max("s").alias("top"), F.max(F.when(F.col("t") == F.col("u"), F.col("s"))).alias("own"))
-    logs = rows.join(top, ["series_id", "t"]).groupBy("series_id", "t", "top", "own").agg(F.sum(F.exp(F.col("s") - F.col("top"))).alias("z"))
-    return logs.groupBy("series_id").agg(F.avg(F.col("top") + F.ln("z") - F.col("own")).alias("loss"))
+    kinds = [df.schema[c].dataType.simpleString() for c in ("series_id", "t")]
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda v: v.isNull())
+
+    def run(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        x, y, out = stacked(rows["x"]), stacked(others["y"]), []
+        t, u = rows["t"].to_numpy(), others["u"].to_numpy()
+        for at in range(0, len(x), 512):
+            s = x[at : at + 512] @ y.T / temperature
+            top = s.max(axis=1)
+            own = np.where(t[at : at + 512, None] == u, s, -np.inf).max(axis=1)
+            out.append(pd.DataFrame({"t": t[at : at + 512], "top": top, "own": own, "z": np.exp(s - top[:, None]).sum(axis=1)}))
+        return pd.concat(out).assign(series_id=rows["series_id"].iloc[0])[["series_id", "t", "top", "own", "z"]]
+
+    a, b = df.where(whole("x")).select("series_id", "t", "x"), df.where(whole("y")).select("series_id", F.col("t").alias("u"), "y")
+    parts = blocks(a, b, ("t", "u"), run, f"series_id {kinds[0]}, t {kinds[1]}, top double, own double, z double")
+    logs = parts.groupBy("series_id", "t").agg(F.max("top").alias("top"), F.max("own").alias("own"), F.collect_list(F.struct("top", "z")).alias("_z"))
+    total = F.aggregate("_z", F.lit(0.0), lambda s, p: s + p["z"] * F.exp(p["top"] - F.col("top")))
+    own = F.when(F.col("own") > float("-inf"), F.col("own"))
+    return logs.groupBy("series_id").agg(F.avg(F.col("top") + F.ln(total) - own).alias("loss"))
 
 
 def sample_quality(df: DataFrame, side: str, k: int) -> DataFrame:
     """Precision, recall, density and coverage of generated (side 1) against real (side 0) vectors (series_id, side, t, x), from the distances to the k-th
     nearest of the own side: the share of generated vectors within a real one's radius, the share of real ones within a generated one's, the mean number of real radii
     that hold a generated vector over k, and the share of real radii that hold one. All pairs within a series: for bounded series."""
-    a = df.select("series_id", F.col(side).alias("sa"), F.col("t").alias("ta"), F.col("x").alias("xa"))
-    b = df.select("series_id", F.col(side).alias("sb"), F.col("t").alias("tb"), F.col("x").alias("xb"))
-    gap = F.sqrt(F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.pow(p.cast("double") - q.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v))
-    pairs = a.join(b, "series_id").where("sa <> sb OR ta <> tb").select("series_id", "sa", "ta", "sb", "tb", F.round(gap, 9).alias("d"))
-    rank = F.row_number().over(Window.partitionBy("series_id", "sa", "ta").orderBy("d", "tb"))
-    radii = pairs.where("sa = sb").withColumn("_r", rank).where(F.col("_r") == k).select("series_id", "sa", "ta", F.col("d").alias("radius"))
-    held = pairs.where("sa <> sb").join(radii, ["series_id", "sa", "ta"]).withColumn("in", (F.col("d") <= F.col("radius")).cast("int"))
-    # rows: the ball of (sa, ta), and whether it holds (sb, tb)
-    generated = held.where("sa = 0").groupBy("series_id", "tb").agg(F.max("in").alias("any"), F.sum("in").alias("n"))
-    one = generated.groupBy("series_id").agg(F.avg("any").alias("precision"), (F.avg("n") / k).alias("density"))
-    two = held.where("sa = 1").groupBy("series_id", "tb").agg(F.max("in").alias("any")).groupBy("series_id").agg(F.avg("any").alias("recall"))
-    three = held.where("sa = 0").groupBy("series_id", "ta").agg(F.max("in").alias("any")).groupBy("series_id").agg(F.avg("any").alias("coverage"))
-    return one.join(two, "series_id").join(three, "series_id").select("series_id", "precision", "recall", "density", "coverage")
+    kinds = [df.schema[c].dataType.simpleString() for c in ("series_id", side, "t")]
+    points = df.where(F.col(side).isNotNull() & F.col("t").isNotNull()).select("series_id", F.col(side).alias("s"), "t", "x")
+    key, kind = F.struct("series_id", "s").alias("series_id"), f"struct<series_id:{kinds[0]},s:{kinds[1]}>"
+
+    def least(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        """The k least distances of each vector to others of its side, null ones first."""
+        y, t, u, out = stacked(others["y"]), rows["t"].to_numpy(), others["u"].to_numpy(), []
+        x = stacked(rows["x"], y.shape[1])
+        for part, far in each_slice(x, y):
+            far = np.where(np.isnan(far), -np.inf, far)
+            far[t[part][:, None] == u] = np.inf
+            i, j = least_of(far, u, k)
+            out.append(pd.DataFrame({"t": t[part][i], "d": far[i, j]}))
+        return pd.concat(out).assign(series_id=[rows["series_id"].iloc[0]] * sum(map(len, out)))[["series_id", "t", "d"]]
+
+    own = points.select(key, "t", "x")
+    near = blocks(own, own.select("series_id", F.col("t").alias("u"), F.col("x").alias("y")), ("t", "u"), least, f"series_id {kind}, t {kinds[2]}, d double")
+    radii = near.groupBy("series_id", "t").agg(F.get(F.sort_array(F.collect_list("d")), F.lit(k - 1)).alias("radius")).where(F.col("radius") > float("-inf"))
+    radii = settled(radii.select("series_id.series_id", "series_id.s", "t", "radius"))
+
+    def inside(balls: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        """Of each ball and each vector of the other side, how many of the other kind it holds, or lies in."""
+        y, radius, of, held = stacked(others["y"]), balls["radius"].to_numpy()[:, None], [], np.zeros(len(others), int)
+        for part, far in each_slice(stacked(balls["x"], y.shape[1]), y):
+            hits = far <= radius[part]
+            of.append(hits.sum(axis=1))
+            held += hits.sum(axis=0)
+        out = pd.DataFrame({"t": np.concatenate([balls["t"], others["u"]]), "ball": np.arange(len(balls) + len(others)) < len(balls), "n": np.concatenate([*of, held])})
+        return out.assign(series_id=balls["series_id"].iloc[0], s=balls["s"].iloc[0])[["series_id", "s", "t", "ball", "n"]]
+
+    given = points.where(F.col("x").isNotNull())
+    balls, out = given.join(radii, ["series_id", "s", "t"]), None
+    for one in (0, 1):
+        met = blocks(balls.where(F.col("s") == one), given.where(F.col("s") == 1 - one).select("series_id", F.col("t").alias("u"), F.col("x").alias("y")), ("t", "u"), inside, f"series_id {kinds[0]}, s int, t {kinds[2]}, ball boolean, n long")
+        out = met if out is None else out.union(met)
+    counts = out.groupBy("series_id", "s", "ball", "t").agg(F.sum("n").alias("n"), F.max((F.col("n") > 0).cast("int")).alias("any"))
+    of = lambda s, ball, c: F.avg(F.when((F.col("s") == s) & (F.col("ball") == ball), F.col(c)))
+    found = counts.groupBy("series_id").agg(of(0, False, "any").alias("precision"), of(1, False, "any").alias("recall"), (of(0, False, "n") / k).alias("density"), of(0, True, "any").alias("coverage"))
+    return found.where("precision IS NOT NULL AND recall IS NOT NULL")
 
 
 def feature_distances(left: DataFrame, right: DataFrame, projections: int, seed: int = 1) -> DataFrame:
