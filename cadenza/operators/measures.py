@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as N
 from cadenza.operators import windows as W
+from cadenza.operators.neighbours import blocks
 from cadenza.operators.ranks import placed, shares
 from cadenza.sources.tables import lcg, settled
 
@@ -276,25 +277,61 @@ def feature_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.select("series_id", "a", "b", "rv2", (F.col("s_a") + F.col("s_b")).alias("smooth"), (F.col("d_a") + F.col("d_b")).alias("spread"))
 
 
+def _products(df: DataFrame, run, schema: str, *also: str) -> DataFrame:
+    """run(series_id, i, j, products, known) for blocks of pairs of frames (series_id, t, ch, v): sums over the channels that both have of the products of their values, as a matrix, known where a
+    value is; i and j are the frames. also: columns of df with one value a series."""
+    rows = df.groupBy("series_id", "t", *also).agg(F.collect_list(F.struct("ch", F.coalesce(F.col("v"), F.lit(float("nan"))).alias("v"))).alias("x"))
+
+    def side(column: pd.Series, place: dict) -> tuple[np.ndarray, np.ndarray]:
+        value, known = np.zeros((len(column), len(place))), np.zeros((len(column), len(place)))
+        for i, cells in enumerate(column):
+            at, v = [place[c["ch"]] for c in cells], np.array([c["v"] for c in cells], float)
+            there = ~np.isnan(v)
+            np.add.at(value[i], at, np.where(there, v, 0.0))
+            np.add.at(known[i], at, there)
+        return value, known
+
+    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        place = {c: k for k, c in enumerate(dict.fromkeys(c["ch"] for column in (a["x"], b["y"]) for cells in column for c in cells))}
+        (x, p), (y, q) = side(a["x"], place), side(b["y"], place)
+        return run(a, a["t"].to_numpy(), b["u"].to_numpy(), x @ y.T, p @ q.T > 0)
+
+    return blocks(rows.where("t IS NOT NULL"), rows.where("t IS NOT NULL").select("series_id", F.col("t").alias("u"), F.col("x").alias("y")), ("t", "u"), block, schema)
+
+
 def scaled_autocorrelation(df: DataFrame) -> DataFrame:
     """series_id, i, j, a: for all pairs of frames, the sum over channels (series_id, t, ch, v) of the products of their values, each channel
-    scaled to 0..1; the sums scaled to 0..1 too. Quadratic within a series."""
-    channel, whole = Window.partitionBy("series_id", "ch"), Window.partitionBy("series_id")
+    scaled to 0..1; the sums scaled to 0..1 too. Quadratic within a series: in blocks, once for the extremes and once for the rows, so that no pair is shuffled."""
+    channel, kinds = Window.partitionBy("series_id", "ch"), [df.schema[c].dataType.simpleString() for c in ("series_id", "t")]
     low = F.min("v").over(channel)
-    rows = df.select("series_id", "t", "ch", F.try_divide(F.col("v") - low, F.max("v").over(channel) - low).alias("v"))
-    pairs = rows.select("series_id", F.col("t").alias("i"), "ch", F.col("v").alias("x")).join(rows.select("series_id", F.col("t").alias("j"), "ch", F.col("v").alias("y")), ["series_id", "ch"])
-    sums = pairs.groupBy("series_id", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("a"))
-    least = F.min("a").over(whole)
-    return sums.select("series_id", "i", "j", F.try_divide(F.col("a") - least, F.max("a").over(whole) - least).alias("a"))
+    rows = settled(df.select("series_id", "t", "ch", F.try_divide(F.col("v") - low, F.max("v").over(channel) - low).alias("v")))
+
+    def ends(a, i, j, products, known):
+        return pd.DataFrame({"series_id": a["series_id"].iloc[:1], "low": [products[known].min()], "high": [products[known].max()]}) if known.any() else pd.DataFrame({"series_id": [], "low": [], "high": []})
+
+    def cells(a, i, j, products, known):
+        low, high = float(a["low"].iloc[0]), float(a["high"].iloc[0])
+        scaled = np.where(known, products - low, np.nan) / (high - low) if high > low else np.full(products.shape, np.nan)
+        return pd.DataFrame({"series_id": a["series_id"].iloc[0], "i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "a": scaled.ravel()})
+
+    span = _products(rows, ends, f"series_id {kinds[0]}, low double, high double").groupBy("series_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = _products(rows.join(span, "series_id", "left"), cells, f"series_id {kinds[0]}, i {kinds[1]}, j {kinds[1]}, a double", "low", "high")
+    return found.withColumn("a", F.when(~F.isnan("a"), F.col("a")))
 
 
 def autocorrelation_weight(df: DataFrame) -> DataFrame:
-    """series_id, weight: one over the mean of the frames' products of standardised channels, scaled to 0..1. Quadratic within a series."""
-    channel = Window.partitionBy("series_id", "ch")
+    """series_id, weight: one over the mean of the frames' products of standardised channels, scaled to 0..1. Quadratic within a series: in blocks, of which only sums and extremes go on."""
+    channel, kind = Window.partitionBy("series_id", "ch"), df.schema["series_id"].dataType.simpleString()
     rows = df.select("series_id", "t", "ch", F.try_divide(F.col("v") - F.avg("v").over(channel), F.stddev_samp("v").over(channel)).alias("v"))
-    pairs = rows.select("series_id", F.col("t").alias("i"), "ch", F.col("v").alias("x")).join(rows.select("series_id", F.col("t").alias("j"), "ch", F.col("v").alias("y")), ["series_id", "ch"])
-    sums = pairs.groupBy("series_id", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("a"))
-    return sums.groupBy("series_id").agg(F.try_divide(F.max("a") - F.min("a"), F.avg("a") - F.min("a")).alias("weight"))
+
+    def sums(a, i, j, products, known):
+        held = products[known]
+        some = [held.min(), held.max(), held.sum()] if len(held) else [None] * 3
+        return pd.DataFrame([[a["series_id"].iloc[0], *some, len(held)]], columns=["series_id", "low", "high", "s", "n"])
+
+    parts = _products(rows, sums, f"series_id {kind}, low double, high double, s double, n long")
+    low, mean = F.min("low"), F.sum("s") / F.sum("n")
+    return parts.groupBy("series_id").agg(F.try_divide(F.max("high") - low, mean - low).alias("weight"))
 
 
 def conditional_dependence(df: DataFrame, features: int) -> DataFrame:

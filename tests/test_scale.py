@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza.operators import distances as D
+from cadenza.operators import measures as M
 from cadenza.operators import neighbours as N
 from cadenza.operators import segments as C
 from cadenza.operators import spectra as X
@@ -131,3 +133,47 @@ def test_diagonals_are_not_laid_out(spark, monkeypatch):
     found = C.timelag_median(spark.createDataFrame([(int(s), int(i), int(j), w) for s, i, j, w in rows], "series_id long, i long, j long, w double"), spark.createDataFrame(list(sizes.items()), "series_id long, n long"))
     assert {(r["series_id"], r["i"], r["j"]): r["w"] for r in found.collect()} == want
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_pairs_in_blocks(spark, monkeypatch):
+    """Every operator over all pairs of a series, cut into blocks of few rows, against plain loops; no plan pairs rows by a join."""
+    monkeypatch.setattr(N, "SIDE", 7)
+    draw = np.random.default_rng(8)
+    x = {s: np.round(draw.normal(size=(n, 3)), 1) for s, n in {1: 30, 2: 12}.items()}
+    rows = spark.createDataFrame([(s, t, t % 2, v.tolist()) for s, vs in x.items() for t, v in enumerate(vs)], "series_id long, t long, side int, x array<double>")
+    gap = {s: np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2)) for s, v in x.items()}
+    plain = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    found = C.distances(rows)
+    got = {(r["series_id"], r["i"], r["j"]): r["d"] for r in found.collect()}
+    assert "FlatMapCoGroupsInPandas" in plain(found) and len(got) == 30 * 29 + 12 * 11
+    assert all(d == pytest.approx(np.sqrt(gap[s][i, j] ** 2 + 1e-8), abs=2e-9) for (s, i, j), d in got.items())
+
+    pairs = N.nearest_pairs(rows.select("series_id", "t", "x"), rows.select("series_id", F.col("t").alias("u"), F.col("x").alias("y")), ("t", "u"), 3).where("t < 12").collect()
+    for t in range(12):
+        near = sorted((round(float(gap[s][t, u]), 9), u) for s in x for u in range(len(x[s])) if u != t)[:3]
+        assert sorted((r["d"], r["u"]) for r in pairs if r["t"] == t)[:3] == near
+
+    found = D.info_nce(rows.select("series_id", "t", "x", F.reverse("x").alias("y")), 0.5)
+    for r in found.collect():
+        s = x[r["series_id"]] @ x[r["series_id"]][:, ::-1].T / 0.5
+        assert r["loss"] == pytest.approx(float((np.log(np.exp(s).sum(axis=1)) - np.diag(s)).mean()))
+
+    for r in D.sample_quality(rows, "side", 2).collect():
+        d, side = np.round(gap[r["series_id"]], 9), np.arange(len(x[r["series_id"]])) % 2
+        radius = np.array([sorted(d[i, j] for j in range(len(d)) if j != i and side[j] == side[i])[1] for i in range(len(d))])
+        held = (d <= radius[:, None]) & (side[:, None] != side)  # the ball of the row holds the column
+        want = [held[side == 0][:, side == 1].any(axis=0).mean(), held[side == 1][:, side == 0].any(axis=0).mean(), held[side == 0][:, side == 1].sum(axis=0).mean() / 2, held[side == 0].any(axis=1).mean()]
+        assert [r[c] for c in ("precision", "recall", "density", "coverage")] == pytest.approx(want)
+
+    long = rows.select("series_id", "t", F.posexplode("x").alias("ch", "v"))
+    scaled, weight = M.scaled_autocorrelation(long), {r["series_id"]: r["weight"] for r in M.autocorrelation_weight(long).collect()}
+    got = {(r["series_id"], r["i"], r["j"]): r["a"] for r in scaled.collect()}
+    assert "FlatMapCoGroupsInPandas" in plain(scaled) and len(got) == 900 + 144
+    for s, v in x.items():
+        unit = (v - v.min(axis=0)) / (v.max(axis=0) - v.min(axis=0))
+        a = unit @ unit.T
+        a = (a - a.min()) / (a.max() - a.min())
+        assert all(got[s, i, j] == pytest.approx(a[i, j], abs=1e-9) for i in range(len(a)) for j in range(len(a)))
+        z = (v - v.mean(axis=0)) / v.std(axis=0, ddof=1)
+        assert weight[s] == pytest.approx(((z @ z.T).max() - (z @ z.T).min()) / ((z @ z.T).mean() - (z @ z.T).min()))
