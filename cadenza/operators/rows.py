@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,9 +131,33 @@ def aggregate_slices(series: DataFrame, slices: DataFrame, how: Column) -> DataF
 
 
 def mix(weights: DataFrame, palette: DataFrame) -> DataFrame:
-    """Weighted sums of palette vectors: weights (series_id, t, p, w) and palette (p, d, v); the palette's
-    size is fixed, and Spark broadcasts it if it is small."""
-    return weights.join(palette, "p").groupBy("series_id", "t", "d").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    """Weighted sums of palette vectors: weights (series_id, t, p, w) and palette (p, d, v), whose size is fixed. Where each of its vectors has a number in every column d, a frame's weights
+    are multiplied with it as a whole, so that no row is made for each weight and column; else weights and palette are joined."""
+    held = palette.groupBy("p", "d").agg(F.sum("v").alias("v"), F.count("*").alias("n"), F.count("v").alias("m")).collect()
+    of, columns = ({x: i for i, x in enumerate(dict.fromkeys(r[c] for r in held))} for c in ("p", "d"))
+    if not held or len(held) < len(of) * len(columns) or any(r["n"] != r["m"] or r["p"] is None or r["d"] is None or not math.isfinite(r["v"]) for r in held):
+        return weights.join(palette, "p").groupBy("series_id", "t", "d").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    full = np.zeros((len(of), len(columns)))
+    for r in held:
+        full[of[r["p"]], columns[r["d"]]] = r["v"]
+    rows = weights.where(F.col("p").isin(*of)).groupBy("series_id", "t").agg(F.collect_list(F.struct("p", F.col("w").cast("double").alias("w"))).alias("_x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_x")
+            frame, flat = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten()
+            known = flat.field("w").is_valid().to_numpy(zero_copy_only=False)
+            w = np.zeros((len(batch), len(of)))
+            np.add.at(w, (frame[known], np.array([of[p] for p in flat.field("p").to_pylist()], int)[known]), flat.field("w").to_numpy(zero_copy_only=False)[known])
+            none = np.repeat(np.bincount(frame[known], minlength=len(batch)) == 0, len(columns))  # no weight is known
+            offsets = pa.array(np.arange(len(batch) + 1) * len(columns), pa.int32())
+            mixed = pa.ListArray.from_arrays(offsets, pa.array((w @ full).ravel(), pa.float64(), mask=none))
+            yield pa.RecordBatch.from_arrays([batch.column("series_id"), batch.column("t"), mixed], ["series_id", "t", "v"])
+
+    kinds = [weights.schema[c].dataType.simpleString() for c in ("series_id", "t")]
+    mixed = rows.mapInArrow(run, f"series_id {kinds[0]}, t {kinds[1]}, v array<double>").select("series_id", "t", F.posexplode("v").alias("_d", "v"))
+    names = F.array(*[F.lit(d).cast(palette.schema["d"].dataType) for d in columns])
+    return mixed.select("series_id", "t", F.get(names, F.col("_d")).alias("d"), "v")
 
 
 def pairs_within(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
