@@ -189,9 +189,11 @@ def unsheared(cells: DataFrame) -> DataFrame:
 
 def diagonal_median(cells: DataFrame, k: int = 7) -> DataFrame:
     """Lower median of k cells along each diagonal of a whole matrix (series_id, i, j, v), reflected at the ends of the diagonal."""
-    by = Window.partitionBy("series_id", "lag")
-    lagged = sheared(cells).withColumn("_first", F.min("i").over(by)).withColumn("t", F.col("i") - F.col("_first"))
-    key = lagged.select(F.struct("series_id", "lag").alias("series_id"), F.col("t").cast("int").alias("t"), "v")
-    smooth = moving_median(key, k).select("series_id.series_id", "series_id.lag", "t", F.col("v").alias("_v"))
-    met = lagged.withColumn("t", F.col("t").cast("int")).join(smooth, ["series_id", "lag", "t"])
-    return unsheared(met.select("series_id", "lag", "i", F.col("_v").alias("v"))).select("series_id", "i", "j", "v")
+    by, half = Window.partitionBy("series_id", "lag"), k // 2
+    order = by.orderBy("i")
+    # a cell's window reflects onto itself, so that one window over each diagonal holds all that is needed: nothing is joined, and cells that lie by series stay there
+    rows = sheared(cells.where("series_id IS NOT NULL")).withColumns({"_q": F.row_number().over(order) - 1, "_n": F.count("*").over(by), "_x": F.collect_list(F.struct("v")).over(order.rowsBetween(-half, half))})
+    low = F.greatest(F.col("_q") - half, F.lit(0))
+    own = lambda o: F.get("_x", (reflected(F.col("_q") + o, F.col("_n")) - low).cast("int"))["v"]
+    near = F.array(*[F.when((F.col("_q") + o >= 0) & (F.col("_q") + o < F.col("_n")), own(o)).otherwise(F.coalesce(own(o), F.lit(0.0))) for o in range(-half, half + 1)])
+    return unsheared(rows.select("series_id", "lag", "i", F.get(F.array_sort(F.array_compact(near)), F.lit((k - 1) // 2)).alias("v"))).select("series_id", "i", "j", "v")
