@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from cadenza.operators import distances as D
 from cadenza.operators import measures as M
 from cadenza.operators import neighbours as N
+from cadenza.operators import recurrences as T
+from cadenza.operators import rows as R
 from cadenza.operators import segments as C
 from cadenza.operators import spectra as X
 from cadenza.operators import windows as W
@@ -177,3 +179,42 @@ def test_all_pairs_in_blocks(spark, monkeypatch):
         assert all(got[s, i, j] == pytest.approx(a[i, j], abs=1e-9) for i in range(len(a)) for j in range(len(a)))
         z = (v - v.mean(axis=0)) / v.std(axis=0, ddof=1)
         assert weight[s] == pytest.approx(((z @ z.T).max() - (z @ z.T).min()) / ((z @ z.T).mean() - (z @ z.T).min()))
+
+
+def test_palettes_are_met_whole(spark):
+    """Unknown weights and vectors, weights that come twice; with a full palette and with one that lacks a number, which is joined."""
+    weights = spark.createDataFrame([(1, 0, 0, 0.5), (1, 0, 1, 2.0), (1, 0, 1, 1.0), (1, 1, 1, None), (1, 2, 9, 1.0), (2, 0, 0, None), (2, 0, 1, -1.0)], "series_id long, t int, p long, w double")
+    want = {(1, 0, d): 0.5 * (d + 1) + 3.0 * (d + 2) for d in (3, 5)} | {(1, 1, d): None for d in (3, 5)} | {(2, 0, d): -(d + 2.0) for d in (3, 5)}
+    numbers = [(p, d, float(d + 1 + p)) for p in (0, 1) for d in (3, 5)]
+    whole = R.mix(weights, spark.createDataFrame(numbers, "p long, d long, v double"))
+    assert {(r["series_id"], r["t"], r["d"]): r["v"] for r in whole.collect()} == want
+    assert "Join" not in whole._jdf.queryExecution().executedPlan().toString()
+    part = R.mix(weights, spark.createDataFrame(numbers[:-1], "p long, d long, v double"))
+    assert {(r["series_id"], r["t"], r["d"]): r["v"] for r in part.collect()} == {(1, 0, 3): want[1, 0, 3], (1, 0, 5): 3.0, (1, 1, 3): None, (2, 0, 3): -5.0, (2, 0, 5): None}
+
+
+def test_medians_along_diagonals_join_nothing(spark):
+    draw, sizes = np.random.default_rng(9), {1: 1, 2: 3, 3: 11}
+    full = {s: draw.random((n, n)) for s, n in sizes.items()}
+    cells = settled(spark.createDataFrame([(s, i, j, float(m[i, j])) for s, m in full.items() for i in range(len(m)) for j in range(len(m))], "series_id long, i int, j int, v double"))
+    found = W.diagonal_median(cells, 7)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        line = np.diag(full[r["series_id"]], r["j"] - r["i"])
+        n, at = len(line), min(r["i"], r["j"])
+        period = max(2 * n - 2, 1)
+        assert r["v"] == sorted(line[min((at + o) % period, period - (at + o) % period)] for o in range(-3, 4))[3]
+
+
+def test_many_short_series_go_through_a_recurrence_at_once(spark):
+    """Series of several chunks, of one and of one frame; no group of its own for each."""
+    rows = series(spark, {1: 1, 2: 10, 3: 23})
+    a, b = np.array([[0.5, 0.25], [1.0, 0.0]]), np.array([1.0, 0.5])
+    found = T.linear_state(rows, a, b, chunk=4)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["series_id"], r["t"]): r["state"] for r in found.collect()}
+    for s, n in {1: 1, 2: 10, 3: 23}.items():
+        state = np.zeros(2)
+        for t in range(n):
+            state = a @ state + b * float(t * t % 7)
+            assert got[s, t] == pytest.approx(list(state))
